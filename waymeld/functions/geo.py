@@ -41,7 +41,7 @@ def segment_fraction(px, py, ax, ay, bx, by, clamped: bool = True) -> Column:
     """Position of the foot of the perpendicular from p on a-b; 0 on an empty segment."""
     px, py, ax, ay, bx, by = map(_c, (px, py, ax, ay, bx, by))
     norm = (bx - ax) * (bx - ax) + (by - ay) * (by - ay)
-    t = F.when(norm == 0, 0.0).otherwise(((px - ax) * (bx - ax) + (py - ay) * (by - ay)) / norm)
+    t = F.when(norm == 0, 0.0).otherwise(F.try_divide((px - ax) * (bx - ax) + (py - ay) * (by - ay), norm))
     return clamp(t, 0.0, 1.0) if clamped else t
 
 
@@ -208,39 +208,56 @@ def _meridian(lat_deg: float, a: float, b: float) -> float:
 
 def angle_deg(ux, uy, vx, vy, directed: bool = True) -> Column:
     ux, uy, vx, vy = map(_c, (ux, uy, vx, vy))
-    cos = (ux * vx + uy * vy) / (F.hypot(ux, uy) * F.hypot(vx, vy))
+    cos = F.try_divide(ux * vx + uy * vy, F.hypot(ux, uy) * F.hypot(vx, vy))
     return F.degrees(F.acos(clamp(cos if directed else F.abs(cos), -1.0, 1.0)))
 
 
-def observed_overlap(eax, eay, ebx, eby, ax, ay, bx, by, radius=7.0, max_angle: float = 20.0) -> Column:
-    """Overlap of step a-b with an edge: struct(start, end, entry, exit) or null.
+def observed_overlap(edge: list[Column], step: list[Column], radii: list[Column], max_angle: float = 20.0) -> Column:
+    """Overlap of a step with an edge, once per radius: array<struct(start, end, entry, exit)>.
 
     start/end are fractions of the step, entry/exit fractions of the edge. The
-    step is kept where its foot lies on the edge and its side offset is within
-    `radius`; a step turned more than `max_angle` from the edge gives null.
+    step counts where its foot lies on the edge and its side offset is within
+    the radius; turned more than `max_angle` from the edge it does not count
+    and the entry is null. Terms are bound once, so the expression stays small.
     """
-    eax, eay, ebx, eby, ax, ay, bx, by = map(_c, (eax, eay, ebx, eby, ax, ay, bx, by))
-    ux, uy, vx, vy = ebx - eax, eby - eay, bx - ax, by - ay
-    norm = ux * ux + uy * uy
-    length, step = F.sqrt(norm), F.hypot(vx, vy)
-    dot = ux * vx + uy * vy
-    p0 = ((ax - eax) * ux + (ay - eay) * uy) / norm
-    p1 = ((bx - eax) * ux + (by - eay) * uy) / norm
-    q0 = (ux * (ay - eay) - uy * (ax - eax)) / length
-    dq = (ux * (by - eay) - uy * (bx - eax)) / length - q0
-    along = [-p0 / (p1 - p0), (F.lit(1.0) - p0) / (p1 - p0)]
-    radius = _c(radius)
-    across = [(-radius - q0) / dq, (radius - q0) / dq]
-    flat = dq == 0
-    start = F.greatest(F.lit(0.0), F.least(*along), F.when(~flat, F.least(*across)))
-    end = F.least(F.lit(1.0), F.greatest(*along), F.when(~flat, F.greatest(*across)))
-    ok = ((norm > 0) & (step > 0)
-          & (F.abs(dot) >= F.cos(F.radians(F.lit(max_angle))) * length * step)
-          & (~flat | (F.abs(q0) <= radius)) & (end > start))
-    return F.when(ok, F.struct(
-        start.alias("start"), end.alias("end"),
-        clamp(p0 + start * (p1 - p0), 0.0, 1.0).alias("entry"),
-        clamp(p0 + end * (p1 - p0), 0.0, 1.0).alias("exit")))
+    d = F.try_divide
+
+    def vectors(p: Column) -> Column:
+        f = lambda n: p[n]
+        return F.struct(
+            (f("ebx") - f("eax")).alias("ux"), (f("eby") - f("eay")).alias("uy"),
+            (f("bx") - f("ax")).alias("vx"), (f("by") - f("ay")).alias("vy"),
+            (f("ax") - f("eax")).alias("px"), (f("ay") - f("eay")).alias("py"),
+            (f("bx") - f("eax")).alias("qx"), (f("by") - f("eay")).alias("qy"), f("radii").alias("radii"))
+
+    def fractions(v: Column) -> Column:
+        nn = v["ux"] * v["ux"] + v["uy"] * v["uy"]
+        n = F.sqrt(nn)
+        lean = F.abs(v["ux"] * v["vx"] + v["uy"] * v["vy"])
+        return F.struct(
+            d(v["px"] * v["ux"] + v["py"] * v["uy"], nn).alias("p0"), d(v["qx"] * v["ux"] + v["qy"] * v["uy"], nn).alias("p1"),
+            d(v["ux"] * v["py"] - v["uy"] * v["px"], n).alias("q0"), d(v["ux"] * v["qy"] - v["uy"] * v["qx"], n).alias("q1"),
+            ((nn > 0) & (lean > 0) & (lean >= n * F.hypot(v["vx"], v["vy"]) * F.cos(F.radians(F.lit(max_angle))))).alias("turned"),
+            v["radii"].alias("radii"))
+
+    def clip(c: Column) -> Column:
+        along = [d(-c["p0"], c["p1"] - c["p0"]), d(1 - c["p0"], c["p1"] - c["p0"])]
+
+        def one(r: Column) -> Column:
+            side = [d(-r - c["q0"], c["q1"] - c["q0"]), d(r - c["q0"], c["q1"] - c["q0"])]
+            ends = F.struct(F.greatest(F.lit(0.0), F.least(*along), F.least(*side)).alias("start"),
+                            F.least(F.lit(1.0), F.greatest(*along), F.greatest(*side)).alias("end"))
+            fits = c["turned"] & ((c["q0"] != c["q1"]) | (F.abs(c["q0"]) <= r))
+            at = lambda t: clamp(c["p0"] + t * (c["p1"] - c["p0"]), 0.0, 1.0)
+            return let(ends, lambda w: F.when(fits & (w["end"] > w["start"]), F.struct(
+                w["start"].alias("start"), w["end"].alias("end"),
+                at(w["start"]).alias("entry"), at(w["end"]).alias("exit"))))
+
+        return F.transform(c["radii"], one)
+
+    names = ["eax", "eay", "ebx", "eby", "ax", "ay", "bx", "by"]
+    start = F.struct(*[c.alias(n) for n, c in zip(names, [*edge, *step])], F.array(*radii).alias("radii"))
+    return let(let(let(start, vectors), fractions), clip)
 
 
 # --- lines ---------------------------------------------------------------
@@ -331,7 +348,7 @@ def in_ring(x, y, ring) -> Column:
     x, y = _c(x), _c(y)
     return F.aggregate(steps(ring), F.lit(False), lambda inside, e: F.when(
         ((e["ay"] > y) != (e["by"] > y))
-        & (x < (e["bx"] - e["ax"]) * (y - e["ay"]) / (e["by"] - e["ay"]) + e["ax"]), ~inside).otherwise(inside))
+        & (x < F.try_divide((e["bx"] - e["ax"]) * (y - e["ay"]), e["by"] - e["ay"]) + e["ax"]), ~inside).otherwise(inside))
 
 
 def in_polygon(x, y, rings) -> Column:
@@ -388,8 +405,8 @@ def cut_fractions(ax, ay, bx, by, rings) -> Column:
     def meet(e):
         ex, ey = e["bx"] - e["ax"], e["by"] - e["ay"]
         det = dx * ey - dy * ex
-        t = ((e["ax"] - ax) * ey - (e["ay"] - ay) * ex) / det
-        u = ((e["ax"] - ax) * dy - (e["ay"] - ay) * dx) / det
+        t = F.try_divide((e["ax"] - ax) * ey - (e["ay"] - ay) * ex, det)
+        u = F.try_divide((e["ax"] - ax) * dy - (e["ay"] - ay) * dx, det)
         return F.when((det != 0) & (t > 0) & (t < 1) & (u >= 0) & (u <= 1), t)
 
     hits = F.flatten(F.transform(_c(rings), lambda ring: F.transform(steps(ring), meet)))

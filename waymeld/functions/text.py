@@ -121,7 +121,7 @@ def parse_location(text) -> Column:
 def percent(covered, total) -> Column:
     """Covered share in percent, held within [0, 100]; 0 for an empty reference."""
     c, t = _c(covered), _c(total)
-    return F.when(t > 0, F.least(F.lit(100.0), F.greatest(F.lit(0.0), c * 100.0 / t))).otherwise(0.0)
+    return F.when(t > 0, F.least(F.lit(100.0), F.greatest(F.lit(0.0), F.try_divide(c * 100.0, t)))).otherwise(0.0)
 
 
 def snap_threshold(value, target, rel: float = 1e-12) -> Column:

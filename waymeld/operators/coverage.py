@@ -37,7 +37,7 @@ def observation_pairs(fixes: DataFrame, policy: AlignPolicy = AlignPolicy()) ->
               .when(~(accurate("accuracy_m") & accurate("_accuracy_m")), "fix_accuracy")
               .when(~((dt > 0) & (dt <= policy.gap_ms)), "time_gap")
               .when((moved < policy.least_motion_m) | (moved <= F.col("accuracy_m") + F.col("_accuracy_m")), "insufficient_motion")
-              .when(moved / dt > policy.speed_m_per_ms, "implausible_speed"))
+              .when(F.try_divide(moved, dt) > policy.speed_m_per_ms, "implausible_speed"))
     return rows.select("journey_id", "seq", F.col("x").alias("ax"), F.col("y").alias("ay"), F.col("_x").alias("bx"),
                        F.col("_y").alias("by"), F.greatest("accuracy_m", "_accuracy_m").alias("u"), moved.alias("step_m"),
                        reason.alias("reason"))
@@ -65,12 +65,17 @@ def align_pairs(pairs: DataFrame, edges: DataFrame, policy: AlignPolicy = AlignP
     named = edges.select("edge_id", "a_node", "b_node", "direction", "eligible", "length_mm",
                          *[F.col(c).alias(f"e{c}") for c in ("ax", "ay", "bx", "by")])
     right = segment_cells(named, "eax", "eay", "ebx", "eby", policy.cell_m).distinct()
-    args = [F.col(c) for c in ("eax", "eay", "ebx", "eby", "ax", "ay", "bx", "by")]
-    met = (left.join(right, ["_cx", "_cy"]).drop("_cx", "_cy")
-           .withColumn("hit", observed_overlap(*args, radius=policy.radius_m))
-           .withColumn("wide", observed_overlap(*args, radius=F.col("u") + policy.radius_m)))
-    rival = F.col("hit").isNull() & ((F.col("wide.end") - F.col("wide.start")) * F.col("step_m") > policy.seam_m)
-    met = (met.withColumn("rival", F.coalesce(rival, F.lit(False))).where("hit IS NOT NULL OR rival")
+    met = left.join(right, ["_cx", "_cy"]).drop("_cx", "_cy")
+    # Boxes first: plain comparisons in generated code thin the pairs out.
+    for axis in ("x", "y"):
+        met = met.where((F.greatest(f"ea{axis}", f"eb{axis}") >= F.least(f"a{axis}", f"b{axis}") - margin)
+                        & (F.least(f"ea{axis}", f"eb{axis}") <= F.greatest(f"a{axis}", f"b{axis}") + margin))
+    overlaps = observed_overlap([F.col(c) for c in ("eax", "eay", "ebx", "eby")], [F.col(c) for c in ("ax", "ay", "bx", "by")],
+                                [F.lit(policy.radius_m), F.col("u") + policy.radius_m])
+    kept = lambda o: o[0].isNotNull() | ((o[1]["end"] - o[1]["start"]) * F.col("step_m") > policy.seam_m)
+    # The test sits inside the generator, so the overlap is computed once per pair.
+    met = (met.withColumn("o", F.explode(F.filter(F.array(overlaps), kept)))
+           .withColumn("hit", F.col("o")[0]).withColumn("rival", F.col("o")[0].isNull()).drop("o")
            .dropDuplicates(["journey_id", "seq", "edge_id"]))
     # Few edges lie within reach of a step of at most `density_m`, so a window
     # per pair is small however hot the journey or the edge is.
@@ -104,17 +109,14 @@ def align_pairs(pairs: DataFrame, edges: DataFrame, policy: AlignPolicy = AlignP
                .when(F.max("wrong").over(whole), "unsupported_direction")
                .when(F.max((F.col("hi") > F.col("lo")) & F.col("hit").isNotNull()).over(whole) == F.lit(False), "no_alignment")
                .when(~F.min("eligible").over(whole), "out_of_scope_road"))
-    decided = judged.withColumn("verdict", verdict)
-    shape = ["journey_id", "seq", "reason", "edge_id", "lo", "hi"]
-    none = [F.lit(None).cast("long").alias(c) for c in ("edge_id", "lo", "hi")]
-    spans = (decided.where("verdict IS NULL AND hi > lo")
-             .select("journey_id", "seq", F.lit(None).cast("string").alias("reason"), "edge_id", "lo", "hi"))
-    held = (decided.where("verdict IS NOT NULL").select("journey_id", "seq", F.col("verdict").alias("reason")).distinct()
-            .select("journey_id", "seq", "reason", *none))
-    unmatched = (open_pairs.select("journey_id", "seq").join(decided.select("journey_id", "seq").distinct(), ["journey_id", "seq"], "left_anti")
-                 .select("journey_id", "seq", F.lit("no_alignment").alias("reason"), *none))
-    gates = gated.where("reason IS NOT NULL").select("journey_id", "seq", "reason", *none)
-    return spans.unionByName(held).unionByName(unmatched).unionByName(gates).select(*shape)
+    decided = (judged.withColumn("verdict", verdict)
+               .where("(verdict IS NULL AND hi > lo) OR (verdict IS NOT NULL AND place = 1)")
+               .select("journey_id", "seq", "verdict", "edge_id", "lo", "hi"))
+    kept = lambda c: F.when(F.col("verdict").isNull(), F.col(c)).alias(c)
+    missed = F.when(F.col("edge_id").isNull(), "no_alignment")
+    return (gated.select("journey_id", "seq", "reason").join(decided, ["journey_id", "seq"], "left")
+            .select("journey_id", "seq", F.coalesce("reason", "verdict", missed).alias("reason"),
+                    kept("edge_id"), kept("lo"), kept("hi")))
 
 
 def ledger_by_edge(spans: DataFrame, edges: DataFrame) -> DataFrame:

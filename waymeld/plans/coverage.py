@@ -181,21 +181,21 @@ def _(t):
     return interval_union(now, ["edge_id"]).groupBy("edge_id").agg(F.sum(F.col("hi") - F.col("lo")).alias("unique_mm"))
 
 
-PAIRS = """pairs0 AS (SELECT journey_id, seq, x AS ax, y AS ay, t_ms, accuracy_m AS acc, lead(x) OVER w AS bx, lead(y) OVER w AS by, lead(t_ms) OVER w AS t2, lead(accuracy_m) OVER w AS acc2
+PAIRS = """pairs0 AS (SELECT journey_id, seq, x AS ax, y AS ay, t_ms, accuracy_m AS acc, lead(x) OVER w AS cx, lead(y) OVER w AS cy, lead(t_ms) OVER w AS t2, lead(accuracy_m) OVER w AS acc2
   FROM obs WINDOW w AS (PARTITION BY journey_id ORDER BY seq)),
-pairs AS (SELECT journey_id, seq, ax, ay, bx, by, greatest(acc, acc2) AS u, sqrt((bx - ax) * (bx - ax) + (by - ay) * (by - ay)) AS step_m,
+pairs AS (SELECT journey_id, seq, ax, ay, cx, cy, greatest(acc, acc2) AS u, sqrt((cx - ax) * (cx - ax) + (cy - ay) * (cy - ay)) AS step_m,
   CASE WHEN NOT (acc <= 5 AND acc2 <= 5) THEN 'fix_accuracy' WHEN NOT (t2 - t_ms > 0 AND t2 - t_ms <= 8000) THEN 'time_gap'
-   WHEN sqrt((bx - ax) * (bx - ax) + (by - ay) * (by - ay)) < 2 OR sqrt((bx - ax) * (bx - ax) + (by - ay) * (by - ay)) <= acc + acc2 THEN 'insufficient_motion'
-   WHEN sqrt((bx - ax) * (bx - ax) + (by - ay) * (by - ay)) / (t2 - t_ms) > .06 THEN 'implausible_speed' END AS reason
+   WHEN sqrt((cx - ax) * (cx - ax) + (cy - ay) * (cy - ay)) < 2 OR sqrt((cx - ax) * (cx - ax) + (cy - ay) * (cy - ay)) <= acc + acc2 THEN 'insufficient_motion'
+   WHEN sqrt((cx - ax) * (cx - ax) + (cy - ay) * (cy - ay)) / (t2 - t_ms) > .06 THEN 'implausible_speed' END AS reason
   FROM pairs0 WHERE t2 IS NOT NULL)"""
 
 ALIGN = PAIRS + """,
 gated AS (SELECT * EXCLUDE (reason), coalesce(reason, CASE WHEN NOT (step_m > 0 AND step_m <= 35) THEN 'distance_gap'
-  WHEN NOT (least(ax, bx) >= u + 7 AND greatest(ax, bx) <= 1200 - u - 7 AND least(ay, by) >= u + 7 AND greatest(ay, by) <= 1e9 - u - 7) THEN 'catalogue_boundary' END) AS reason FROM pairs),
+  WHEN NOT (least(ax, cx) >= u + 7 AND greatest(ax, cx) <= 1200 - u - 7 AND least(ay, cy) >= u + 7 AND greatest(ay, cy) <= 1e9 - u - 7) THEN 'catalogue_boundary' END) AS reason FROM pairs),
 cand0 AS (SELECT g.journey_id, g.seq, g.step_m, g.u, e.edge_id, e.a_node, e.b_node, e.direction, e.eligible, e.length_mm,
-  e.bx - e.ax AS ux, e.by - e.ay AS uy, g.bx - g.ax AS vx, g.by - g.ay AS vy, g.ax - e.ax AS px, g.ay - e.ay AS py, g.bx - e.ax AS qx, g.by - e.ay AS qy
-  FROM gated g JOIN net e ON greatest(e.ax, e.bx) >= least(g.ax, g.bx) - 12 AND least(e.ax, e.bx) <= greatest(g.ax, g.bx) + 12
-   AND greatest(e.ay, e.by) >= least(g.ay, g.by) - 12 AND least(e.ay, e.by) <= greatest(g.ay, g.by) + 12 WHERE g.reason IS NULL),
+  e.bx - e.ax AS ux, e.by - e.ay AS uy, g.cx - g.ax AS vx, g.cy - g.ay AS vy, g.ax - e.ax AS px, g.ay - e.ay AS py, g.cx - e.ax AS qx, g.cy - e.ay AS qy
+  FROM gated g JOIN net e ON greatest(e.ax, e.bx) >= least(g.ax, g.cx) - 12 AND least(e.ax, e.bx) <= greatest(g.ax, g.cx) + 12
+   AND greatest(e.ay, e.by) >= least(g.ay, g.cy) - 12 AND least(e.ay, e.by) <= greatest(g.ay, g.cy) + 12 WHERE g.reason IS NULL),
 cand1 AS (SELECT *, ux * ux + uy * uy AS nn, (px * ux + py * uy) / (ux * ux + uy * uy) AS p0, (qx * ux + qy * uy) / (ux * ux + uy * uy) AS p1,
   (ux * py - uy * px) / sqrt(ux * ux + uy * uy) AS q0, (ux * qy - uy * qx) / sqrt(ux * ux + uy * uy) - (ux * py - uy * px) / sqrt(ux * ux + uy * uy) AS dq FROM cand0
   WHERE abs(ux * vx + uy * vy) >= cos(radians(20)) * sqrt(ux * ux + uy * uy) * step_m),
@@ -215,10 +215,10 @@ chained AS (SELECT *, row_number() OVER w AS place, (s - lag(e) OVER w) * step_m
   FROM hits WINDOW w AS (PARTITION BY journey_id, seq ORDER BY s, e, edge_id)),
 faults AS (SELECT *, CASE WHEN place = 1 THEN 0 WHEN seam < -0.5 OR (seam < 0 AND NOT joined) THEN 1 WHEN seam > 0.5 OR NOT joined THEN 2 ELSE 0 END AS fault FROM chained),
 per_pair AS (SELECT journey_id, seq, arg_min(fault, place) FILTER (fault > 0) AS ff, max(step_m) AS step_m, min(s) AS s, arg_max(e, place) AS e,
-  bool_or(direction <> 0 AND direction <> CASE WHEN entry < exit THEN 1 ELSE -1 END) AS wrong, bool_or(hi > lo) AS some, bool_and(eligible) AS eligible FROM faults GROUP BY ALL),
+  bool_or(direction <> 0 AND direction <> CASE WHEN entry < exit THEN 1 ELSE -1 END) AS wrong, bool_or(hi > lo) AS anylen, bool_and(eligible) AS eligible FROM faults GROUP BY ALL),
 decided AS (SELECT g.journey_id, g.seq, CASE WHEN g.reason IS NOT NULL THEN g.reason WHEN r.seq IS NOT NULL THEN 'competing_sections' WHEN p.seq IS NULL THEN 'no_alignment'
   WHEN ff = 1 THEN 'competing_sections' WHEN ff = 2 THEN 'disconnected_sections' WHEN greatest(p.s, 1 - p.e) * p.step_m > 0.5 THEN 'incomplete_alignment'
-  WHEN wrong THEN 'unsupported_direction' WHEN NOT some THEN 'no_alignment' WHEN NOT p.eligible THEN 'out_of_scope_road' END AS reason
+  WHEN wrong THEN 'unsupported_direction' WHEN NOT anylen THEN 'no_alignment' WHEN NOT p.eligible THEN 'out_of_scope_road' END AS reason
   FROM gated g LEFT JOIN rivals r USING (journey_id, seq) LEFT JOIN per_pair p USING (journey_id, seq)),
 aligned AS (SELECT d.journey_id, d.seq, d.reason, h.edge_id, h.lo, h.hi FROM decided d JOIN hits h USING (journey_id, seq) WHERE d.reason IS NULL AND h.hi > h.lo
   UNION ALL SELECT journey_id, seq, reason, NULL, NULL, NULL FROM decided WHERE reason IS NOT NULL)"""
