@@ -54,7 +54,7 @@ def _(t):
                     F.round(geo.local_lng("x", F.lit(-1.0), F.lit(51.2)), 9).alias("back_lng"), F.round(geo.local_lat("y", F.lit(51.0)), 9).alias("back_lat"))
 
 
-@query("geo04_utm_zone30", "anchors", """WITH k AS (SELECT 0.0016792203863836474 AS n, 6378137.0 AS a),
+@query("geo04_utm_zone30", "anchors", """WITH k AS (SELECT 0.0016792203863836474::DOUBLE AS n, 6378137.0::DOUBLE AS a),
 p AS (SELECT anchor_id, radians(lat) AS phi, radians(lng + 3) AS lam, sqrt(0.00669437999014132) AS e FROM anchors),
 s AS (SELECT anchor_id, lam, sinh(atanh(sin(phi)) - e * atanh(e * sin(phi))) AS t FROM p),
 x AS (SELECT anchor_id, atan2(t, cos(lam)) AS xi, asinh(sin(lam) / sqrt(t * t + cos(lam) * cos(lam))) AS eta FROM s)
@@ -102,9 +102,11 @@ def _(t):
 
 
 # Features as short polylines: four vertices per order line.
-POLY = """poly AS (SELECT l_orderkey AS journey_id, l_linenumber AS feature_idx, k AS i, -1.0 + ((l_partkey * 37 + k * 3 * (1 + l_partkey % 4)) % 6000)::DOUBLE / 10000 AS x,
-  51.0 + ((l_partkey * 53 + k * (2 + l_partkey % 3)) % 4000)::DOUBLE / 10000 AS y FROM lineitem, (SELECT unnest([0, 1, 2, 3]) AS k)),
-seg AS (SELECT journey_id, feature_idx, i, x AS ax, y AS ay, lead(x) OVER w AS cx, lead(y) OVER w AS cy FROM poly WINDOW w AS (PARTITION BY journey_id, feature_idx ORDER BY i))"""
+POLY = """lines AS (SELECT l_orderkey AS journey_id, l_linenumber AS feature_idx,
+  list_transform([0, 1, 2, 3], lambda k: -1.0::DOUBLE + ((l_partkey * 37 + k * 3 * (1 + l_partkey % 4)) % 6000)::DOUBLE / 10000) AS xs,
+  list_transform([0, 1, 2, 3], lambda k: 51.0::DOUBLE + ((l_partkey * 53 + k * (2 + l_partkey % 3)) % 4000)::DOUBLE / 10000) AS ys FROM lineitem),
+seg AS (SELECT journey_id, feature_idx, k AS i, xs[k + 1] AS ax, ys[k + 1] AS ay, xs[k + 2] AS cx, ys[k + 2] AS cy FROM lines, (SELECT unnest([0, 1, 2]) AS k)),
+texts AS (SELECT journey_id, feature_idx, list_transform([1, 2, 3, 4], lambda k: CAST(round(xs[k] * 10000000) AS BIGINT) || ',' || CAST(round(ys[k] * 10000000) AS BIGINT)) AS v FROM lines)"""
 
 
 def polylines(t):
@@ -120,7 +122,7 @@ def poly_segments(t):
         "journey_id", "feature_idx", F.col("e.i").alias("i"), F.col("e.ax").alias("ax"), F.col("e.ay").alias("ay"), F.col("e.bx").alias("cx"), F.col("e.by").alias("cy"))
 
 
-@query("geo08_explode_segments", "", f"WITH {POLY} SELECT journey_id, feature_idx, i, round(ax, 6) AS ax, round(ay, 6) AS ay, round(cx, 6) AS cx, round(cy, 6) AS cy FROM seg WHERE cx IS NOT NULL")
+@query("geo08_explode_segments", "", f"WITH {POLY} SELECT journey_id, feature_idx, i, round(ax, 6) AS ax, round(ay, 6) AS ay, round(cx, 6) AS cx, round(cy, 6) AS cy FROM seg")
 def _(t):
     r = lambda c: F.round(c, 6).alias(c)
     return poly_segments(t).select("journey_id", "feature_idx", "i", r("ax"), r("ay"), r("cx"), r("cy"))
@@ -145,7 +147,7 @@ def _(t):
     return stations(legs(t), ["journey_id"], "seq", 100.0).select("journey_id", "station", F.round("lng", 6).alias("lng"), F.round("lat", 6).alias("lat"))
 
 
-@query("geo11_segment_keys", "", f"""WITH {POLY}, k AS (SELECT CAST(round(ax * 100000) AS BIGINT) || ',' || CAST(round(ay * 100000) AS BIGINT) AS a, CAST(round(cx * 100000) AS BIGINT) || ',' || CAST(round(cy * 100000) AS BIGINT) AS b, * FROM seg WHERE cx IS NOT NULL)
+@query("geo11_segment_keys", "", f"""WITH {POLY}, k AS (SELECT CAST(round(ax * 100000) AS BIGINT) || ',' || CAST(round(ay * 100000) AS BIGINT) AS a, CAST(round(cx * 100000) AS BIGINT) || ',' || CAST(round(cy * 100000) AS BIGINT) AS b, * FROM seg)
 SELECT least(a, b) || '|' || greatest(a, b) AS seg_key, count(*) AS uses, count(DISTINCT journey_id) AS journeys FROM k GROUP BY 1""")
 def _(t):
     return poly_segments(t).groupBy(geo.segment_key("ax", "ay", "cx", "cy").alias("seg_key")).agg(F.count("*").alias("uses"), F.countDistinct("journey_id").alias("journeys"))
@@ -160,7 +162,7 @@ def _(t):
     return around.groupBy((F.col("x") + F.col("dx")).alias("cx"), (F.col("y") + F.col("dy")).alias("cy")).agg(F.sum("n").alias("fixes"))
 
 
-@query("geo13_bounding_boxes", "", f"WITH {POLY} SELECT journey_id, feature_idx, round(min(x), 6) AS west, round(min(y), 6) AS south, round(max(x), 6) AS east, round(max(y), 6) AS north, min(x) <= -0.7 AND max(x) >= -0.8 AND min(y) <= 51.3 AND max(y) >= 51.1 AS overlaps FROM poly GROUP BY journey_id, feature_idx")
+@query("geo13_bounding_boxes", "", f"WITH {POLY} SELECT journey_id, feature_idx, round(list_min(xs), 6) AS west, round(list_min(ys), 6) AS south, round(list_max(xs), 6) AS east, round(list_max(ys), 6) AS north, list_min(xs) <= -0.7 AND list_max(xs) >= -0.8 AND list_min(ys) <= 51.3 AND list_max(ys) >= 51.1 AS overlaps FROM lines")
 def _(t):
     b = polylines(t).withColumn("b", geo.bbox("line"))
     view = F.struct(F.lit(-0.8).alias("west"), F.lit(51.1).alias("south"), F.lit(-0.7).alias("east"), F.lit(51.3).alias("north"))
@@ -273,7 +275,7 @@ def _(t):
     return t.venues.select("venue_id", geo.search_box("lat", "lng", 650.0).alias("b")).select("venue_id", *[F.round(f"b.{c}", 7).alias(c) for c in ("west", "south", "east", "north")])
 
 
-@query("geo26_stride_reduction", "", f"WITH {POLY} SELECT journey_id, feature_idx, string_agg(CAST(CAST(round(x * 10000) AS BIGINT) AS STRING), ' ' ORDER BY i) AS xs FROM poly WHERE i % 2 = 0 OR i = 3 GROUP BY journey_id, feature_idx")
+@query("geo26_stride_reduction", "", f"WITH {POLY} SELECT journey_id, feature_idx, array_to_string(list_transform([1, 3, 4], lambda k: CAST(CAST(round(xs[k] * 10000) AS BIGINT) AS VARCHAR)), ' ') AS xs FROM lines")
 def _(t):
     kept = F.transform(geo.stride("line", 2), lambda p: F.round(p["x"] * 10000).cast("long").cast("string"))
     return polylines(t).select("journey_id", "feature_idx", F.array_join(kept, " ").alias("xs"))
@@ -343,7 +345,7 @@ def _(t):
     return t.events.select("event_id", F.date_format(local, "yyyyMMdd").cast("long").alias("local_day"), (F.weekday(local) + 1).alias("weekday"))
 
 
-@query("fn09_geometry_hash", "", f"""WITH {POLY}, v AS (SELECT journey_id, feature_idx, string_agg(CAST(round(x * 10000000) AS BIGINT) || ',' || CAST(round(y * 10000000) AS BIGINT), ';' ORDER BY i) AS f, string_agg(CAST(round(x * 10000000) AS BIGINT) || ',' || CAST(round(y * 10000000) AS BIGINT), ';' ORDER BY i DESC) AS b FROM poly GROUP BY ALL)
+@query("fn09_geometry_hash", "", f"""WITH {POLY}, v AS (SELECT journey_id, feature_idx, array_to_string(v, ';') AS f, array_to_string(list_reverse(v), ';') AS b FROM texts)
 SELECT journey_id, feature_idx, sha256(least(f, b)) AS free_hash, sha256(f) AS exact_hash FROM v""")
 def _(t):
     return polylines(t).select("journey_id", "feature_idx", geo.line_hash("line").alias("free_hash"), geo.line_hash("line", directed=True).alias("exact_hash"))
@@ -355,7 +357,7 @@ def _(t):
     return t.events.select("event_id", F.coalesce(j("ref"), j("k")).cast("long").alias("k"))
 
 
-@query("fn11_index_sets", "", """SELECT o_orderkey AS journey_id, array_to_string(list_filter(range(0, o_orderkey % 12), i -> NOT list_contains([0, 2, 3, o_orderkey % 5], i)), ' ') AS unmatched FROM orders""")
+@query("fn11_index_sets", "", """SELECT o_orderkey AS journey_id, array_to_string(list_filter(range(0, o_orderkey % 12), lambda i: NOT list_contains([0, 2, 3, o_orderkey % 5], i)), ' ') AS unmatched FROM orders""")
 def _(t):
     hit = F.array(F.lit(0), F.lit(2), F.lit(3), F.expr("CAST(o_orderkey % 5 AS INT)"))
     return t.orders.select(F.col("o_orderkey").alias("journey_id"), F.array_join(text.index_complement(hit, F.expr("o_orderkey % 12")), " ").alias("unmatched"))
@@ -472,10 +474,10 @@ TAGS_SQL = """tags AS (SELECT p_partkey AS way_id, CASE p_size % 6 WHEN 0 THEN '
 
 def _tags(t):
     c = "CASE p_size % 6 WHEN 0 THEN 'motorway' WHEN 1 THEN 'footway' WHEN 2 THEN 'residential' WHEN 3 THEN 'steps' WHEN 4 THEN 'service' ELSE 'cycleway' END"
-    pairs = f"""map_from_entries(filter(array(struct('highway' AS k, {c} AS v), struct('access', CASE WHEN p_partkey % 5 = 0 THEN 'private' END),
-      struct('bicycle', CASE WHEN p_partkey % 7 = 0 THEN 'designated' WHEN p_partkey % 7 = 1 THEN 'no' END),
-      struct('oneway', CASE WHEN p_partkey % 11 = 0 THEN 'yes' WHEN p_partkey % 11 = 1 THEN '-1' END)), e -> e.v IS NOT NULL))"""
-    return t.part.selectExpr("p_partkey AS way_id", "p_name AS name", f"{pairs} AS tags")
+    pairs = f"""map_filter(map('highway', {c}, 'access', CASE WHEN p_partkey % 5 = 0 THEN 'private' END,
+      'bicycle', CASE WHEN p_partkey % 7 = 0 THEN 'designated' WHEN p_partkey % 7 = 1 THEN 'no' END,
+      'oneway', CASE WHEN p_partkey % 11 = 0 THEN 'yes' WHEN p_partkey % 11 = 1 THEN '-1' END), (k, v) -> v IS NOT NULL)"""
+    return t.part.selectExpr("p_partkey AS way_id", "p_name AS name", "p_partkey % 9 AS points", f"{pairs} AS tags")
 
 
 @query("flt11_access_modes", "", f"""WITH {TAGS_SQL} SELECT way_id, concat_ws(' ', CASE WHEN access IS NULL AND highway <> 'motorway' THEN 'on_foot' END,
@@ -511,7 +513,7 @@ def _(t):
 def _(t):
     kept = F.map_filter("tags", lambda k, v: k.isin("highway", "railway", "name", "amenity"))
     named = F.when(F.col("tags")["highway"] == "service", F.col("name"))
-    return _tags(t).where("way_id % 9 >= 2").select("way_id", kept["highway"].alias("highway"), named.alias("name"))
+    return _tags(t).where("points >= 2").select("way_id", kept["highway"].alias("highway"), named.alias("name"))
 
 
 @query("flt16_match_quality", "", """WITH q AS (SELECT o_orderkey, count(*) FILTER (l_returnflag <> 'R')::DOUBLE / count(*) AS cov, avg(CASE WHEN l_linestatus = 'O' THEN l_discount * 10 END) AS conf FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1)
@@ -570,8 +572,8 @@ def _(t):
 
 
 # A match result per order: n inputs; its hit and miss index lists.
-PARTIAL_SQL = """m AS (SELECT o_orderkey AS journey_id, 8 + o_orderkey % 9 AS n, list_filter(range(0, 8 + o_orderkey % 9), i -> i >= o_orderkey % 3 AND (o_orderkey % 7 <> 0 OR i <> 4)) AS hit,
- list_filter(range(0, 8 + o_orderkey % 9), i -> NOT (i >= o_orderkey % 3 AND (o_orderkey % 7 <> 0 OR i <> 4)) OR (o_orderkey % 11 = 0 AND i = 5)) AS missed FROM orders)"""
+PARTIAL_SQL = """m AS (SELECT o_orderkey AS journey_id, 8 + o_orderkey % 9 AS n, list_filter(range(0, 8 + o_orderkey % 9), lambda i: i >= o_orderkey % 3 AND (o_orderkey % 7 <> 0 OR i <> 4)) AS hit,
+ list_filter(range(0, 8 + o_orderkey % 9), lambda i: NOT (i >= o_orderkey % 3 AND (o_orderkey % 7 <> 0 OR i <> 4)) OR (o_orderkey % 11 = 0 AND i = 5)) AS missed FROM orders)"""
 
 
 @query("flt24_partial_match", "", f"""WITH {PARTIAL_SQL}, a AS (SELECT *, len(hit) + len(missed) = n AND len(list_distinct(list_concat(hit, missed))) = n AS accounted FROM m)
