@@ -115,7 +115,7 @@ def _(t):
     return t.journeys.where("start_ms >= 883612800000").join(seen, "journey_id", "left_anti").select("journey_id")
 
 
-@query("jn12_inventory_status", "boxes", "SELECT b.box_id, coalesce(CASE WHEN c.n > 50 THEN 'ready' ELSE 'building' END, 'not_requested') AS status FROM boxes b LEFT JOIN (SELECT c_nationkey, count(*) AS n FROM customer WHERE c_mktsegment = 'HOUSEHOLD' AND c_nationkey < 20 GROUP BY 1 HAVING count(*) > 0) c ON b.box_id = c.c_nationkey WHERE TRUE")
+@query("jn12_inventory_status", "boxes", "SELECT b.box_id, CASE WHEN c.n > 50 THEN 'ready' WHEN c.n > 0 THEN 'building' ELSE 'not_requested' END AS status FROM boxes b LEFT JOIN (SELECT c_nationkey, count(*) AS n FROM customer WHERE c_mktsegment = 'HOUSEHOLD' AND c_nationkey < 20 GROUP BY 1 HAVING count(*) > 0) c ON b.box_id = c.c_nationkey WHERE TRUE")
 def _(t):
     n = t.customer.where("c_mktsegment = 'HOUSEHOLD' AND c_nationkey < 20").groupBy(F.col("c_nationkey").alias("box_id")).agg(F.count("*").alias("n"))
     j = t.boxes.join(n, "box_id", "left")
@@ -132,8 +132,8 @@ def _(t):
 
 
 @query("jn15_edge_correspondence", "net", """WITH src AS (SELECT edge_id AS src_id, ax + 1 AS ax, ay + edge_id % 14 AS ay, bx + 1 AS cx, "by" + edge_id % 14 + edge_id % 3 AS cy FROM net),
-c AS (SELECT src_id, k, e.edge_id, abs((e.bx - e.ax) * (cx - ax) + (e.by - e.ay) * (cy - ay)) / (sqrt(pow(e.bx - e.ax, 2) + pow(e.by - e.ay, 2)) * sqrt(pow(cx - ax, 2) + pow(cy - ay, 2))) AS cosine,
- ax + (cx - ax) * (k + 0.5) / 6 AS px, ay + (cy - ay) * (k + 0.5) / 6 AS py, e.ax AS ex, e.ay AS ey, e.bx AS fx, e.by AS fy FROM src, (SELECT unnest([0, 1, 2, 3, 4, 5]) AS k), net e WHERE abs(e.ax - ax) <= 130 AND abs(e.ay - ay) <= 130),
+c AS (SELECT src_id, k, e.edge_id, abs((e.bx - e.ax) * (cx - src.ax) + (e.by - e.ay) * (cy - src.ay)) / (sqrt(pow(e.bx - e.ax, 2) + pow(e.by - e.ay, 2)) * sqrt(pow(cx - src.ax, 2) + pow(cy - src.ay, 2))) AS cosine,
+ src.ax + (cx - src.ax) * (k + 0.5) / 6 AS px, src.ay + (cy - src.ay) * (k + 0.5) / 6 AS py, e.ax AS ex, e.ay AS ey, e.bx AS fx, e.by AS fy FROM src, (SELECT unnest([0, 1, 2, 3, 4, 5]) AS k), net e WHERE abs(e.ax - src.ax) <= 130 AND abs(e.ay - src.ay) <= 130),
 d AS (SELECT *, greatest(0, least(1, ((px - ex) * (fx - ex) + (py - ey) * (fy - ey)) / (pow(fx - ex, 2) + pow(fy - ey, 2)))) AS f FROM c WHERE cosine >= cos(radians(15))),
 h AS (SELECT src_id, k, count(*) AS n, min(edge_id) AS edge_id FROM d WHERE sqrt(pow(px - ex - f * (fx - ex), 2) + pow(py - ey - f * (fy - ey), 2)) <= 10 GROUP BY 1, 2 HAVING count(*) = 1)
 SELECT src_id, edge_id, count(*) AS stations FROM h GROUP BY 1, 2""")

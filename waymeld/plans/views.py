@@ -19,7 +19,7 @@ SQL = {
     "fixes": """
 SELECT CAST(user_id * 100 + EXTRACT(day FROM ts) AS BIGINT) AS journey_id,
        CAST(ROW_NUMBER() OVER (PARTITION BY user_id, EXTRACT(day FROM ts) ORDER BY ts, event_id) - 1 AS BIGINT) AS seq,
-       event_id, user_id, ts, epoch_ms(ts) AS t_ms,
+       event_id, user_id, ts, epoch_us(ts) // 1000 AS t_ms,
        CAST(51.0 AS DOUBLE) + CAST(user_id % 40 AS DOUBLE) / 100 + CAST((event_id * 7919) % 1000 AS DOUBLE) / 100000 AS lat,
        CAST(-1.0 AS DOUBLE) + CAST(user_id % 60 AS DOUBLE) / 100 + CAST((event_id * 104729) % 1000 AS DOUBLE) / 100000 AS lng,
        CAST(2 + event_id % 60 AS DOUBLE) AS accuracy_m,
@@ -27,7 +27,7 @@ SELECT CAST(user_id * 100 + EXTRACT(day FROM ts) AS BIGINT) AS journey_id,
        CASE user_id % 5 WHEN 0 THEN 'driving' WHEN 1 THEN 'bus' WHEN 2 THEN 'walking' WHEN 3 THEN 'cycling' ELSE 'train' END AS mode
 FROM events""",
     "activities": """
-SELECT event_id AS activity_id, user_id, epoch_ms(ts) AS start_ms, epoch_ms(ts) + 10800000 AS end_ms, event_type AS source_mode
+SELECT event_id AS activity_id, user_id, epoch_us(ts) // 1000 AS start_ms, epoch_us(ts) // 1000 + 10800000 AS end_ms, event_type AS source_mode
 FROM events WHERE event_id % 20 = 0""",
     "spans": """
 SELECT l_partkey AS edge_id, l_orderkey AS journey_id, l_linenumber AS line_no,
