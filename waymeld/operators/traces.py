@@ -79,3 +79,75 @@ def time_sections(fixes: DataFrame, keys: list[str], gap_ms: int, least: int = 2
     sizes = cut.groupBy(*keys, "section").agg(F.count("*").alias("_n")).where(F.col("_n") >= least).drop("_n")
     gaps = p.where(wide).select(*keys, (F.col("seq") - 1).alias("after_seq"), (F.col("t_ms") - F.col("_pt")).alias("duration_ms"))
     return cut.drop("_pt").join(sizes, [*keys, "section"], "left_semi"), gaps
+
+
+def guarded(points: DataFrame, keys: list[str], limit: int = REVIEW_POINTS) -> DataFrame:
+    """Only the keys at or below the review limit: groups of these fit one task.
+
+    Use with operators that need a whole section at once; `size_guard` lists the
+    keys set aside, so none disappears silently.
+    """
+    small = size_guard(points, keys, limit).where("decision = 'process'").select(*keys)
+    return points.join(small, keys, "left_semi")
+
+
+def grouped_keep(points: DataFrame, keys: list[str], columns: list[str], choose, limit: int = REVIEW_POINTS) -> DataFrame:
+    """(keys, seq) of the rows `choose` keeps from each guarded, ordered section."""
+    import pandas as pd
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("seq")
+        kept = choose(list(zip(*(frame[c].tolist() for c in columns))))
+        return frame.iloc[kept][[*keys, "seq"]]
+
+    types = dict(points.dtypes)
+    schema = ", ".join(f"{k} {types[k]}" for k in [*keys, "seq"])
+    narrow = guarded(points, keys, limit).select(*keys, "seq", *columns)
+    return narrow.groupBy(*keys).applyInPandas(run, schema)
+
+
+def uncorroborated(fixes: DataFrame, keys: list[str] = ["journey_id"]) -> DataFrame:
+    """Interior fixes without speed that the measured fixes around them contradict."""
+    c = F.col
+    measured = (c("accuracy_m") > 0) & (c("accuracy_m") <= 25) & (c("speed_mps") >= 3)
+    pick = F.when(measured, F.struct("t_ms", "lat", "lng", "accuracy_m", "speed_mps"))
+    rows = running(fixes, keys, seq_chunk(), ["seq"], {"a": ("last", pick), "b": ("next", pick)}, exclusive=True)
+    from ..functions.geo import point_segment_m
+    near = F.greatest("a.accuracy_m", "b.accuracy_m")
+    reach = F.greatest(F.lit(15.0), F.greatest("a.speed_mps", "b.speed_mps") * 1.5) * (c("b.t_ms") - c("a.t_ms")) / 1000
+    return rows.where(
+        (c("speed_mps") < 0) & c("a").isNotNull() & c("b").isNotNull() & (c("t_ms") > c("a.t_ms")) & (c("t_ms") < c("b.t_ms"))
+        & (c("b.t_ms") - c("a.t_ms") <= 30_000) & (c("accuracy_m") > near * 2)
+        & (haversine_m("a.lat", "a.lng", "b.lat", "b.lng") <= reach + c("a.accuracy_m") + c("b.accuracy_m"))
+        & (point_segment_m("lng", "lat", "a.lng", "a.lat", "b.lng", "b.lat") > c("accuracy_m") + near)).select(*keys, "seq")
+
+
+def sustained_runs(fixes: DataFrame, keys: list[str], moving: Column, least: int, span_ms: int, path_m: float,
+                   gap_ms: int = 60_000) -> DataFrame:
+    """Runs of consecutive moving fixes, reset by a still fix, a gap or an unreliable step."""
+    c = F.col
+    p = with_reliability(fixes, keys).withColumn("_mv", F.coalesce(moving, F.lit(False)))
+    p = neighbours(p, keys, "seq", {"_pm": ("_mv", -1), "_plat": ("lat", -1), "_plng": ("lng", -1), "_pa": ("accuracy_m", -1)})
+    joins = F.coalesce(c("_pm") & c("reliable") & (c("t_ms") - c("prev_t_ms") <= gap_ms), F.lit(False))
+    step = haversine_m("_plat", "_plng", "lat", "lng")
+    credit = F.greatest(F.lit(0.0), step - F.least(F.lit(8.0), (c("_pa") + c("accuracy_m")) * 0.25))
+    p = p.withColumn("_credit", F.when(joins, credit).otherwise(0.0))
+    runs = islands(p, keys, seq_chunk(), ["seq"], c("_mv") & ~joins, "run").where("_mv")
+    return (runs.groupBy(*keys, "run").agg(F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"), F.count("*").alias("fixes"),
+                                           F.min("t_ms").alias("from_ms"), F.max("t_ms").alias("to_ms"), F.sum("_credit").alias("path_m"))
+            .where((c("fixes") >= least) & (c("to_ms") - c("from_ms") >= span_ms) & (c("path_m") >= path_m)))
+
+
+def supported_sections(legs: DataFrame, keys: list[str], observed: str, distance: str) -> DataFrame:
+    """Flags legs within max(1.4x, +300 m) of the observed length and numbers the supported runs."""
+    limit = F.greatest(F.col(observed) * 1.4, F.col(observed) + 300)
+    p = legs.withColumns({"limit_m": limit, "ok": F.col(distance) <= limit})
+    p = neighbours(p, keys, "seq", {"_was": ("ok", -1)})
+    return islands(p, keys, seq_chunk(), ["seq"], F.col("ok") & ~F.coalesce("_was", F.lit(False)), "section").drop("_was")
+
+
+def run_lengths(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Consecutive equal values of an ordered key as [first, last] spans."""
+    p = neighbours(rows, keys, "seq", {"_was": (value, -1)})
+    spans = islands(p, keys, seq_chunk(), ["seq"], F.col("_was").isNull() | (F.col("_was") != F.col(value)), "span")
+    return spans.groupBy(*keys, "span", value).agg(F.min("seq").alias("from_seq"), F.max("seq").alias("to_seq"))
