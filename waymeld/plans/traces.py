@@ -211,7 +211,7 @@ def _(t):
 
 
 @query("win19_boundary_fixes", "obs", f"""WITH b AS (SELECT journey_id, min(t_ms) + 5100 AS s, max(t_ms) - 5300 AS e FROM obs GROUP BY 1), p AS (SELECT *, lead(t_ms) OVER w AS t2, lead(x) OVER w AS x2, lead(y) OVER w AS y2 FROM obs {W})
-SELECT p.journey_id, at AS t_ms, round(x + (x2 - x) * ((at - t_ms)::DOUBLE / (t2 - t_ms)), 4) AS x, round(y + (y2 - y) * ((at - t_ms)::DOUBLE / (t2 - t_ms)), 4) AS y FROM (SELECT b.journey_id, unnest([s, e]) AS at FROM b) q JOIN p ON p.journey_id = q.journey_id AND t_ms < at AND at < t2 AND at - t_ms <= 5000 AND t2 - at <= 5000 AND sqrt(pow(x2 - x, 2) + pow(y2 - y, 2)) <= 100""")
+SELECT p.journey_id, tm AS t_ms, round(x + (x2 - x) * ((tm - t_ms)::DOUBLE / (t2 - t_ms)), 4) AS x, round(y + (y2 - y) * ((tm - t_ms)::DOUBLE / (t2 - t_ms)), 4) AS y FROM (SELECT b.journey_id, unnest([s, e]) AS tm FROM b) q JOIN p ON p.journey_id = q.journey_id AND t_ms < tm AND tm < t2 AND tm - t_ms <= 5000 AND t2 - tm <= 5000 AND sqrt(pow(x2 - x, 2) + pow(y2 - y, 2)) <= 100""")
 def _(t):
     b = t.obs.groupBy("journey_id").agg((F.min("t_ms") + 5100).alias("s"), (F.max("t_ms") - 5300).alias("e")).select("journey_id", F.explode(F.array("s", "e")).alias("at"))
     p = neighbours(t.obs, ["journey_id"], "seq", {"t2": ("t_ms", 1), "x2": ("x", 1), "y2": ("y", 1)}).where("t2 - t_ms <= 10000 AND hypot(x2 - x, y2 - y) <= 100")
@@ -241,7 +241,7 @@ def _(t):
 def _(t):
     c = t.obs.select("journey_id", "seq", F.floor(F.col("x") / 30).alias("c"))
     p = neighbours(c, ["journey_id"], "seq", {"c1": ("c", -1), "c2": ("c", -2)})
-    return p.groupBy("journey_id").agg(F.count_if("c = c2 AND c <> c1" and F.expr("c = c2 AND c <> c1")).alias("reversals"), F.count_if(F.expr("c = c1")).alias("repeats"))
+    return p.groupBy("journey_id").agg(F.count_if(F.expr("c = c2 AND c <> c1")).alias("reversals"), F.count_if(F.expr("c = c1")).alias("repeats"))
 
 
 @query("win22_endpoint_drop", "fixes", f"""WITH n AS (SELECT *, row_number() OVER (PARTITION BY journey_id ORDER BY seq DESC) AS k, count(*) OVER (PARTITION BY journey_id) AS c FROM fixes), p AS (SELECT a.journey_id, a.seq, {hav('b.lat', 'b.lng', 'a.lat', 'a.lng', '6371008.8')} AS jump, a.t_ms - b.t_ms AS dt FROM n a JOIN n b ON a.journey_id = b.journey_id AND a.k = 1 AND b.k = 2 WHERE a.c >= 3)
@@ -254,7 +254,7 @@ def _(t):
     return p.where((jump >= 500) & (F.col("t_ms") - F.col("b.t_ms")).between(0, 6_000_000)).select("journey_id", "seq", F.round(jump).cast("long").alias("jump_m"))
 
 
-@query("win23_split_journey", "trace", """WITH b AS (SELECT journey_id, k * (10 + journey_id % 7) AS at, k FROM (SELECT DISTINCT journey_id FROM trace), (SELECT unnest([1, 2]) AS k)), r AS (SELECT t.journey_id, t.seq, (SELECT count(*) FROM b WHERE b.journey_id = t.journey_id AND b.at < t.seq) AS part, t.seq IN (SELECT at FROM b WHERE b.journey_id = t.journey_id) AS edge FROM trace t)
+@query("win23_split_journey", "trace", """WITH b AS (SELECT journey_id, k * (10 + journey_id % 7) AS cut, k FROM (SELECT DISTINCT journey_id FROM trace), (SELECT unnest([1, 2]) AS k)), r AS (SELECT t.journey_id, t.seq, (SELECT count(*) FROM b WHERE b.journey_id = t.journey_id AND b.cut < t.seq) AS part, t.seq IN (SELECT cut FROM b WHERE b.journey_id = t.journey_id) AS edge FROM trace t)
 SELECT journey_id || '-' || part AS part_id, min(seq) AS first_seq, max(seq) AS last_seq, count(*) AS points FROM (SELECT journey_id, seq, part FROM r UNION ALL SELECT journey_id, seq, part + 1 FROM r WHERE edge) GROUP BY 1""")
 def _(t):
     cut = F.expr("10 + journey_id % 7")

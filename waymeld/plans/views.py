@@ -139,6 +139,8 @@ def with_views(names: str, body: str) -> str:
     """SQL for the check: the named views as CTEs, then `body` (may add CTEs)."""
     ctes = ",\n".join(f"{n} AS ({SQL[n]})" for n in names.split())
     body = body.strip()
+    if body[:14].upper() == "WITH RECURSIVE":
+        return f"WITH RECURSIVE {ctes},\n{body[14:]}"
     if body[:4].upper() == "WITH":
         return f"WITH {ctes},\n{body[4:]}"
     return f"WITH {ctes}\n{body}"
