@@ -183,7 +183,7 @@ def _(t):
     return S.newest_within(t.features.select("highway", (-F.col("feature_id")).alias("k")).distinct(), ["highway"], "k", 5).select("highway", (-F.col("k")).alias("sample_id"))
 
 
-SVC = f"""sv AS (SELECT c_custkey AS id, 'service ' || CAST(c_custkey % 40 AS STRING) AS nm, 51.0::DOUBLE + (c_custkey * 523 % 410)::DOUBLE / 1000 AS lat, -1.0::DOUBLE + (c_custkey * 811 % 610)::DOUBLE / 1000 AS lng FROM customer),
+SVC = f"""sv AS (SELECT c_custkey AS id, 'service ' || CAST(c_custkey % 6 AS STRING) AS nm, 51.0::DOUBLE + (c_custkey * 523 % 410)::DOUBLE / 1000 AS lat, -1.0::DOUBLE + (c_custkey * 811 % 610)::DOUBLE / 1000 AS lng FROM customer),
 lk AS (SELECT a.id AS a, b.id AS b FROM sv a JOIN sv b ON a.nm = b.nm AND a.id < b.id AND {hav('a.lat', 'a.lng', 'b.lat', 'b.lng')} <= 2500),
 bo AS (SELECT a, b FROM lk UNION ALL SELECT b, a FROM lk),
 cc AS (SELECT id AS node, id AS root FROM sv UNION SELECT bo.b, cc.root FROM cc JOIN bo ON bo.a = cc.node),
@@ -191,7 +191,7 @@ comp AS (SELECT node, min(root) AS component FROM cc GROUP BY 1)"""
 
 
 def services(t):
-    return t.customer.selectExpr("c_custkey AS id", "concat('service ', c_custkey % 40) AS nm", "51.0D + CAST(c_custkey * 523 % 410 AS DOUBLE) / 1000 AS lat", "-1.0D + CAST(c_custkey * 811 % 610 AS DOUBLE) / 1000 AS lng")
+    return t.customer.selectExpr("c_custkey AS id", "concat('service ', c_custkey % 6) AS nm", "51.0D + CAST(c_custkey * 523 % 410 AS DOUBLE) / 1000 AS lat", "-1.0D + CAST(c_custkey * 811 % 610 AS DOUBLE) / 1000 AS lng")
 
 
 def service_components(t):
