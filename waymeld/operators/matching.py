@@ -70,8 +70,9 @@ def match_journeys(points: DataFrame, edges: DataFrame, policy: MatchPolicy = Ma
     keys = ["journey_id", "request"]
     held = big.select(*keys, F.lit(None).cast("long").alias("seq"), F.lit(None).cast("long").alias("edge_id"), F.lit(None).cast("double").alias("frac"), F.lit("network_too_large").alias("status"))
     schema = "journey_id long, request long, seq long, edge_id long, frac double, status string"
-    done = (lattice.join(big, keys, "left_anti").groupBy(*keys)
-            .cogroup(clipped.join(big, keys, "left_anti").groupBy(*keys)).applyInPandas(_match_request, schema))
+    # Both sides descend from the same points: fresh column ids keep them apart.
+    anew = lambda df: df.join(big, keys, "left_anti").select(*[F.col(c).alias(c) for c in df.columns])
+    done = anew(lattice).groupBy(*keys).cogroup(anew(clipped).groupBy(*keys)).applyInPandas(_match_request, schema)
     return done.unionByName(held)
 
 
@@ -115,7 +116,7 @@ class Graph:
         """Distances and predecessors of the nodes within `limit` of a snapped point."""
         a, b, length = self.edges[cand[0]]
         dist, prev = {}, {}
-        heap = [(cand[1] * length, a, None), ((1 - cand[1]) * length, b, None)]
+        heap = [(cand[1] * length, a, -1), ((1 - cand[1]) * length, b, -1)]  # -1: the snapped point itself
         heapq.heapify(heap)
         while heap:
             d, node, before = heapq.heappop(heap)
@@ -140,7 +141,7 @@ class Graph:
         if total > limit:
             return None
         nodes = []
-        while node is not None:
+        while node is not None and node != -1:
             nodes.append(node)
             node = prev[node]
         return total, nodes[::-1]
