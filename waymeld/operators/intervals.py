@@ -19,8 +19,14 @@ def interval_union(df: DataFrame, keys: list[str], lo: str = "lo", hi: str = "hi
     3. Only the last local interval of a chunk can reach later chunks, so one
        row per chunk is enough to find the root each carried interval joins.
     """
-    starts = (df.where(F.col(hi) > F.col(lo)).groupBy(*keys, lo).agg(F.max(hi).alias(hi))
-              .withColumn("_chunk", F.floor(F.col(lo) / F.lit(width))))
+    present = F.col(lo).isNotNull() & F.col(hi).isNotNull()
+    for k in keys:
+        present = present & F.col(k).isNotNull()
+    # The explicit null and chunk filters keep the two uses of `pieces` identical,
+    # so the second one reuses the shuffle of the first.
+    starts = (df.where(present & (F.col(hi) > F.col(lo))).groupBy(*keys, lo).agg(F.max(hi).alias(hi))
+              .withColumn("_chunk", F.floor(F.col(lo) / F.lit(width))).where(F.col("_chunk").isNotNull())
+              .repartition(*keys, "_chunk"))
     local = Window.partitionBy(*keys, "_chunk").orderBy(lo)
     reach = F.max(hi).over(local.rowsBetween(Window.unboundedPreceding, -1))
     opened = (starts.withColumn("_reach", reach)

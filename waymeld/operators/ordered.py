@@ -15,21 +15,50 @@ from pyspark.sql import functions as F
 CHUNK_ROWS = 32_768
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give a scan with too few splits to every core, before CPU-heavy expressions.
+
+    Large inputs have more splits than cores and pass unchanged, so this never
+    adds a shuffle at scale; one small file would otherwise run in one task.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() * 2 > cores else df.repartition(cores)
+
+
 def _col(value) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
 
+def _placed(df: DataFrame, keys: list[str], chunk: Column) -> DataFrame:
+    """Rows shuffled once by (key, chunk), packed so that both users share the shuffle.
+
+    The summary and the rows read the same exchange (the plan shows
+    ReusedExchange): the packed row keeps column pruning from telling them apart.
+    """
+    named = df.withColumn("_chunk", chunk)
+    present = F.col("_chunk").isNotNull()
+    for k in keys:
+        present = present & F.col(k).isNotNull()
+    packed = named.where(present).select(*keys, "_chunk", F.struct(*df.columns).alias("_row"))
+    return packed.repartition(*keys, "_chunk")
+
+
+def _whole_row() -> Column:
+    # Refers to the packed row as a whole; its value is not used.
+    return F.bit_xor(F.xxhash64("_row")).alias("_whole")
+
+
 def dense_seq(df: DataFrame, keys: list[str], order: list[str], chunk: Column,
               name: str = "seq") -> DataFrame:
     """0-based row number per key; `chunk` must rise with `order`."""
-    tagged = df.withColumn("_chunk", chunk)
+    rows = _placed(df, keys, chunk)
     before = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (tagged.groupBy(*keys, "_chunk").agg(F.count("*").alias("_n"))
+    offsets = (rows.groupBy(*keys, "_chunk").agg(F.count("*").alias("_n"), _whole_row())
+               .where(F.col("_whole").isNotNull())
                .select(*keys, "_chunk", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")))
-    local = Window.partitionBy(*keys, "_chunk").orderBy(*order)
-    return (tagged.join(offsets, [*keys, "_chunk"])
-            .withColumn(name, F.col("_before") + F.row_number().over(local) - 1)
-            .drop("_chunk", "_before"))
+    local = Window.partitionBy(*keys, "_chunk").orderBy(*[F.col(f"_row.{c}") for c in order])
+    return (rows.join(offsets, [*keys, "_chunk"])
+            .select("_row", (F.col("_before") + F.row_number().over(local) - 1).alias(name)).select("_row.*", name))
 
 
 def neighbours(df: DataFrame, keys: list[str], seq: str, shifts: dict[str, tuple[Column | str, int]],
@@ -61,12 +90,14 @@ def running(df: DataFrame, keys: list[str], chunk: Column, order: list[str],
 
     `order` is ascending and total within a key; `chunk` rises with it.
     """
-    tagged = df.withColumn("_chunk", chunk)
-    values = {n: _col(e) for n, (_, e) in specs.items()}
-    place = F.struct(*order)
+    inputs = {f"_v_{n}": _col(e) for n, (_, e) in specs.items()}
+    rows = _placed(df.withColumns(inputs), keys, chunk)
+    values = {n: F.col(f"_row._v_{n}") for n in specs}
+    placed = [F.col(f"_row.{c}") for c in order]
+    place = F.struct(*placed)
     prior = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     later = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(1, Window.unboundedFollowing)
-    local = Window.partitionBy(*keys, "_chunk").orderBy(*order)
+    local = Window.partitionBy(*keys, "_chunk").orderBy(*placed)
     upto = local.rowsBetween(Window.unboundedPreceding, -1 if exclusive else 0)
     onward = local.rowsBetween(1 if exclusive else 0, Window.unboundedFollowing)
     per_chunk = {"sum": F.sum, "max": F.max}
@@ -90,10 +121,10 @@ def running(df: DataFrame, keys: list[str], chunk: Column, order: list[str],
             combined.append(F.coalesce(F.first(v, True).over(onward), c).alias(name))
         else:
             raise ValueError(f"unknown running kind {kind!r}")
-    carry = (tagged.groupBy(*keys, "_chunk").agg(*summary)
+    carry = (rows.groupBy(*keys, "_chunk").agg(*summary, _whole_row()).where(F.col("_whole").isNotNull())
              .select(*keys, "_chunk", *carried))
-    return (tagged.join(carry, [*keys, "_chunk"])
-            .select(*[F.col(c) for c in df.columns], *combined))
+    return (rows.join(carry, [*keys, "_chunk"])
+            .select(*[F.col(f"_row.{c}").alias(c) for c in df.columns], *combined))
 
 
 def islands(df: DataFrame, keys: list[str], chunk: Column, order: list[str],

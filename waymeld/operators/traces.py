@@ -17,8 +17,8 @@ def size_guard(points: DataFrame, keys: list[str], limit: int = REVIEW_POINTS) -
             .withColumn("decision", F.when(F.col("points") > limit, "review").otherwise("process")))
 
 
-def stations(segments: DataFrame, keys: list[str], order: str, every_m: float) -> DataFrame:
-    """Positions at exact multiples of `every_m` along each path.
+def stations(segments: DataFrame, keys: list[str], order: str, every_m: float | str) -> DataFrame:
+    """Positions at exact multiples of `every_m` (metres or a column) along each path.
 
     `segments` holds ax, ay, cx, cy. The running length is carried over chunk
     borders, and each segment then yields the station numbers it contains.
@@ -28,9 +28,10 @@ def stations(segments: DataFrame, keys: list[str], order: str, every_m: float) -
     # Both ends are rounded the same way, so neighbouring segments share them.
     hi = neighbours(run.withColumn("_hi", F.round("_sum", 6)), keys, order, {"_lo": ("_hi", -1)})
     hi = hi.withColumn("_lo", F.coalesce("_lo", F.lit(0.0))).where("_hi > _lo")
-    first, last = F.ceil(F.col("_lo") / every_m).cast("long"), F.ceil(F.col("_hi") / every_m).cast("long") - 1
+    gap = F.col(every_m) if isinstance(every_m, str) else F.lit(float(every_m))
+    first, last = F.ceil(F.col("_lo") / gap).cast("long"), F.ceil(F.col("_hi") / gap).cast("long") - 1
     out = hi.where(last >= first).withColumn("station", F.explode(F.sequence(first, last)))
-    f = (F.col("station") * F.lit(every_m) - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))
+    f = (F.col("station") * gap - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))
     return out.select(*keys, order, "station", interpolate("ax", "cx", f).alias("lng"), interpolate("ay", "cy", f).alias("lat"))
 
 
@@ -73,12 +74,18 @@ def time_sections(fixes: DataFrame, keys: list[str], gap_ms: int, least: int = 2
 
     Sections with fewer than `least` points drop out; gaps name the point before.
     """
-    p = neighbours(fixes, keys, "seq", {"_pt": ("t_ms", -1)})
-    wide = F.col("t_ms") - F.col("_pt") > gap_ms
-    cut = islands(p, keys, seq_chunk(), ["seq"], F.coalesce(wide, F.lit(False)), "section")
-    sizes = cut.groupBy(*keys, "section").agg(F.count("*").alias("_n")).where(F.col("_n") >= least).drop("_n")
+    p = neighbours(fixes, keys, "seq", {"_pt": ("t_ms", -1), "_nt": ("t_ms", 1)})
+    wide = F.coalesce(F.col("t_ms") - F.col("_pt") > gap_ms, F.lit(False))
+    cut = islands(p, keys, seq_chunk(), ["seq"], wide, "section")
+    if least == 2:
+        # A point alone in its section has a break on both sides.
+        ahead = F.coalesce(F.col("_nt") - F.col("t_ms") > gap_ms, F.lit(True))
+        cut = cut.where(~((F.col("_pt").isNull() | wide) & ahead))
+    elif least > 2:
+        sizes = cut.groupBy(*keys, "section").agg(F.count("*").alias("_n")).where(F.col("_n") >= least).drop("_n")
+        cut = cut.join(sizes, [*keys, "section"], "left_semi")
     gaps = p.where(wide).select(*keys, (F.col("seq") - 1).alias("after_seq"), (F.col("t_ms") - F.col("_pt")).alias("duration_ms"))
-    return cut.drop("_pt").join(sizes, [*keys, "section"], "left_semi"), gaps
+    return cut.drop("_pt", "_nt"), gaps
 
 
 def guarded(points: DataFrame, keys: list[str], limit: int = REVIEW_POINTS) -> DataFrame:

@@ -113,8 +113,10 @@ def polylines(t):
     vertex = lambda k: F.struct(
         F.expr(f"-1.0D + CAST((l_partkey * 37 + {k * 3} * (1 + l_partkey % 4)) % 6000 AS DOUBLE) / 10000").alias("x"),
         F.expr(f"51.0D + CAST((l_partkey * 53 + {k} * (2 + l_partkey % 3)) % 4000 AS DOUBLE) / 10000").alias("y"))
-    return t.lineitem.select(F.col("l_orderkey").alias("journey_id"), F.col("l_linenumber").alias("feature_idx"),
-                             F.array(*[vertex(k) for k in range(4)]).alias("line"))
+    from ..operators.ordered import spread
+    rows = spread(t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey"))
+    return rows.select(F.col("l_orderkey").alias("journey_id"), F.col("l_linenumber").alias("feature_idx"),
+                       F.array(*[vertex(k) for k in range(4)]).alias("line"))
 
 
 def poly_segments(t):

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.ordered import dense_seq
+from ..operators.ordered import dense_seq, spread
 
 # Local metres to degrees around (51 N, 1 W), used by `trace`, `obs` and `net`.
 LAT_M, LNG_M = 111195.08, 69978.0
@@ -242,7 +242,7 @@ def _bindings(t: Tables) -> DataFrame:
 
 
 def _features(t: Tables) -> DataFrame:
-    rows = (t.table("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
+    rows = (spread(t.table("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity"))
             .join(t.table("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
             .join(t.table("part"), F.col("l_partkey") == F.col("p_partkey")))
     lines = SQL["features"].split("SELECT", 1)[1].rsplit("FROM lineitem", 1)[0]

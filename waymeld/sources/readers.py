@@ -187,3 +187,43 @@ def page_gaps(pages: DataFrame, expected: DataFrame) -> DataFrame:
     faults = j.select(F.coalesce("id", "gid").alias("id"), F.when(F.col("gid").isNull(), "missing").when(F.col("id").isNull(), "unexpected").when(F.col("n") > 1, "repeated").alias("fault")).where("fault IS NOT NULL")
     cut = pages.where("truncated").select(F.col("page").alias("id"), F.lit("truncated").alias("fault"))
     return faults.unionByName(cut)
+
+
+SUMMARY = "struct<journey_id:long,mode:string,started_at:string,ended_at:string,distance_meters:double,processing:struct<status:string>>"
+
+
+def journey_summaries(docs: DataFrame) -> DataFrame:
+    """Summary fields of archived journeys; route geometry is never materialised."""
+    d = _parsed(docs, SUMMARY).select("d.*")
+    return d.select("journey_id", "mode", _time("started_at").alias("start_ms"), _time("ended_at").alias("end_ms"), "distance_meters", F.col("processing.status").alias("status"))
+
+
+def usable_ways(ways: DataFrame) -> DataFrame:
+    """Input contract of an extract's ways: id, tags, line of two distinct points or more."""
+    missing = {"way_id", "tags", "line"} - set(ways.columns)
+    if missing:
+        raise ValueError(f"ways lack {sorted(missing)}")
+    moved = F.exists("line", lambda p: (p["x"] != F.col("line")[0]["x"]) | (p["y"] != F.col("line")[0]["y"]))
+    return ways.where((F.size("line") >= 2) & moved)
+
+
+def text_sequence(lines: DataFrame) -> DataFrame:
+    """GeoJSON text sequence: one feature a line, optional record separator."""
+    return geojson_features(lines.withColumn("value", F.regexp_replace("value", "^\u001e", "")))
+
+
+def station_lines(lines: DataFrame) -> DataFrame:
+    """Stations from CSV lines (quoted fields allowed); invalid rows drop out."""
+    row = F.from_csv("value", "code string, name string, lat double, lng double, radius double", {"quote": '"', "escape": '"'})
+    s = lines.select(row.alias("s")).select("s.*")
+    return s.where(F.col("code").isNotNull() & (F.trim("name") != "") & valid_point("lat", "lng") & (F.col("radius") > 0))
+
+
+def catalogue_lines(lines: DataFrame, most_bytes: int = 4096) -> DataFrame:
+    """Catalogue rows with `reason` (null when good): bad JSON, oversize or bad fields."""
+    d = lines.select("value", F.from_json("value", "struct<id:string,lat:double,lon:double,designer:string>").alias("d"))
+    reason = (F.when(F.octet_length("value") > most_bytes, "too_large")
+              .when(F.col("d.id").isNull(), "not_a_record")
+              .when(~F.col("d.id").rlike("^[a-z0-9-]{3,40}$"), "bad_id")
+              .when(~valid_point("d.lat", "d.lon"), "bad_position"))
+    return d.select("d.*", reason.alias("reason"))
