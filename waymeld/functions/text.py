@@ -74,7 +74,7 @@ def natural_ref(ref) -> list[Column]:
     """Sort keys: letters, then the number as a number, then the rest."""
     r = _c(ref)
     return [F.regexp_extract(r, r"^([A-Za-z]*)", 1),
-            F.expr("1") * F.coalesce(F.nullif(F.regexp_extract(r, r"(\d+)", 1), F.lit("")).cast("int"), F.lit(0)), r]
+            F.coalesce(F.nullif(F.regexp_extract(r, r"(\d+)", 1), F.lit("")).cast("int"), F.lit(0)), r]
 
 
 def discovery_key(ref, name, highway) -> Column:

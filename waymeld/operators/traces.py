@@ -158,3 +158,39 @@ def run_lengths(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     p = neighbours(rows, keys, "seq", {"_was": (value, -1)})
     spans = islands(p, keys, seq_chunk(), ["seq"], F.col("_was").isNull() | (F.col("_was") != F.col(value)), "span")
     return spans.groupBy(*keys, "span", value).agg(F.min("seq").alias("from_seq"), F.max("seq").alias("to_seq"))
+
+
+def thin_trace(fixes: DataFrame, key: str = "journey_id", far_m: float = 25.0) -> DataFrame:
+    """(key, seq) of the fixes kept by the thinning rule.
+
+    Steps and turns are Columns. A step of `far_m` or more always emits and
+    clears the running length, so journeys split there into independent scans.
+    """
+    from .machines import Thinning
+    from .scans import scan_sorted
+    c = F.col
+    p = neighbours(fixes, [key], "seq", {"blat": ("lat", -1), "blng": ("lng", -1), "alat": ("lat", 1), "alng": ("lng", 1)})
+    k = F.cos(F.radians("lat"))
+    ux, uy, vx, vy = (c("lng") - c("blng")) * k, c("lat") - c("blat"), (c("alng") - c("lng")) * k, c("alat") - c("lat")
+    nu, nv = F.hypot(ux, uy), F.hypot(vx, vy)
+    bend = 1 - F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.try_divide(ux * vx + uy * vy, nu * nv)))
+    rows = p.select(key, "seq", F.coalesce(haversine_m("blat", "blng", "lat", "lng", 6_371_008.8), F.lit(0.0)).alias("step"),
+                    F.coalesce((nu > 2e-5) & (nv > 2e-5) & (bend > 0.35), F.lit(False)).alias("turns"),
+                    (c("blat").isNull() | c("alat").isNull()).alias("is_end"))
+    cut = islands(rows, [key], seq_chunk(), ["seq"], c("step") >= far_m, "part")
+    kind = dict(fixes.dtypes)[key]
+    return scan_sorted(cut, [key, "part"], ["seq"], [key, "seq", "step", "turns", "is_end"], lambda k: Thinning(k), f"{key} {kind}, seq long")
+
+
+def drop_redundant(fixes: DataFrame, key: str = "journey_id") -> DataFrame:
+    """(key, seq) of the fixes left after the redundant ones are dropped.
+
+    A dropped fix lies within 15 m of a kept one, so after a step above 30 m the
+    next fix is kept whatever came before: journeys split there exactly.
+    """
+    from .machines import Redundant
+    from .scans import scan_sorted
+    p = neighbours(fixes, [key], "seq", {"blat": ("lat", -1), "blng": ("lng", -1), "alat": ("lat", 1), "alng": ("lng", 1)})
+    cut = islands(p, [key], seq_chunk(), ["seq"], F.coalesce(haversine_m("blat", "blng", "lat", "lng", 6_371_008.8) > 30, F.lit(True)), "part")
+    kind = dict(fixes.dtypes)[key]
+    return scan_sorted(cut, [key, "part"], ["seq"], [key, "seq", "lat", "lng", "alat", "alng"], lambda k: Redundant(k), f"{key} {kind}, seq long")

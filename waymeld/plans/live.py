@@ -11,7 +11,9 @@ from .registry import query
 
 
 def scan(t, df, columns, machine, schema, order="t_ms"):
-    return scan_sorted(df, ["journey_id"], [order], columns, machine, schema)
+    """A pause of 15 minutes is a recording boundary: each recording starts afresh."""
+    rows, _gaps = T.time_sections(df, ["journey_id"], 900_000, least=1)
+    return scan_sorted(rows, ["journey_id", "section"], [order], columns, machine, schema)
 
 
 def live_trace(t):

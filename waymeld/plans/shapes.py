@@ -333,12 +333,11 @@ def _(t):
 
 
 @query("fn07_natural_order", "road_refs", f"""WITH {PARTS_SQL}, r AS (SELECT p AS ref, count(*) AS uses FROM parts WHERE p <> '' GROUP BY p)
-SELECT ref, uses, row_number() OVER (ORDER BY regexp_extract(ref, '^([A-Za-z]*)', 1), coalesce(try_cast(regexp_extract(ref, '([0-9]+)', 1) AS INT), 0), ref) AS place FROM r""")
+SELECT ref, uses, regexp_extract(ref, '^([A-Za-z]*)', 1) AS letters, coalesce(try_cast(regexp_extract(ref, '([0-9]+)', 1) AS INT), 0) AS number FROM r""")
 def _(t):
-    # A report over distinct refs: the aggregate leaves one row per road.
-    from pyspark.sql import Window
     refs = t.road_refs.select(F.explode(text.ref_parts("road_ref")).alias("ref")).groupBy("ref").agg(F.count("*").alias("uses"))
-    return refs.select("ref", "uses", F.row_number().over(Window.orderBy(*text.natural_ref("ref"))).cast("long").alias("place"))
+    letters, number, _whole = text.natural_ref("ref")
+    return refs.select("ref", "uses", letters.alias("letters"), number.alias("number")).orderBy("letters", "number", "ref")
 
 
 @query("fn08_local_dates", "", "SELECT event_id, CAST(strftime(timezone('America/New_York', ts::TIMESTAMP AT TIME ZONE 'UTC'), '%Y%m%d') AS BIGINT) AS local_day, CAST(isodow(timezone('America/New_York', ts::TIMESTAMP AT TIME ZONE 'UTC')) AS INTEGER) AS weekday FROM events")

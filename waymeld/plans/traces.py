@@ -51,7 +51,7 @@ SELECT journey_id, seq FROM s WHERE kept"""
 
 @query("win03_thinning", "trace", thin_sql("s.acc + d >= 25 OR (s.acc + d >= 8 AND nu > 0.00002 AND nv > 0.00002 AND turn > 0.35)"))
 def _(t):
-    return scan_sorted(t.trace, ["journey_id"], ["seq"], ["journey_id", "seq", "lat", "lng"], lambda k: M.Thinning(k), "journey_id long, seq long")
+    return T.thin_trace(t.trace)
 
 
 @query("win04_overlapping_chunks", "trace", """WITH n AS (SELECT journey_id, count(*) AS n FROM trace GROUP BY 1), c AS (SELECT journey_id, n, unnest(range(0, CASE WHEN n <= 20 THEN 1 ELSE 1 + CAST(ceil((n - 20) / 15.0) AS BIGINT) END)) AS chunk_no FROM n)
@@ -136,7 +136,7 @@ def _(t):
 @query("win11_redundant_points")
 def _(t):
     # Sequential; tests/test_traces.py compares with a plain loop.
-    return scan_sorted(t.trace.withColumn("lng", F.expr("-1.0D + (lng + 1.0D) / 4")), ["journey_id"], ["seq"], ["journey_id", "seq", "lat", "lng"], lambda k: M.Redundant(k), "journey_id long, seq long")
+    return T.drop_redundant(t.trace.withColumn("lng", F.expr("-1.0D + (lng + 1.0D) / 4")))
 
 
 @query("win12_clean_foot_trace")

@@ -160,13 +160,10 @@ def stations_csv(spark: SparkSession, path: str, least: int = 2_000) -> DataFram
     """Valid stations; a file with too few of them is refused."""
     raw = spark.read.csv(path, header=True, quote='"', escape='"', schema="code string, name string, lat double, lng double, radius double")
     good = raw.where(F.col("code").isNotNull() & (F.trim("name") != "") & valid_point("lat", "lng") & (F.col("radius") > 0))
-    return require(good, F.count("*") >= least, "too few stations")
-
-
-def require(df: DataFrame, condition, message: str) -> DataFrame:
-    """Pass rows through, failing the job when an aggregate condition does not hold."""
-    gate = df.agg(F.assert_true(condition, F.lit(message)).alias("_gate"))
-    return df.crossJoin(F.broadcast(gate)).drop("_gate")  # one row, by construction
+    found = good.count()
+    if found < least:
+        raise ValueError(f"too few stations: {found}")
+    return good
 
 
 def movement_log(lines: DataFrame, from_ms: int, to_ms: int) -> DataFrame:
