@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 
 from ..functions.geo import point_segment, segment_fraction
 from .gridjoin import box_cells, planar_cell, segment_cells
+from ..session import cut_lineage
+from .ordered import keep_parallel, quantiles
 
 
 @dataclass(frozen=True)
@@ -48,6 +50,8 @@ def match_journeys(points: DataFrame, edges: DataFrame, policy: MatchPolicy = Ma
     Points hold journey_id, seq (dense), x, y, accuracy_m. A request takes at most
     `request_points` points; neighbouring requests share their border point.
     """
+    # Points and clipped networks are each read several times: write them once.
+    points = cut_lineage(points)
     step = policy.request_points - 1
     home = F.floor(F.col("seq") / step)
     shared = (F.col("seq") % step == 0) & (F.col("seq") > 0)
@@ -63,7 +67,7 @@ def match_journeys(points: DataFrame, edges: DataFrame, policy: MatchPolicy = Ma
     hit = reach.join(cells, ["_cx", "_cy"]).where(
         (F.greatest("ax", "bx") >= F.col("w") - m) & (F.least("ax", "bx") <= F.col("e") + m)
         & (F.greatest("ay", "by") >= F.col("s") - m) & (F.least("ay", "by") <= F.col("n") + m))
-    clipped = hit.select("journey_id", "request", "edge_id", "a_node", "b_node", "ax", "ay", "bx", "by").distinct()
+    clipped = cut_lineage(hit.select("journey_id", "request", "edge_id", "a_node", "b_node", "ax", "ay", "bx", "by").distinct())
     # A request over too dense a network is held before any group is built.
     size = clipped.groupBy("journey_id", "request").agg(F.count("*").alias("edges"))
     big = size.where(F.col("edges") > policy.most_edges).select("journey_id", "request")
@@ -72,7 +76,8 @@ def match_journeys(points: DataFrame, edges: DataFrame, policy: MatchPolicy = Ma
     schema = "journey_id long, request long, seq long, edge_id long, frac double, status string"
     # Both sides descend from the same points: fresh column ids keep them apart.
     anew = lambda df: df.join(big, keys, "left_anti").select(*[F.col(c).alias(c) for c in df.columns])
-    done = anew(lattice).groupBy(*keys).cogroup(anew(clipped).groupBy(*keys)).applyInPandas(_match_request, schema)
+    left, right = keep_parallel(anew(lattice), keys), keep_parallel(anew(clipped), keys)
+    done = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(_match_request, schema)
     return done.unionByName(held)
 
 
@@ -290,7 +295,8 @@ def score_hypotheses(fixes: DataFrame, paths: DataFrame, witness_m: float = 25.0
     agg = (pairs.join(span, "journey_id").groupBy("journey_id", "hypothesis")
            .agg(F.count("*").alias("witnesses"), F.count_if(F.col("o2") > F.col("o")).alias("rising"), F.count("o2").alias("steps"),
                 F.sum(F.greatest(F.lit(0.0), F.col("o2") - F.col("o"))).alias("metres"), F.any_value("fixes").alias("fixes"),
-                F.countDistinct(F.floor(F.col("seq") * 3 / (F.col("last") + 1))).alias("thirds"), F.median("d").alias("median_m")))
+                F.countDistinct(F.floor(F.col("seq") * 3 / (F.col("last") + 1))).alias("thirds")))
+    agg = agg.join(quantiles(one, ["journey_id", "hypothesis"], "d", {"median_m": 0.5}, 1.0), ["journey_id", "hypothesis"])
     scored = agg.withColumn("score", F.round(F.col("witnesses") / F.col("fixes") + F.coalesce(F.try_divide("rising", "steps"), F.lit(0.0)) - F.col("median_m") / 100, 6)).where("thirds = 3 AND witnesses >= 3")
     w = Window.partitionBy("journey_id").orderBy(F.desc("score"), "hypothesis")
     top = scored.withColumn("rank", F.row_number().over(w)).where("rank <= 2")

@@ -25,6 +25,16 @@ def spread(df: DataFrame) -> DataFrame:
     return df if df.rdd.getNumPartitions() * 2 > cores else df.repartition(cores)
 
 
+def keep_parallel(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Hash-partition for a CPU-heavy grouped function.
+
+    AQE merges partitions by bytes, which would put many small but slow groups
+    into one task; a fixed number of partitions is left alone.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *keys)
+
+
 def _col(value) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
@@ -152,3 +162,23 @@ def overlapping_chunks(df: DataFrame, keys: Iterable[str], seq: str, total: str,
     return (df.where(final >= first)
             .withColumn("chunk_no", F.explode(F.sequence(first.cast("long"), final.cast("long"))))
             .withColumn("pos", F.col(seq) - F.col("chunk_no") * step))
+
+
+def quantiles(df: DataFrame, keys: list[str], value: str, wanted: dict[str, float], chunk_width: float) -> DataFrame:
+    """Exact interpolated quantiles per key without gathering a key's values.
+
+    Equal values collapse to counts map-side; the cumulative count finds the
+    values at the two ranks around each quantile.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n"))
+    upto = running(counts, keys, F.floor(F.col(value) / F.lit(chunk_width)), [value], {"_upto": ("sum", "_n")})
+    total = counts.groupBy(*keys).agg(F.sum("_n").alias("_total"))
+    ranked = upto.join(total, keys)
+    picks = []
+    for name, q in wanted.items():
+        place = F.lit(q) * (F.col("_total") - 1)
+        covers = lambda rank: (rank >= F.col("_upto") - F.col("_n")) & (rank < F.col("_upto"))
+        at = lambda rank: F.max(F.when(covers(rank), F.col(value)))
+        share = F.max(place - F.floor(place))
+        picks.append((at(F.floor(place)) * (1 - share) + at(F.ceil(place)) * share).alias(name))
+    return ranked.groupBy(*keys).agg(*picks)

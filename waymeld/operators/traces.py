@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geo import haversine_m, interpolate
-from .ordered import islands, neighbours, running, seq_chunk
+from .ordered import islands, keep_parallel, neighbours, running, seq_chunk
 
 REVIEW_POINTS = 20_000
 
@@ -110,7 +110,7 @@ def grouped_keep(points: DataFrame, keys: list[str], columns: list[str], choose,
     types = dict(points.dtypes)
     schema = ", ".join(f"{k} {types[k]}" for k in [*keys, "seq"])
     narrow = guarded(points, keys, limit).select(*keys, "seq", *columns)
-    return narrow.groupBy(*keys).applyInPandas(run, schema)
+    return keep_parallel(narrow, keys).groupBy(*keys).applyInPandas(run, schema)
 
 
 def uncorroborated(fixes: DataFrame, keys: list[str] = ["journey_id"]) -> DataFrame:

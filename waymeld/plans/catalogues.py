@@ -8,7 +8,7 @@ from ..operators import joins as J
 from ..operators.components import connected_components
 from ..operators.gridjoin import points_in_boxes, within_radius, near_any, planar_cell, segment_cells
 from ..operators.intervals import interval_union
-from ..operators.ordered import neighbours, running, seq_chunk
+from ..operators.ordered import quantiles
 from ..sources import readers as R
 from ..sources import sinks as S
 from .coverage import hav, union_sql
@@ -319,7 +319,9 @@ def _(t):
 def _(t):
     near = planar_near(t.obs.select("journey_id", "seq", "x", "y"), t.net.select("edge_id", "ax", "ay", "bx", "by"), 30.0)
     b = near.groupBy("journey_id", "seq").agg(F.round(F.min("d"), 6).alias("d"))
-    return b.groupBy("journey_id").agg(F.count("*").alias("audited"), F.round(F.median("d"), 4).alias("median_m"), F.round(F.max("d"), 4).alias("worst_m"))
+    mid = quantiles(b, ["journey_id"], "d", {"m": 0.5}, 1.0)
+    return b.groupBy("journey_id").agg(F.count("*").alias("audited"), F.round(F.max("d"), 4).alias("worst_m")).join(mid, "journey_id").select(
+        "journey_id", "audited", F.round("m", 4).alias("median_m"), "worst_m")
 
 
 # --- quality -------------------------------------------------------------

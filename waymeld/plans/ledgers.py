@@ -7,7 +7,7 @@ from ..functions import geo, text
 from ..operators import ledgers as L
 from ..operators.gridjoin import nearest_within, near_any, points_in_boxes, segment_cells
 from ..operators.intervals import interval_union
-from ..operators.ordered import neighbours, islands, seq_chunk
+from ..operators.ordered import islands, neighbours, quantiles, seq_chunk
 from .coverage import DONE, _covered, _placed, hav, spans_of, union_sql
 from .registry import query
 from .shapes import DISC_SQL, LINE_SQL, POLY, legs, poly_segments, polylines
@@ -331,9 +331,11 @@ def _(t):
     return each.unionByName(every)
 
 
-@query("agg40_distance_statistics", "journeys", "SELECT mode, median(distance_m)::DOUBLE AS median_m, quantile_cont(distance_m::DOUBLE, 0.9) AS p90_m, round(avg(distance_m), 3) AS mean_m FROM journeys GROUP BY mode")
+@query("agg40_distance_statistics", "journeys", "SELECT mode, round(median(distance_m)::DOUBLE, 4) AS median_m, round(quantile_cont(distance_m::DOUBLE, 0.9), 4) AS p90_m, round(avg(distance_m), 3) AS mean_m FROM journeys GROUP BY mode")
 def _(t):
-    return t.journeys.groupBy("mode").agg(F.median("distance_m").alias("median_m"), F.percentile("distance_m", F.lit(0.9)).alias("p90_m"), F.round(F.avg("distance_m"), 3).alias("mean_m"))
+    q = quantiles(t.journeys, ["mode"], "distance_m", {"median_m": 0.5, "p90_m": 0.9}, 65_536)
+    mean = t.journeys.groupBy("mode").agg(F.round(F.avg("distance_m"), 3).alias("mean_m"))
+    return q.join(mean, "mode").select("mode", F.round("median_m", 4).alias("median_m"), F.round("p90_m", 4).alias("p90_m"), "mean_m")
 
 
 @query("agg51_named_roads_by_settlement", "features", f"WITH {FOUND} SELECT category, coalesce(CASE WHEN town_id < 20 THEN 'town ' || CAST(town_id AS STRING) END, '') AS town, count(DISTINCT label) AS roads FROM disc WHERE category = 'Local roads' GROUP BY 1, 2")

@@ -6,14 +6,17 @@ from ..operators import matching as G
 from ..operators.intervals import interval_union
 from ..operators.ordered import dense_seq
 from ..operators import traces as T
+from ..session import cut_lineage
 from .registry import query
 from .spatial import planar_near_sql
 
 
 def thinned_obs(t):
-    o = t.obs.withColumns({"lat": F.expr("51.0D + y / 111195.08D"), "lng": F.expr("-1.0D + x / 69978.0D")})
+    # Read by the thinning and by the join back: numbered and written once.
+    seen = cut_lineage(t.obs)
+    o = seen.withColumns({"lat": F.expr("51.0D + y / 111195.08D"), "lng": F.expr("-1.0D + x / 69978.0D")})
     kept = T.thin_trace(o)
-    rows = t.obs.select("journey_id", "seq", "x", "y", "accuracy_m").join(kept, ["journey_id", "seq"]).withColumnRenamed("seq", "source_seq")
+    rows = seen.select("journey_id", "seq", "x", "y", "accuracy_m").join(kept, ["journey_id", "seq"]).withColumnRenamed("seq", "source_seq")
     return dense_seq(rows, ["journey_id"], ["source_seq"], F.floor(F.col("source_seq") / 32_768))
 
 
