@@ -5,7 +5,6 @@ import tempfile
 from pathlib import Path
 
 import pytest
-from pyspark.sql import functions as F
 
 from waymeld.functions import text
 from waymeld.operators.components import connected_components

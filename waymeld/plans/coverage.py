@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..operators import coverage as cov
-from ..operators.intervals import interval_union, missing_intervals, points_in_intervals
+from ..operators.intervals import interval_union, missing_intervals
 from ..operators.gridjoin import nearest_within
 from ..operators.ordered import dense_seq
 from .registry import query

@@ -5,12 +5,12 @@ from pyspark.sql import functions as F
 
 from ..functions import geo, text
 from ..operators import ledgers as L
-from ..operators.gridjoin import nearest_within, near_any, points_in_boxes, segment_cells
+from ..operators.gridjoin import segment_cells
 from ..operators.intervals import interval_union
-from ..operators.ordered import islands, neighbours, quantiles, seq_chunk
-from .coverage import DONE, _covered, _placed, hav, spans_of, union_sql
+from ..operators.ordered import neighbours, quantiles, seq_chunk
+from .coverage import DONE, _covered, hav, union_sql
 from .registry import query
-from .shapes import DISC_SQL, LINE_SQL, POLY, legs, poly_segments, polylines
+from .shapes import DISC_SQL, LINE_SQL, POLY, legs, poly_segments
 from .spatial import MARK, as_places, markers
 
 FP = """fpj AS (SELECT *, mode || '|' || least(a, b) || '|' || greatest(a, b) || '|' || CAST(floor(distance_m / 100000.0::DOUBLE * 2 + 0.5) AS BIGINT) AS fp FROM

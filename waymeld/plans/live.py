@@ -4,7 +4,6 @@ from pyspark.sql import functions as F
 
 from ..operators import machines as M
 from ..operators import traces as T
-from ..operators.intervals import interval_union
 from ..operators.scans import scan_sorted
 from ..streaming import jobs
 from .registry import query

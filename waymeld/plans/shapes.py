@@ -442,10 +442,10 @@ def _(t):
     return t.fixes.select("journey_id", ok.alias("ok")).groupBy("journey_id").agg(F.bool_or("ok").alias("any_point"), F.bool_and("ok").alias("every_point"))
 
 
-@query("flt07_envelope_prefilter", "fixes boxes", "SELECT DISTINCT event_id FROM fixes f, boxes b WHERE b.box_id % 4 = 0 AND lng >= west AND lng < east AND lat >= south AND lat < north")
+@query("flt07_envelope_prefilter", "fixes boxes", "SELECT DISTINCT event_id FROM fixes f, boxes b WHERE lng >= west + 0.02 AND lng < east - 0.02 AND lat >= south + 0.01 AND lat < north - 0.01")
 def _(t):
     from ..operators.gridjoin import points_in_boxes
-    return points_in_boxes(t.fixes.select("event_id", "lng", "lat"), t.boxes.where("box_id % 4 = 0"), 0.1).select("event_id").distinct()
+    return points_in_boxes(t.fixes.select("event_id", "lng", "lat"), t.boxes.selectExpr("west + 0.02D AS west", "east - 0.02D AS east", "south + 0.01D AS south", "north - 0.01D AS north"), 0.1).select("event_id").distinct()
 
 
 @query("flt08_journey_filters", "journeys", """SELECT mode, count(*) AS journeys FROM journeys WHERE mode IN ('walking', 'running', 'driving') AND status <> 'P' AND CAST(strftime(make_timestamp(start_ms * 1000) + INTERVAL 1 HOUR, '%Y') AS BIGINT) >= 1995 GROUP BY mode""")

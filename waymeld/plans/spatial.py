@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo, text
 from ..operators import joins as J
-from ..operators.gridjoin import near_any, nearest_within, points_in_boxes, segment_cells, planar_cell, box_cells, within_radius
+from ..operators.gridjoin import near_any, nearest_within, points_in_boxes, segment_cells, planar_cell, within_radius
 from ..operators.intervals import points_in_intervals
 from .coverage import hav
 from .registry import query
@@ -115,11 +115,11 @@ def _(t):
     return t.journeys.where("start_ms >= 883612800000").join(seen, "journey_id", "left_anti").select("journey_id")
 
 
-@query("jn12_inventory_status", "boxes", "SELECT b.box_id, CASE WHEN c.n > 50 THEN 'ready' WHEN c.n > 0 THEN 'building' ELSE 'not_requested' END AS status FROM boxes b LEFT JOIN (SELECT c_nationkey, count(*) AS n FROM customer WHERE c_mktsegment = 'HOUSEHOLD' AND c_nationkey < 20 GROUP BY 1 HAVING count(*) > 0) c ON b.box_id = c.c_nationkey WHERE TRUE")
+@query("jn12_inventory_status", "boxes", "SELECT b.box_id, CASE WHEN c.n > 2 THEN 'ready' WHEN c.n > 0 THEN 'building' ELSE 'not_requested' END AS status FROM boxes b LEFT JOIN (SELECT c_nationkey, count(*) AS n FROM customer WHERE c_mktsegment = 'HOUSEHOLD' AND c_acctbal > 8000 GROUP BY 1 HAVING count(*) > 0) c ON b.box_id = c.c_nationkey WHERE TRUE")
 def _(t):
-    n = t.customer.where("c_mktsegment = 'HOUSEHOLD' AND c_nationkey < 20").groupBy(F.col("c_nationkey").alias("box_id")).agg(F.count("*").alias("n"))
+    n = t.customer.where("c_mktsegment = 'HOUSEHOLD' AND c_acctbal > 8000").groupBy(F.col("c_nationkey").alias("box_id")).agg(F.count("*").alias("n"))
     j = t.boxes.join(n, "box_id", "left")
-    return j.select("box_id", F.coalesce(F.when(F.col("n") > 50, "ready").when(F.col("n").isNotNull(), "building"), F.lit("not_requested")).alias("status"))
+    return j.select("box_id", F.coalesce(F.when(F.col("n") > 2, "ready").when(F.col("n").isNotNull(), "building"), F.lit("not_requested")).alias("status"))
 
 
 @query("jn13_identity_binding", "spans bindings", """SELECT b.route_id, count(*) AS bound, count(DISTINCT s.edge_id) AS ways FROM spans s JOIN bindings b ON s.edge_id = b.way_id AND b.piece = 0 AND list_contains(string_split(b.modes, ','), s.mode) WHERE s.edge_id % 10 <> 3 GROUP BY 1""")
@@ -268,9 +268,9 @@ def _(t):
         best("edge_id % 3 <> 0 AND d <= 15").alias("road_edge"), best("edge_id % 3 = 1 AND d <= 15").alias("through_edge"))
 
 
-@query("jn30_internal_movement", "trace boxes", f"""WITH {RING_SQL}, {INSIDE_PT.replace("{id}", "event_id").replace("{src}", "trace")} SELECT t.journey_id, bool_and(i.pid IS NOT NULL) AND count(DISTINCT i.box_id) = 1 AS internal FROM trace t LEFT JOIN (SELECT pid, box_id FROM ins WHERE box_id % 3 = 0) i ON t.event_id = i.pid GROUP BY 1""")
+@query("jn30_internal_movement", "trace boxes", "WITH ins AS (SELECT event_id AS pid, box_id FROM trace JOIN boxes ON lng >= west AND lng < east AND lat >= south AND lat < north) SELECT t.journey_id, bool_and(i.pid IS NOT NULL) AND count(DISTINCT i.box_id) = 1 AS internal FROM trace t LEFT JOIN ins i ON t.event_id = i.pid GROUP BY 1")
 def _(t):
-    inside = points_in_boxes(t.trace.select("event_id", "lng", "lat"), _grown(t).where("box_id % 3 = 0"), 0.1).select("event_id", "box_id")
+    inside = points_in_boxes(t.trace.select("event_id", "lng", "lat"), t.boxes, 0.1).select("event_id", "box_id")
     j = t.trace.select("journey_id", "event_id").join(inside, "event_id", "left")
     return j.groupBy("journey_id").agg((F.bool_and(F.col("box_id").isNotNull()) & (F.countDistinct("box_id") == 1)).alias("internal"))
 

@@ -1,12 +1,10 @@
 """Cleaning, segmentation, sessions and stops."""
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
 from ..operators import machines as M
 from ..operators import traces as T
-from ..operators.gridjoin import nearest_within
 from ..operators.intervals import interval_union
 from ..operators.ledgers import first_rows
 from ..operators.ordered import islands, neighbours, overlapping_chunks, running, seq_chunk
@@ -14,7 +12,6 @@ from ..operators.scans import scan_sorted
 from .coverage import hav, union_sql
 from .registry import query
 from .shapes import LINE_SQL, legs
-from .spatial import as_places
 
 W = "WINDOW w AS (PARTITION BY journey_id ORDER BY seq)"
 
