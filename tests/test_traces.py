@@ -157,3 +157,27 @@ def test_inputs_are_not_edited(spark, tables):
     before = rows_of(tables.trace.select("journey_id", "seq", "t_ms"), "journey_id", "seq", "t_ms")
     kept = rows_of(T.thin_trace(tables.trace), "journey_id", "seq")
     assert set(kept) <= {r[:2] for r in before}
+
+
+def test_motion_window_needs_a_sustained_walk():
+    walk_m, stand = M.MotionWindow(), M.MotionWindow()
+    moving = [walk_m.row("j", i, 1_000 + i * 10_000, 51.0 + i * 1.3e-4, -1.0, 5.0, 1.4)[0][2] for i in range(7)]
+    still = [stand.row("j", i, 1_000 + i * 10_000, 51.0 + (i % 2) * 1e-5, -1.0, 5.0, 0.0)[0][2] for i in range(7)]
+    assert moving[-1] and not moving[1] and not any(still)
+
+
+def test_stillness_ends_a_trip_after_five_minutes():
+    m = M.Stillness()
+    out = [x for t in range(0, 331_000, 30_000) for x in m.row("j", 1_000 + t, 51.0, -1.0, 8.0, 0.0)]
+    assert out == [("j", 1_000, 301_000)]
+    moved = M.Stillness()
+    assert not [x for t in range(0, 331_000, 30_000) for x in moved.row("j", 1_000 + t, 51.0 + t * 1e-8, -1.0, 8.0, 1.5)]
+
+
+def test_station_dwell_then_rail_departure():
+    m, events = M.StationDwell(), []
+    for t in range(0, 100_000, 20_000):
+        events += m.row("j", 1_000 + t, 51.0, -1.0, 5.0, 0.0, 4, True)
+    for k, t in enumerate(range(100_000, 180_000, 20_000)):
+        events += m.row("j", 1_000 + t, 51.0 + (k + 1) * 2e-3, -1.0, 5.0, 12.0, None, True)
+    assert [e[2] for e in events] == ["arrival", "dwell", "rail_departure"]
