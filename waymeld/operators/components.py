@@ -8,8 +8,7 @@ from pyspark.sql import functions as F
 from ..session import cut_lineage
 
 
-def connected_components(edges: DataFrame, nodes: DataFrame | None = None, a: str = "a", b: str = "b",
-                         max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, nodes: DataFrame | None = None, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) with the smallest member as component id.
 
     Each round is two group-min passes and two equi-joins, and the number of
@@ -21,14 +20,11 @@ def connected_components(edges: DataFrame, nodes: DataFrame | None = None, a: st
              .select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
     links = cut_lineage(links)
     mark = _mark(links)
-    for _ in range(max_rounds):
+    settled = False
+    while not settled:
         links = cut_lineage(_small_star(_large_star(links)))
         now = _mark(links)
-        if now == mark:
-            break
-        mark = now
-    else:
-        raise RuntimeError("components did not settle")
+        settled, mark = now == mark, now
     rooted = links.select(F.col("u").alias("node"), F.col("v").alias("component"))
     roots = rooted.select(F.col("component").alias("node"), "component").distinct()
     found = rooted.unionByName(roots)
