@@ -1,4 +1,4 @@
 """Imports every corpus operator, so that the registry is complete."""
 
-from . import decontamination, quality, secrets, url_filters  # noqa: F401
+from . import decontamination, quality, secrets, sentencepiece, url_filters  # noqa: F401
 from .common import ORACLES, QUERIES  # noqa: F401
