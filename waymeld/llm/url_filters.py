@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .common import fold_ascii, query, table
 
 #: Distinct urls of one host suffix that one task sorts; above it the suffix gets more slots.
-SLOT_ROWS = 1_000_000
+SLOT_ROWS = 100_000
 
 
 def url_parts(url: Column) -> tuple[Column, Column]:
@@ -89,7 +89,9 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: st
               .select("host_key", F.explode(F.sequence(F.lit(0), F.col("slots") - 1)).alias("slot"), "path",
                       F.lit(0).alias("kind"), F.lit(None).cast("string").alias("host"), "stack"))
     sweep = Window.partitionBy("host_key", "slot").orderBy("path", "kind").rowsBetween(Window.unboundedPreceding, 0)
-    active = (urls.unionByName(starts).withColumn("stack", F.last("stack", True).over(sweep))
+    # Without this the planner keeps the join's partitioning by suffix alone, and a frequent suffix stays in one task.
+    dealt = urls.unionByName(starts).repartition("host_key", "slot")
+    active = (dealt.withColumn("stack", F.last("stack", True).over(sweep))
               .where("kind = 1 AND stack IS NOT NULL")
               .select("host", "path", F.filter("stack", lambda s: F.startswith(F.col("path"), s["path"])).alias("open"))
               .where(F.size("open") > 0)
