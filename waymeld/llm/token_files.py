@@ -130,13 +130,23 @@ class WaveletMatrix:
         return ids.astype(np.uint32)
 
 
+def _pack(part: bytes) -> bytes:
+    """A part behind a byte that tells how it is stored: low bits of ids look random, and squeezing them gains nothing."""
+    middle = part[len(part) // 2:len(part) // 2 + 32_768]
+    return b"z" + zlib.compress(part, 1) if len(zlib.compress(middle, 1)) < 0.9 * len(middle) else b"r" + part
+
+
+def _unpack(part: bytes) -> bytes:
+    return zlib.decompress(part[1:]) if part[:1] == b"z" else part[1:]
+
+
 def pack_shard(doc_ids: list[int | None], lengths: list[int], ids: np.ndarray) -> bytes:
-    """One file: magic, counts, document table, then every plane on its own, all compressed."""
+    """One file: magic, counts, document table, then every plane on its own, compressed where that gains."""
     matrix = WaveletMatrix.build(ids)
     known = np.array([d is not None for d in doc_ids], np.uint8)
     names = np.array([0 if d is None else d for d in doc_ids], "<i8")
     parts = [known.tobytes() + names.tobytes() + np.array(lengths, "<i8").tobytes(), *[p.tobytes() for p in matrix.planes]]
-    packed = [zlib.compress(p, 1) for p in parts]
+    packed = [_pack(p) for p in parts]
     head = struct.pack("<4sQQI", MAGIC, len(doc_ids), len(ids), matrix.depth)
     return head + struct.pack(f"<{len(packed)}Q", *map(len, packed)) + b"".join(packed)
 
@@ -150,7 +160,7 @@ def unpack_shard(content: bytes) -> tuple[list[int | None], np.ndarray, WaveletM
     at += 8 * len(sizes)
     parts = []
     for size in sizes:
-        parts.append(zlib.decompress(content[at:at + size]))
+        parts.append(_unpack(content[at:at + size]))
         at += size
     known = np.frombuffer(parts[0][:docs], np.uint8)
     names = np.frombuffer(parts[0][docs:9 * docs], "<i8")
@@ -159,11 +169,16 @@ def unpack_shard(content: bytes) -> tuple[list[int | None], np.ndarray, WaveletM
             WaveletMatrix(n, [np.frombuffer(p, np.uint8) for p in parts[1:]]))
 
 
+#: Signs that, behind letters, are a piece of their own before the merges.
+_SIGNS = b".,!?;:&%$#*|)"
+
+
 class WordEncoder:
     """Ids of texts from a tokenizer that never joins across white space: each distinct word is encoded once.
 
-    The tokenizer folds case itself, so folding A-Z first changes nothing; and a
-    full stop or comma behind a letter is a piece of its own before the merges.
+    The tokenizer folds case itself, so folding A-Z first changes nothing; a run of
+    signs behind letters is split off before the merges; and words of letters alone can
+    share a call, since the last id of each is one that ends a word.
     """
 
     def __init__(self, path: str, memo: int = MEMO):
@@ -172,6 +187,9 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for piece, i in vocabulary.items() if piece.endswith("</w>")]] = True
         self.most, self.memo = memo, {}
 
     def encode(self, texts: list[bytes], end: int) -> list[np.ndarray]:
@@ -180,17 +198,38 @@ class WordEncoder:
         if len(self.memo) + len(new) > self.most:
             self.memo.clear()
             new = set().union(*split)
-        joined = {w for w in new if w[-1:] in b".," and w[:-1].isalpha()}
-        plain = (new - joined) | ({w[:-1] for w in joined} | ({w[-1:] for w in joined})).difference(self.memo)
-        plain = list(plain)
-        found = self.tokenizer.encode_batch_fast([w.decode() for w in plain], add_special_tokens=False)
-        memo = self.memo
-        for w, e in zip(plain, found):
-            memo[w] = struct.pack(f"<{len(ids := e.ids)}I", *ids)
-        for w in joined:
-            memo[w] = memo[w[:-1]] + memo[w[-1:]]
-        tail = struct.pack("<I", end)
-        return [np.frombuffer(b"".join([*map(memo.__getitem__, words), tail]), "<u4") for words in split]
+        self._learn(new)
+        tail, get = struct.pack("<I", end), self.memo.__getitem__
+        return [np.frombuffer(b"".join([*map(get, words), tail]), "<u4") for words in split]
+
+    def _learn(self, new: set[bytes]) -> None:
+        memo, ended = self.memo, []
+        letters, rest = set(), set()
+        for w in new:
+            stem = w.rstrip(_SIGNS)
+            if not stem.decode().isalpha():
+                rest.add(w)
+                continue
+            letters.add(stem)
+            if len(stem) < len(w):
+                rest.add(w[len(stem):])
+                ended.append((w, stem))
+        plain = [w for w in letters if w not in memo]
+        for at in range(0, len(plain), 1_000):
+            part = plain[at:at + 1_000]
+            ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(part).decode()], add_special_tokens=False)[0].ids, "<u4")
+            cuts = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            if len(cuts) != len(part):  # a word that normalises to more than letters
+                rest.update(part)
+                continue
+            raw = ids.tobytes()
+            memo.update(zip(part, (raw[a:b] for a, b in zip([0, *cuts], cuts))))
+        single = [w for w in rest if w not in memo]
+        for w, e in zip(single, self.tokenizer.encode_batch_fast([w.decode() for w in single], add_special_tokens=False)):
+            ids = e.ids
+            memo[w] = struct.pack(f"<{len(ids)}I", *ids)
+        for w, stem in ended:
+            memo[w] = memo[stem] + memo[w[len(stem):]]
 
 
 _encoders: dict[str, WordEncoder] = {}
