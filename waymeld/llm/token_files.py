@@ -13,6 +13,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -130,23 +131,14 @@ class WaveletMatrix:
         return ids.astype(np.uint32)
 
 
-def _pack(part: bytes) -> bytes:
-    """A part behind a byte that tells how it is stored: low bits of ids look random, and squeezing them gains nothing."""
-    middle = part[len(part) // 2:len(part) // 2 + 32_768]
-    return b"z" + zlib.compress(part, 1) if len(zlib.compress(middle, 1)) < 0.9 * len(middle) else b"r" + part
-
-
-def _unpack(part: bytes) -> bytes:
-    return zlib.decompress(part[1:]) if part[:1] == b"z" else part[1:]
-
-
 def pack_shard(doc_ids: list[int | None], lengths: list[int], ids: np.ndarray) -> bytes:
-    """One file: magic, counts, document table, then every plane on its own, compressed where that gains."""
+    """One file: magic, counts, document table, then every plane on its own, all compressed."""
     matrix = WaveletMatrix.build(ids)
     known = np.array([d is not None for d in doc_ids], np.uint8)
     names = np.array([0 if d is None else d for d in doc_ids], "<i8")
     parts = [known.tobytes() + names.tobytes() + np.array(lengths, "<i8").tobytes(), *[p.tobytes() for p in matrix.planes]]
-    packed = [_pack(p) for p in parts]
+    packer = zstandard.ZstdCompressor(level=1)
+    packed = [packer.compress(p) for p in parts]
     head = struct.pack("<4sQQI", MAGIC, len(doc_ids), len(ids), matrix.depth)
     return head + struct.pack(f"<{len(packed)}Q", *map(len, packed)) + b"".join(packed)
 
@@ -158,9 +150,9 @@ def unpack_shard(content: bytes) -> tuple[list[int | None], np.ndarray, WaveletM
     at = struct.calcsize("<4sQQI")
     sizes = struct.unpack_from(f"<{depth + 1}Q", content, at)
     at += 8 * len(sizes)
-    parts = []
+    parts, unpacker = [], zstandard.ZstdDecompressor()
     for size in sizes:
-        parts.append(_unpack(content[at:at + size]))
+        parts.append(unpacker.decompress(content[at:at + size]))
         at += size
     known = np.frombuffer(parts[0][:docs], np.uint8)
     names = np.frombuffer(parts[0][docs:9 * docs], "<i8")
