@@ -388,11 +388,11 @@ def polygon_area(rings) -> Column:
     return ring_area(F.element_at(rings, 1)) - holes
 
 
-def ring_valid(ring, most: int = 20_000) -> Column:
+def ring_valid(ring) -> Column:
     ring = _c(ring)
     n = F.size(ring)
     first, last = F.element_at(ring, 1), F.element_at(ring, -1)
-    return F.coalesce((n >= 4) & (n <= most) & (first["x"] == last["x"]) & (first["y"] == last["y"])
+    return F.coalesce((n >= 4) & (first["x"] == last["x"]) & (first["y"] == last["y"])
                       & F.forall(ring, lambda p: p["x"].between(-180, 180) & p["y"].between(-90, 90)
                                  & ~F.isnan(p["x"]) & ~F.isnan(p["y"])), F.lit(False))
 

@@ -12,14 +12,15 @@ MODE_LABELS = {
     "IN_PASSENGER_VEHICLE": "driving", "IN_VEHICLE": "driving", "DRIVING": "driving",
     "IN_ROAD_VEHICLE": "driving", "MOTORCYCLING": "driving", "IN_BUS": "bus",
     "WALKING": "walking", "ON_FOOT": "walking", "RUNNING": "running",
-    "CYCLING": "cycling", "ON_BICYCLE": "cycling",
-    "IN_TRAIN": "train", "IN_SUBWAY": "train", "IN_TRAM": "tram",
-    "IN_FERRY": "ferry", "BOATING": "ferry", "FLYING": "flight",
+    "IN_PEDESTRIAN": "walking", "CYCLING": "cycling", "ON_BICYCLE": "cycling", "BIKING": "cycling",
+    "IN_TRAIN": "train", "IN_SUBWAY": "train", "IN_TRAM": "train", "IN_CABLECAR": "transit",
+    "IN_FERRY": "ferry", "BOATING": "ferry", "FLYING": "flight", "IN_AIRPLANE": "flight",
 }
 
 # Highway classes by use.
-WALKABLE = ["footway", "path", "pedestrian", "steps", "cycleway", "bridleway", "track", "living_street",
-            "residential", "unclassified", "service", "tertiary", "secondary", "primary"]
+WALKABLE = ["bridleway", "corridor", "cycleway", "footway", "living_street", "path",
+            "pedestrian", "primary", "residential", "road", "secondary", "service",
+            "steps", "tertiary", "track", "unclassified"]
 LOCAL_ROADS = ["residential", "unclassified", "living_street", "tertiary", "secondary", "primary", "trunk", "pedestrian"]
 DRIVING = ["motorway", "trunk", "primary", "secondary", "tertiary", "unclassified", "residential",
            "living_street", "motorway_link", "trunk_link", "primary_link", "secondary_link", "tertiary_link"]

@@ -64,7 +64,7 @@ def align_pairs(pairs: DataFrame, edges: DataFrame, policy: AlignPolicy = AlignP
                      F.greatest("ax", "bx") + margin, F.greatest("ay", "by") + margin, policy.cell_m)
     named = edges.select("edge_id", "a_node", "b_node", "direction", "eligible", "length_mm",
                          *[F.col(c).alias(f"e{c}") for c in ("ax", "ay", "bx", "by")])
-    right = segment_cells(named, "eax", "eay", "ebx", "eby", policy.cell_m).distinct()
+    right = segment_cells(named, "eax", "eay", "ebx", "eby", policy.cell_m)
     met = left.join(right, ["_cx", "_cy"]).drop("_cx", "_cy")
     # Boxes first: plain comparisons in generated code thin the pairs out.
     for axis in ("x", "y"):

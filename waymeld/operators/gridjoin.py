@@ -103,16 +103,24 @@ def box_cells(df: DataFrame, west: Column, south: Column, east: Column, north: C
 
 def segment_cells(df: DataFrame, ax: str, ay: str, bx: str, by: str, cell: float,
                   margin: float = 0.0) -> DataFrame:
-    """Cells a segment passes near; cut to cell-length pieces so a long diagonal
-    does not fill its whole box. A cell may repeat: deduplicate pairs after the join."""
+    """A row for each cell a segment passes near; cut to cell-length pieces, so that a long
+    diagonal does not fill its whole box. Cells are made distinct inside the row, before
+    they are copied, so rows need no shuffle to be unique."""
     c = F.col
-    pieces = F.greatest(F.lit(1), F.ceil(F.hypot(c(bx) - c(ax), c(by) - c(ay)) / F.lit(cell))).cast("long")
-    cut = (df.withColumn("_n", pieces).withColumn("_i", F.explode(F.sequence(F.lit(0).cast("long"), c("_n") - 1))))
-    x0, x1 = c(ax) + (c(bx) - c(ax)) * c("_i") / c("_n"), c(ax) + (c(bx) - c(ax)) * (c("_i") + 1) / c("_n")
-    y0, y1 = c(ay) + (c(by) - c(ay)) * c("_i") / c("_n"), c(ay) + (c(by) - c(ay)) * (c("_i") + 1) / c("_n")
-    spread = box_cells(cut, F.least(x0, x1) - margin, F.least(y0, y1) - margin,
-                       F.greatest(x0, x1) + margin, F.greatest(y0, y1) + margin, cell)
-    return spread.drop("_n", "_i")
+    size, pad = F.lit(cell), F.lit(margin)
+    pieces = F.greatest(F.lit(1), F.ceil(F.hypot(c(bx) - c(ax), c(by) - c(ay)) / size)).cast("long")
+
+    def span(low: Column, high: Column) -> Column:
+        return F.sequence(F.floor((F.least(low, high) - pad) / size), F.floor((F.greatest(low, high) + pad) / size))
+
+    def piece(i: Column) -> Column:
+        at = lambda a, b, k: c(a) + (c(b) - c(a)) * k / pieces
+        ys = span(at(ay, by, i), at(ay, by, i + 1))
+        return F.flatten(F.transform(span(at(ax, bx, i), at(ax, bx, i + 1)), lambda x: F.transform(
+            ys, lambda y: F.struct(x.alias("_cx"), y.alias("_cy")))))
+
+    cells = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(0).cast("long"), pieces - 1), piece)))
+    return df.withColumn("_cell", F.explode(cells)).select(*df.columns, "_cell._cx", "_cell._cy")
 
 
 def points_in_boxes(points: DataFrame, boxes: DataFrame, cell_deg: float,

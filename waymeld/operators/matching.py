@@ -28,14 +28,13 @@ class MatchPolicy:
     candidates: int = 24
     request_points: int = 500
     margin_m: float = 160.0
-    most_edges: int = 50_000
     cell_m: float = 120.0
 
 
 def edge_candidates(points: DataFrame, edges: DataFrame, policy: MatchPolicy = MatchPolicy()) -> DataFrame:
     """Nearest edges of each point: up to `candidates` within `radius_m`, with offset fraction and gap."""
     e = edges.select("edge_id", "ax", "ay", "bx", "by")
-    right = segment_cells(e, "ax", "ay", "bx", "by", policy.cell_m, policy.radius_m).distinct()
+    right = segment_cells(e, "ax", "ay", "bx", "by", policy.cell_m, policy.radius_m)
     near = planar_cell(points, "x", "y", policy.cell_m).join(right, ["_cx", "_cy"])
     near = near.withColumn("gap", point_segment("x", "y", "ax", "ay", "bx", "by")).where(F.col("gap") <= policy.radius_m)
     near = near.withColumn("frac", segment_fraction("x", "y", "ax", "ay", "bx", "by")).drop("_cx", "_cy", "ax", "ay", "bx", "by")
@@ -45,7 +44,7 @@ def edge_candidates(points: DataFrame, edges: DataFrame, policy: MatchPolicy = M
 
 
 def match_journeys(points: DataFrame, edges: DataFrame, policy: MatchPolicy = MatchPolicy()) -> DataFrame:
-    """Snapped edge and offset per point, or a held request with its reason.
+    """Snapped edge and offset per point; a request that cannot be matched says why.
 
     Points hold journey_id, seq (dense), x, y, accuracy_m. A request takes at most
     `request_points` points; neighbouring requests share their border point.
@@ -63,22 +62,18 @@ def match_journeys(points: DataFrame, edges: DataFrame, policy: MatchPolicy = Ma
         ("w", F.min, "x"), ("s", F.min, "y"), ("e", F.max, "x"), ("n", F.max, "y"))])
     m = policy.margin_m
     reach = box_cells(boxes, F.col("w") - m, F.col("s") - m, F.col("e") + m, F.col("n") + m, 1000.0)
-    cells = segment_cells(edges, "ax", "ay", "bx", "by", 1000.0).distinct()
+    cells = segment_cells(edges, "ax", "ay", "bx", "by", 1000.0)
     hit = reach.join(cells, ["_cx", "_cy"]).where(
         (F.greatest("ax", "bx") >= F.col("w") - m) & (F.least("ax", "bx") <= F.col("e") + m)
         & (F.greatest("ay", "by") >= F.col("s") - m) & (F.least("ay", "by") <= F.col("n") + m))
     clipped = cut_lineage(hit.select("journey_id", "request", "edge_id", "a_node", "b_node", "ax", "ay", "bx", "by").distinct())
-    # A request over too dense a network is held before any group is built.
-    size = clipped.groupBy("journey_id", "request").agg(F.count("*").alias("edges"))
-    big = size.where(F.col("edges") > policy.most_edges).select("journey_id", "request")
     keys = ["journey_id", "request"]
-    held = big.select(*keys, F.lit(None).cast("long").alias("seq"), F.lit(None).cast("long").alias("edge_id"), F.lit(None).cast("double").alias("frac"), F.lit("network_too_large").alias("status"))
     schema = "journey_id long, request long, seq long, edge_id long, frac double, status string"
     # Both sides descend from the same points: fresh column ids keep them apart.
-    anew = lambda df: df.join(big, keys, "left_anti").select(*[F.col(c).alias(c) for c in df.columns])
+    anew = lambda df: df.select(*[F.col(c).alias(c) for c in df.columns])
     left, right = keep_parallel(anew(lattice), keys), keep_parallel(anew(clipped), keys)
     done = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(_match_request, schema)
-    return done.unionByName(held)
+    return done
 
 
 def _match_request(lattice: pd.DataFrame, network: pd.DataFrame) -> pd.DataFrame:
@@ -258,7 +253,7 @@ def observed_intervals(fixes: DataFrame, edges: DataFrame, snap_m: float = 8.0,
     """
     e = edges.select("edge_id", "eligible", "ax", "ay", "bx", "by", F.hypot(F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")).alias("len"))
     wide = snap_m + accuracy_m
-    right = segment_cells(e, "ax", "ay", "bx", "by", 40.0, wide).distinct()
+    right = segment_cells(e, "ax", "ay", "bx", "by", 40.0, wide)
     near = planar_cell(fixes.where((F.col("accuracy_m") > 0) & (F.col("accuracy_m") <= accuracy_m)), "x", "y", 40.0).join(right, ["_cx", "_cy"])
     near = near.withColumn("d", F.round(point_segment("x", "y", "ax", "ay", "bx", "by"), 6)).where(F.col("d") <= wide)
     near = near.withColumn("at", segment_fraction("x", "y", "ax", "ay", "bx", "by") * F.col("len"))
@@ -283,7 +278,7 @@ def score_hypotheses(fixes: DataFrame, paths: DataFrame, witness_m: float = 25.0
     `paths` holds hypothesis, edge_id, base_m and the edge ends. A fix witnesses a
     path within `witness_m`; coverage of all thirds and rising offsets count.
     """
-    right = segment_cells(paths, "ax", "ay", "bx", "by", 50.0, witness_m).distinct()
+    right = segment_cells(paths, "ax", "ay", "bx", "by", 50.0, witness_m)
     near = planar_cell(fixes, "x", "y", 50.0).join(right, ["_cx", "_cy"])
     near = near.withColumn("d", F.round(point_segment("x", "y", "ax", "ay", "bx", "by"), 6)).where(F.col("d") <= witness_m)
     offset = F.col("base_m") + segment_fraction("x", "y", "ax", "ay", "bx", "by") * F.hypot(F.col("bx") - F.col("ax"), F.col("by") - F.col("ay"))

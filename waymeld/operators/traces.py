@@ -88,18 +88,8 @@ def time_sections(fixes: DataFrame, keys: list[str], gap_ms: int, least: int = 2
     return cut.drop("_pt", "_nt"), gaps
 
 
-def guarded(points: DataFrame, keys: list[str], limit: int = REVIEW_POINTS) -> DataFrame:
-    """Only the keys at or below the review limit: groups of these fit one task.
-
-    Use with operators that need a whole section at once; `size_guard` lists the
-    keys set aside, so none disappears silently.
-    """
-    small = size_guard(points, keys, limit).where("decision = 'process'").select(*keys)
-    return points.join(small, keys, "left_semi")
-
-
-def grouped_keep(points: DataFrame, keys: list[str], columns: list[str], choose, limit: int = REVIEW_POINTS) -> DataFrame:
-    """(keys, seq) of the rows `choose` keeps from each guarded, ordered section."""
+def grouped_keep(points: DataFrame, keys: list[str], columns: list[str], choose) -> DataFrame:
+    """(keys, seq) of the rows `choose` keeps from each ordered section. Every section is worked on, whatever its size."""
     import pandas as pd
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
@@ -109,7 +99,7 @@ def grouped_keep(points: DataFrame, keys: list[str], columns: list[str], choose,
 
     types = dict(points.dtypes)
     schema = ", ".join(f"{k} {types[k]}" for k in [*keys, "seq"])
-    narrow = guarded(points, keys, limit).select(*keys, "seq", *columns)
+    narrow = points.select(*keys, "seq", *columns)
     return keep_parallel(narrow, keys).groupBy(*keys).applyInPandas(run, schema)
 
 

@@ -81,7 +81,7 @@ def _(t):
     inside = lambda x, y: F.col(x).between(m, 1200 - m) & F.col(y).between(m, 1e9 - m)
     p = p.where((F.col("reason").isNull()) & (F.col("step_m") <= 35) & inside("ax", "ay") & inside("bx", "by"))
     left = box_cells(p, F.least("ax", "bx") - 7.0, F.least("ay", "by") - 7.0, F.greatest("ax", "bx") + 7.0, F.greatest("ay", "by") + 7.0, 40.0)
-    right = segment_cells(t.net.selectExpr("edge_id", "ax AS eax", "ay AS eay", "bx AS ebx", "by AS eby"), "eax", "eay", "ebx", "eby", 40.0).distinct()
+    right = segment_cells(t.net.selectExpr("edge_id", "ax AS eax", "ay AS eay", "bx AS ebx", "by AS eby"), "eax", "eay", "ebx", "eby", 40.0)
     o = geo.observed_overlap([F.col(c) for c in ("eax", "eay", "ebx", "eby")], [F.col(c) for c in ("ax", "ay", "bx", "by")], [F.lit(7.0)])
     near = left.join(right, ["_cx", "_cy"]).dropDuplicates(["journey_id", "seq", "edge_id"])
     hit = near.withColumn("o", F.explode(F.filter(o, lambda x: x.isNotNull())))
@@ -120,7 +120,7 @@ def _(t):
 
 @query("udf03_grouped_map")
 def _(t):
-    # The grouped hook over bounded sections; sections above the review limit are listed by size_guard.
+    # The grouped hook over whole sections.
     rows, _gaps = T.time_sections(t.trace.where(F.col("mode") == "driving"), ["journey_id"], 120_000)
     return T.grouped_keep(rows, ["journey_id", "section"], ["lat", "lng"], lambda p: M.simplify_line(p, 5.0, 200.0))
 

@@ -215,7 +215,7 @@ def _long_lines(t):
 def lines_on_sites(t):
     """Candidate (line, site) pairs by grid cells, once each."""
     from ..operators.gridjoin import box_cells, segment_cells
-    left = segment_cells(_long_lines(t), "ax", "ay", "cx", "cy", 0.1).distinct()
+    left = segment_cells(_long_lines(t), "ax", "ay", "cx", "cy", 0.1)
     sites = ring(t)
     right = box_cells(sites.select("box_id", "west", "south", F.expr("east + 0.01D").alias("east"), "north"), F.col("west"), F.col("south"), F.col("east"), F.col("north"), 0.1)
     pairs = left.join(right.select("box_id", "_cx", "_cy"), ["_cx", "_cy"]).drop("_cx", "_cy").distinct()

@@ -142,7 +142,7 @@ def _(t):
     src = t.net.selectExpr("edge_id AS src_id", "ax + 1 AS sx", "ay + edge_id % 14 AS sy", "bx + 1 AS tx", "by + edge_id % 14 + edge_id % 3 AS ty")
     st = src.withColumn("k", F.explode(F.array(*map(F.lit, range(6))))).withColumns({"px": F.expr("sx + (tx - sx) * (k + 0.5D) / 6"), "py": F.expr("sy + (ty - sy) * (k + 0.5D) / 6")})
     e = t.net.select("edge_id", "ax", "ay", "bx", "by")
-    right = segment_cells(e, "ax", "ay", "bx", "by", 40.0, 10.0).distinct()
+    right = segment_cells(e, "ax", "ay", "bx", "by", 40.0, 10.0)
     near = planar_cell(st, "px", "py", 40.0).join(right, ["_cx", "_cy"])
     ok = near.where((geo.angle_deg(F.expr("tx - sx"), F.expr("ty - sy"), F.expr("bx - ax"), F.expr("by - ay"), directed=False) <= 15)
                     & (geo.point_segment("px", "py", "ax", "ay", "bx", "by") <= 10))
@@ -188,7 +188,7 @@ def planar_near_sql(name: str, cond: str, reach: float) -> str:
 
 
 def planar_near(points, edges, reach: float, keep=()):
-    right = segment_cells(edges, "ax", "ay", "bx", "by", 40.0, reach).distinct()
+    right = segment_cells(edges, "ax", "ay", "bx", "by", 40.0, reach)
     near = planar_cell(points, "x", "y", 40.0).join(right, ["_cx", "_cy"]).drop("_cx", "_cy")
     return near.withColumn("d", geo.point_segment("x", "y", "ax", "ay", "bx", "by")).where(F.col("d") <= reach)
 
@@ -289,8 +289,8 @@ FROM tl JOIN (SELECT edge_id, ax AS ex, ay AS ey, bx AS fx, "by" AS fy FROM net)
 def _(t):
     lines = t.net.where("by = ay").selectExpr("edge_id AS line_id", "ax + 20 AS sx", "ay AS sy", "ax + 110 AS tx", "ay AS ty")
     e = t.net.select("edge_id", "ax", "ay", "bx", "by")
-    left = segment_cells(lines, "sx", "sy", "tx", "ty", 60.0).distinct()
-    right = segment_cells(e, "ax", "ay", "bx", "by", 60.0).distinct()
+    left = segment_cells(lines, "sx", "sy", "tx", "ty", 60.0)
+    right = segment_cells(e, "ax", "ay", "bx", "by", 60.0)
     # Collinear: both edge ends on the line's carrier; offsets are feet on either axis.
     foot = lambda px, py, a: geo.segment_fraction(px, py, *a, clamped=False)
     line, edge = ("sx", "sy", "tx", "ty"), ("ax", "ay", "bx", "by")

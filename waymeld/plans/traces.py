@@ -139,19 +139,19 @@ def _(t):
 @query("win12_clean_foot_trace")
 def _(t):
     foot = t.trace.where(F.col("mode") == "walking")
-    rows, _gaps = T.time_sections(foot, ["journey_id"], 900_000)
+    rows, _gaps = T.time_sections(foot, ["journey_id"], 900_000, least=1)
     return T.grouped_keep(rows, ["journey_id", "section"], ["t_ms", "lat", "lng", "accuracy_m", "speed_mps"], M.clean_foot_path)
 
 
 @query("win13_simplify_cycling")
 def _(t):
-    rows, _gaps = T.time_sections(t.trace.where(F.col("mode") == "cycling"), ["journey_id"], 900_000)
+    rows, _gaps = T.time_sections(t.trace.where(F.col("mode") == "cycling"), ["journey_id"], 900_000, least=1)
     return T.grouped_keep(rows, ["journey_id", "section"], ["lat", "lng"], lambda p: M.simplify_line(p, 5.0, 100.0))
 
 
 @query("win13_simplify_walking")
 def _(t):
-    rows, _gaps = T.time_sections(t.trace.where(F.col("mode") == "walking"), ["journey_id"], 900_000)
+    rows, _gaps = T.time_sections(t.trace.where(F.col("mode") == "walking"), ["journey_id"], 900_000, least=1)
     return T.grouped_keep(rows, ["journey_id", "section"], ["lat", "lng"], lambda p: M.simplify_line(p, 3.0, 60.0, 8, 111_195.0))
 
 

@@ -67,7 +67,7 @@ def load_areas(spark: SparkSession, areas: list[str], load) -> tuple[list[str],
             load(area)
             done.append(area)
         except Exception as error:  # the failure table is the result
-            failed.append((area, type(error).__name__, str(error)[:200]))
+            failed.append((area, type(error).__name__, str(error)))
     return done, spark.createDataFrame(failed, "area string, kind string, message string")
 
 
