@@ -89,8 +89,11 @@ class WaveletMatrix:
         return start, stop
 
     def count(self, value: int, start: int = 0, stop: int | None = None) -> int:
-        """How often an id stands in [start, stop)."""
-        a, b = self._interval(value, start, self.n if stop is None else stop)
+        """How often an id stands in [start, stop); the range is cut to the file."""
+        start, stop = max(0, start), self.n if stop is None else min(stop, self.n)
+        if start >= stop:
+            return 0
+        a, b = self._interval(value, start, stop)
         return b - a
 
     def select(self, value: int, k: int) -> int:
