@@ -26,7 +26,7 @@ _SPACE = SPACE.encode()
 #: As in the library: an unknown character costs this much more than the worst piece.
 UNKNOWN_COST = 10.0
 #: Chunks that a worker remembers; beyond it the memory starts anew, which changes no result.
-MEMO = 1_000_000
+MEMO = 300_000
 #: Scores are whole multiples of 2 ** -20, so that sums are exact and ties are true ties.
 SCALE = 1 << 20
 _NEVER = -(1 << 62)
