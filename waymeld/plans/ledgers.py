@@ -376,9 +376,9 @@ def _(t):
     return L.greedy_keep(m, ["road_ref"], "anchor_id", "x", "y", 3000.0)
 
 
-@query("set04_automatic_or_manual", "visits", "SELECT DISTINCT user_id, venue_id FROM visits UNION SELECT c_custkey, c_custkey % 10 + 1 FROM customer WHERE c_mktsegment = 'MACHINERY'")
+@query("set04_automatic_or_manual", "visits", "SELECT DISTINCT user_id, venue_id FROM visits UNION SELECT c_custkey, c_custkey % 10 + 1 FROM customer")
 def _(t):
-    manual = t.customer.where("c_mktsegment = 'MACHINERY'").select(F.col("c_custkey").alias("user_id"), F.expr("c_custkey % 10 + 1").alias("venue_id"))
+    manual = t.customer.select(F.col("c_custkey").alias("user_id"), F.expr("c_custkey % 10 + 1").alias("venue_id"))
     return t.visits.select("user_id", "venue_id").unionByName(manual).distinct()
 
 

@@ -45,15 +45,18 @@ def _(t):
     return r.select("journey_id", "edge_id", "seq", F.round("lo_m", 4).alias("lo_m"), F.round("hi_m", 4).alias("hi_m"))
 
 
-@query("gra08_hypothesis_scores", "obs net", """WITH pth AS (SELECT a_node // 1000 AS hypothesis, edge_id, (a_node % 1000) * 60.0::DOUBLE AS base_m, ax, ay, bx AS cx FROM net WHERE edge_id % 2 = 0),
-nr AS (SELECT o.journey_id, hypothesis, o.seq, round(sqrt(pow(o.x - greatest(ax, least(cx, o.x)), 2) + pow(o.y - ay, 2)), 6) AS d, base_m + greatest(ax, least(cx, o.x)) - ax AS off FROM obs o JOIN pth ON abs(o.y - ay) <= 25 AND o.x BETWEEN ax - 25 AND cx + 25),
+@query("gra08_hypothesis_scores", "obs net", """WITH pth AS (SELECT CASE WHEN edge_id % 2 = 0 THEN a_node // 1000 ELSE -1 - a_node % 1000 END AS hypothesis, edge_id,
+ CASE WHEN edge_id % 2 = 0 THEN a_node % 1000 ELSE a_node // 1000 END * 60.0::DOUBLE AS base_m, ax, ay, bx AS cx, "by" AS cy FROM net),
+nr AS (SELECT o.journey_id, hypothesis, o.seq, round(sqrt(pow(o.x - greatest(ax, least(cx, o.x)), 2) + pow(o.y - greatest(ay, least(cy, o.y)), 2)), 6) AS d,
+ base_m + greatest(ax, least(cx, o.x)) - ax + greatest(ay, least(cy, o.y)) - ay AS off FROM obs o JOIN pth ON o.y BETWEEN ay - 25 AND cy + 25 AND o.x BETWEEN ax - 25 AND cx + 25),
 one AS (SELECT journey_id, hypothesis, seq, min(d) AS d, arg_min(off, (d, off)) AS off FROM nr WHERE d <= 25 GROUP BY 1, 2, 3), sp AS (SELECT journey_id, count(*) AS fixes, max(seq) AS last FROM obs GROUP BY 1),
 ag AS (SELECT a.journey_id, a.hypothesis, count(*) AS w, count(*) FILTER (b.off > a.off) AS rising, count(b.off) AS steps, any_value(fixes) AS fixes, count(DISTINCT CAST(floor(a.seq * 3::DOUBLE / (last + 1)) AS BIGINT)) AS thirds, median(a.d) AS med FROM one a LEFT JOIN one b ON b.journey_id = a.journey_id AND b.hypothesis = a.hypothesis AND b.seq = a.seq + 1 JOIN sp ON sp.journey_id = a.journey_id GROUP BY 1, 2),
 sc AS (SELECT *, round(w::DOUBLE / fixes + coalesce(rising::DOUBLE / nullif(steps, 0), 0) - med / 100, 6) AS score FROM ag WHERE thirds = 3 AND w >= 3), rk AS (SELECT *, row_number() OVER (PARTITION BY journey_id ORDER BY score DESC, hypothesis) AS k FROM sc)
 SELECT journey_id, max(hypothesis) FILTER (k = 1) AS hypothesis, max(score) AS score, CASE WHEN count(*) = 1 OR max(score) - min(score) >= 0.1 THEN 'best' ELSE 'ambiguous' END AS verdict FROM rk WHERE k <= 2 GROUP BY 1""")
 def _(t):
-    # A path per street row; its edges follow each other from west to east.
-    paths = t.net.where("edge_id % 2 = 0").selectExpr("a_node DIV 1000 AS hypothesis", "edge_id", "CAST(a_node % 1000 * 60 AS DOUBLE) AS base_m", "ax", "ay", "bx", "by")
+    # A path per street row, from west to east, and one per column (negative), from south to north.
+    paths = t.net.selectExpr("CASE WHEN edge_id % 2 = 0 THEN a_node DIV 1000 ELSE -1 - a_node % 1000 END AS hypothesis", "edge_id",
+                             "CAST(CASE WHEN edge_id % 2 = 0 THEN a_node % 1000 ELSE a_node DIV 1000 END * 60 AS DOUBLE) AS base_m", "ax", "ay", "bx", "by")
     return G.score_hypotheses(t.obs.select("journey_id", "seq", "x", "y"), paths)
 
 

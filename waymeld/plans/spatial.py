@@ -122,12 +122,12 @@ def _(t):
     return j.select("box_id", F.coalesce(F.when(F.col("n") > 2, "ready").when(F.col("n").isNotNull(), "building"), F.lit("not_requested")).alias("status"))
 
 
-@query("jn13_identity_binding", "spans bindings", """SELECT b.route_id, count(*) AS bound, count(DISTINCT s.edge_id) AS ways FROM spans s JOIN bindings b ON s.edge_id = b.way_id AND b.piece = 0 AND list_contains(string_split(b.modes, ','), s.mode) WHERE s.edge_id % 10 <> 3 GROUP BY 1""")
+@query("jn13_identity_binding", "spans bindings", """SELECT b.route_id, count(*) AS bound, count(DISTINCT s.edge_id) AS ways FROM spans s JOIN bindings b ON s.edge_id = b.way_id AND list_contains(string_split(b.modes, ','), s.mode) WHERE s.edge_id % 10 <> 3 GROUP BY 1""")
 def _(t):
     sha = lambda c, v: F.sha2(F.concat_ws("|", F.col(c).cast("string"), v), 256)
     # Ways whose last digit is 3 changed geometry since they were travelled.
     travelled = t.spans.select(F.col("edge_id").alias("way_id"), "mode", sha("edge_id", F.lit("v1")).alias("geometry_sha"))
-    paths = t.bindings.where("piece = 0").select("way_id", "route_id", "modes", sha("way_id", F.expr("CASE WHEN way_id % 10 = 3 THEN 'v2' ELSE 'v1' END")).alias("geometry_sha"))
+    paths = t.bindings.select("way_id", "route_id", "modes", sha("way_id", F.expr("CASE WHEN way_id % 10 = 3 THEN 'v2' ELSE 'v1' END")).alias("geometry_sha"))
     return J.identity_join(travelled, paths).groupBy("route_id").agg(F.count("*").alias("bound"), F.countDistinct("way_id").alias("ways"))
 
 
@@ -283,11 +283,16 @@ def _(t):
     return best.select("event_id", "station_id", F.round("distance_m", 3).alias("distance_m"))
 
 
-@query("jn32_collinear_pieces", "net", """WITH tl AS (SELECT edge_id AS line_id, ax + 20 AS ax, ay AS ay, ax + 110 AS cx, ay AS cy FROM net WHERE "by" = ay)
+@query("jn32_collinear_pieces", "net", """WITH tl AS (SELECT edge_id AS line_id, ax + 20 AS ax, ay AS ay, ax + 110 AS cx, ay AS cy FROM net WHERE "by" = ay),
+tv AS (SELECT edge_id AS line_id, ax, ay + 20 AS ay, ay + 110 AS cy FROM net WHERE bx = ax)
 SELECT line_id, edge_id, CAST(round(greatest(ax, ex) - ax) AS BIGINT) AS line_lo, CAST(round(least(cx, fx) - ax) AS BIGINT) AS line_hi, CAST(round(greatest(ax, ex) - ex) AS BIGINT) AS edge_lo, CAST(round(least(cx, fx) - ex) AS BIGINT) AS edge_hi
-FROM tl JOIN (SELECT edge_id, ax AS ex, ay AS ey, bx AS fx, "by" AS fy FROM net) e ON e.ey = tl.ay AND e.fy = tl.ay AND least(cx, fx) > greatest(ax, ex)""")
+FROM tl JOIN (SELECT edge_id, ax AS ex, ay AS ey, bx AS fx, "by" AS fy FROM net) e ON e.ey = tl.ay AND e.fy = tl.ay AND least(cx, fx) > greatest(ax, ex)
+UNION ALL SELECT line_id, edge_id, CAST(round(greatest(ay, ey) - ay) AS BIGINT), CAST(round(least(cy, fy) - ay) AS BIGINT), CAST(round(greatest(ay, ey) - ey) AS BIGINT), CAST(round(least(cy, fy) - ey) AS BIGINT)
+FROM tv JOIN (SELECT edge_id, ax AS ex, ay AS ey, bx AS fx, "by" AS fy FROM net) e ON e.ex = tv.ax AND e.fx = tv.ax AND least(cy, fy) > greatest(ay, ey)""")
 def _(t):
-    lines = t.net.where("by = ay").selectExpr("edge_id AS line_id", "ax + 20 AS sx", "ay AS sy", "ax + 110 AS tx", "ay AS ty")
+    # A piece of the carrier of every edge, from 20 m to 110 m along it.
+    east = "by = ay"
+    lines = t.net.selectExpr("edge_id AS line_id", f"IF({east}, ax + 20, ax) AS sx", f"IF({east}, ay, ay + 20) AS sy", f"IF({east}, ax + 110, ax) AS tx", f"IF({east}, ay, ay + 110) AS ty")
     e = t.net.select("edge_id", "ax", "ay", "bx", "by")
     left = segment_cells(lines, "sx", "sy", "tx", "ty", 60.0)
     right = segment_cells(e, "ax", "ay", "bx", "by", 60.0)

@@ -274,9 +274,9 @@ def _(t):
     return t.fixes.orderBy("accuracy_m", "t_ms", "event_id").limit(7).select("event_id", "t_ms")
 
 
-@query("srt01_orderings", "journeys", "SELECT journey_id, distance_m FROM journeys WHERE mode = 'train'")
+@query("srt01_orderings", "journeys", "SELECT journey_id, distance_m FROM journeys")
 def _(t):
-    return t.journeys.where("mode = 'train'").select("journey_id", "distance_m").orderBy(F.desc_nulls_last("distance_m"), "journey_id")
+    return t.journeys.select("journey_id", "distance_m").orderBy(F.desc_nulls_last("distance_m"), "journey_id")
 
 
 @query("srt03_key_page", "journeys", "SELECT journey_id, start_ms FROM journeys WHERE journey_id > 5000 ORDER BY journey_id LIMIT 500")

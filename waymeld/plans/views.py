@@ -28,7 +28,7 @@ SELECT CAST(user_id * 100 + EXTRACT(day FROM ts) AS BIGINT) AS journey_id,
 FROM events""",
     "activities": """
 SELECT event_id AS activity_id, user_id, epoch_us(ts) // 1000 AS start_ms, epoch_us(ts) // 1000 + 10800000 AS end_ms, event_type AS source_mode
-FROM events WHERE event_id % 20 = 0""",
+FROM events""",
     "spans": """
 SELECT l_partkey AS edge_id, l_orderkey AS journey_id, l_linenumber AS line_no,
        CASE l_linenumber % 2 WHEN 0 THEN 'cycling' ELSE 'on_foot' END AS mode,
@@ -227,7 +227,7 @@ def _from_sql(name: str, table: str):
 def _activities(t: Tables) -> DataFrame:
     e = t.table("events")
     start = F.unix_millis(F.col("ts").cast("timestamp"))
-    return e.where("event_id % 20 = 0").select(
+    return e.select(
         F.col("event_id").alias("activity_id"), "user_id", start.alias("start_ms"),
         (start + 10_800_000).alias("end_ms"), F.col("event_type").alias("source_mode"))
 
