@@ -217,33 +217,48 @@ def united(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def find_hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text",
-              window: int = WINDOW, shard_words: int = SHARD_WORDS) -> DataFrame:
-    """All columns of `docs` and `_hits` (n_words, spans of hit words, items with occurring windows, sorted as strings).
-
-    A window is `window` consecutive words of an item, or a whole shorter item.
-    Each text streams through the automaton of the items; the longest match at
-    every word tells which windows end there. No shuffle, no join.
+def _hitter(docs: DataFrame, benchmark: DataFrame, text: str, item: str, item_text: str, window: int, shard_words: int):
+    """The schema with `_hits`, and what turns the batches of a task into such rows.
 
-    Null texts and items have no words; a null item id is named `null`; repeated
-    rows are judged alike; an empty benchmark hits nothing; extra columns stay.
+    All automata and whatever follows run in one generator, so that a task needs one Python
+    worker: chained maps would hold a worker each, which stay in memory after their stage.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    spark = docs.sparkSession
     rows = benchmark.select(F.coalesce(F.col(item).cast("string"), F.lit("null")).alias("item"), F.col(item_text).alias("text"))
     sized = rows.withColumn("n", F.size(F.coalesce(F.regexp_extract_all(fold_ascii(F.col("text")), F.lit(WORD), F.lit(0)), F.array().cast("array<string>"))))
     total = sized.agg(F.sum("n")).first()[0] or 0
     shards = max(1, -(-total // shard_words))
-    out = docs.drop("_hits")
+    automata = []
     for shard in range(shards):
         part = rows.where(F.pmod(F.xxhash64("item", "text"), F.lit(shards)) == shard)
         items = [(r["item"], words_of_bytes((r["text"] or "").encode())) for r in part.collect()]  # bounded by shard_words
-        shared = spark.sparkContext.broadcast({"key": hashlib.sha256(repr(items).encode()).hexdigest(), "items": items})
-        schema = T.StructType([*[f for f in out.schema.fields if f.name != "_hits"], T.StructField("_hits", HITS)])
-        arrow = to_arrow_schema(schema)
-        out = out.mapInArrow(lambda b, shared=shared, arrow=arrow: _pass(b, text, shared, window, arrow), schema)
-    return out
+        automata.append(docs.sparkSession.sparkContext.broadcast({"key": hashlib.sha256(repr(items).encode()).hexdigest(), "items": items}))
+    schema = T.StructType([*[f for f in docs.schema.fields if f.name != "_hits"], T.StructField("_hits", HITS)])
+    arrow = to_arrow_schema(schema)
+
+    def run(batches):
+        for shared in automata:
+            batches = _pass(batches, text, shared, window, arrow)
+        return batches
+
+    return schema, run
+
+
+def find_hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text",
+              window: int = WINDOW, shard_words: int = SHARD_WORDS) -> DataFrame:
+    """All columns of `docs` and `_hits` (n_words, spans of hit words, items with occurring windows, sorted as strings).
+
+    A window is `window` consecutive words of an item, or a whole shorter item.
+    Each text streams through the automaton of the items; the longest match at
+    every word tells which windows end there. No shuffle, no join.
+
+    Null texts and items have no words; a null item id is named `null`; repeated
+    rows are judged alike; an empty benchmark hits nothing; extra columns stay.
+    """
+    docs = docs.drop("_hits")
+    schema, run = _hitter(docs, benchmark, text, item, item_text, window, shard_words)
+    return docs.mapInArrow(run, schema)
 
 
 def _cut(batches, text: str, columns: list[str], coverage: float, schema: pa.Schema):
@@ -270,7 +285,8 @@ def _cut(batches, text: str, columns: list[str], coverage: float, schema: pa.Sch
         yield pa.RecordBatch.from_arrays([frame[f.name].cast(f.type) for f in schema], schema=schema).filter(pa.array(keep, pa.bool_()))
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", coverage: float = 0.5, **options) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", coverage: float = 0.5, item: str = "item_id",
+                  item_text: str = "text", window: int = WINDOW, shard_words: int = SHARD_WORDS) -> DataFrame:
     """`docs` without the spans that benchmark windows cover; rows covered beyond `coverage` are left out.
 
     Columns stay as they are, except the text and an `n_chars` column, which follows it.
@@ -278,8 +294,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", cov
     from pyspark.sql.pandas.types import to_arrow_schema
 
     columns, arrow = docs.columns, to_arrow_schema(docs.schema)
-    return find_hits(docs, benchmark, text, **options).mapInArrow(
-        lambda b: _cut(b, text, columns, coverage, arrow), docs.schema)
+    _, run = _hitter(docs, benchmark, text, item, item_text, window, shard_words)
+    return docs.mapInArrow(lambda b: _cut(run(b), text, columns, coverage, arrow), docs.schema)
 
 
 _FOLD_SQL = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
