@@ -293,6 +293,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", cov
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
+    if "_hits" in docs.columns:  # a column of the caller's, which stays
+        free = "_" + max(docs.columns, key=len)
+        return decontaminate(docs.withColumnRenamed("_hits", free), benchmark, text, coverage, item, item_text, window,
+                             shard_words).withColumnRenamed(free, "_hits")
+
     columns, arrow = docs.columns, to_arrow_schema(docs.schema)
     _, run = _hitter(docs, benchmark, text, item, item_text, window, shard_words)
     return docs.mapInArrow(lambda b: _cut(run(b), text, columns, coverage, arrow), docs.schema)
