@@ -40,7 +40,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, lang, source, n_ids, ids) of every remaining document."""
-    return encode(docs, model_path()).select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_ids"), "ids")
+    return encode(docs, model_path(), keep=["doc_id", "lang", "source"]).select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_ids"), "ids")
 
 
 STAGES = [("quality rules", quality_rules), ("line dedup", line_dedup), ("near-dedup", near_dedup),

@@ -26,11 +26,12 @@ _SPACE = SPACE.encode()
 #: As in the library: an unknown character costs this much more than the worst piece.
 UNKNOWN_COST = 10.0
 #: Chunks that a worker remembers; beyond it the memory starts anew, which changes no result.
-MEMO = 300_000
+MEMO = 100_000
 #: Scores are whole multiples of 2 ** -20, so that sums are exact and ties are true ties.
 SCALE = 1 << 20
 _NEVER = -(1 << 62)
 _SHORT = 48  # bytes up to which chunks are segmented together
+_TOGETHER = 8_000  # chunks of one call
 
 
 @dataclass
@@ -254,8 +255,8 @@ class Encoder:
         marked = [c.replace(b" ", _SPACE) for c in new]
         short = [(c, m) for c, m in zip(new, marked) if len(m) <= _SHORT]
         short.sort(key=lambda x: len(x[1]))
-        for at in range(0, len(short), 20_000):
-            part = short[at:at + 20_000]
+        for at in range(0, len(short), _TOGETHER):
+            part = short[at:at + _TOGETHER]
             for (c, _), ids in zip(part, viterbi_many(self.v, [m for _, m in part])):
                 self.memo[c] = ids
         for c, m in zip(new, marked):
@@ -292,7 +293,7 @@ def _texts(column: pa.Array) -> list[bytes]:
     return [x.as_buffer().to_pybytes() if x.is_valid else b"" for x in column]
 
 
-def _blocks(batch: pa.RecordBatch, text: str, limit: int = 4_000_000):
+def _blocks(batch: pa.RecordBatch, text: str, limit: int = 1_000_000):
     """Slices of a batch of some million bytes, so that a batch of long texts stays small in memory."""
     sizes = np.array([len(x.as_buffer()) if x.is_valid else 0 for x in batch.column(text)], dtype=np.int64)
     start = 0
@@ -307,13 +308,16 @@ def _share(spark, path: str):
     return spark.sparkContext.broadcast((hashlib.sha256(open(path, "rb").read()).hexdigest(), vocabulary))
 
 
-def encode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
-    """All columns of `docs` and `ids` (array of int). Null texts count as empty and get no ids.
+def encode(docs: DataFrame, path: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """All columns of `docs`, or those named in `keep`, and `ids` (array of int). Null texts count as empty and get no ids.
 
-    A column named ids is replaced. Rows stay where they are: no shuffle.
+    A column named ids is replaced. Rows stay where they are: no shuffle. Without the
+    text in `keep`, texts go to the workers but not back.
     """
     rows = docs.drop(*([] if text == "ids" else ["ids"]))
-    schema = T.StructType([*rows.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType(), False), False)])
+    kept = [c for c in rows.columns if keep is None or c in keep]
+    rows = rows.select(*dict.fromkeys([*kept, text])) if keep is not None else rows
+    schema = T.StructType([*[f for f in rows.schema.fields if f.name in kept], T.StructField("ids", T.ArrayType(T.IntegerType(), False), False)])
     shared = _share(docs.sparkSession, path)
 
     def run(batches):
@@ -324,7 +328,7 @@ def encode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
                 offsets = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)
                 values = np.concatenate(ids).astype(np.int32) if ids else np.zeros(0, np.int32)
                 column = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
-                yield pa.RecordBatch.from_arrays([*block.columns, column], names=[*block.schema.names, "ids"])
+                yield pa.RecordBatch.from_arrays([*[block.column(c) for c in kept], column], names=[*kept, "ids"])
 
     return rows.mapInArrow(run, schema)
 
