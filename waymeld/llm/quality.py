@@ -81,13 +81,24 @@ FEATURES = [*BASE, "n_lines", "n_distinct_words"]
 BASE_FAILED = "n_words < 50 OR 100 * n_repeat_words > 50 * n_words"
 
 
+#: Where `features` holds each count.
+PATHS = {"n_words": "_w.n_words", "word_chars": "_w.word_chars", "n_symbols": "_s", "n_dup_lines": "_l.n_dup_lines",
+         "n_repeat_words": "_w.n_repeat_words", "n_lines": "_l.n_lines", "n_distinct_words": "_w.n_distinct_words"}
+
+
+def _at(value: Column, path: str) -> Column:
+    return reduce(lambda c, name: c[name], path.split("."), value)
+
+
 def with_features(docs: DataFrame, text: str = "text") -> DataFrame:
     """All columns of `docs` and the counts of `FEATURES`; columns of the same names are replaced."""
-    rows = docs.drop(*[c for c in FEATURES if c != text]).withColumns(features(F.col(text)))
-    named = {"n_words": "_w.n_words", "word_chars": "_w.word_chars", "n_symbols": "_s", "n_dup_lines": "_l.n_dup_lines",
-             "n_repeat_words": "_w.n_repeat_words", "n_lines": "_l.n_lines", "n_distinct_words": "_w.n_distinct_words"}
-    keep = [c for c in rows.columns if c not in ("_w", "_l", "_s")]
-    return rows.select(*keep, *[F.col(v).alias(k) for k, v in named.items()])
+    rows = docs.drop(*[c for c in FEATURES if c != text])
+    parts = features(F.col(text))
+    counted = let(F.struct(*[c.alias(k) for k, c in parts.items()]), lambda x: F.struct(
+        *[_at(x, path).alias(name) for name, path in PATHS.items()]))
+    # As rows of a generator the counts are a border for the optimiser: a filter on them would else move
+    # below the projection and bring a copy of the whole expression for each time it names a count.
+    return rows.select(*[c for c in rows.columns if c not in FEATURES], F.inline(F.array(counted)))
 
 
 def votes() -> list[Column]:
