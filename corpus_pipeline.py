@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from waymeld.llm.common import table
 from waymeld.llm.decontamination import decontaminate
-from waymeld.llm.line_dedup import dedup_lines
+from waymeld.llm.line_dedup import LONG_WORDS, dedup_lines
 from waymeld.llm.near_dedup import keep_one
 from waymeld.llm.quality import keep_good
 from waymeld.llm.sentencepiece import encode, model_path
@@ -24,8 +24,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later copies of runs of lines are deleted; documents left without a word go."""
-    return dedup_lines(docs)
+    """Later copies of runs of lines and of single long lines are deleted; documents left without a word go."""
+    return dedup_lines(docs, long_words=LONG_WORDS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -11,6 +11,8 @@ from .common import WORD, let, query, table
 
 #: Lines in a window: every repeated run of at least so many lines holds a common fingerprint.
 WINDOW = 2
+#: Words from which a single line counts as a run of its own where a caller asks for that (`long_words`).
+LONG_WORDS = 20
 
 
 def _lines(text: Column) -> Column:
@@ -63,6 +65,16 @@ def _cut(hashes: Column, marks: Column, window: int) -> Column:
         x, F.when(i + 1 < F.size(o), o[F.least(i + 1, F.size(o) - 1)]["s"]).otherwise(F.size(marks)))))
 
 
+def long_lines(docs: DataFrame, text: str, keys: list[str], words: int) -> DataFrame:
+    """A row for each line of at least `words` words: its ordinal among the lines with a word, and two hashes of the line."""
+    def per_text(lines: Column) -> Column:
+        return F.filter(F.transform(F.filter(lines, lambda x: x.rlike(WORD)), lambda x, i: F.struct(
+            i.alias("start"), F.regexp_count(x, F.lit(WORD)).alias("n"), F.xxhash64(x).alias("wh"), F.xxhash64(F.lit(7), x).alias("wg"))),
+            lambda x: x["n"] >= words)
+
+    return docs.select(*keys, F.explode(let(_lines(F.col(text)), per_text)).alias("w")).select(*keys, "w.start", "w.wh", "w.wg")
+
+
 def _split_first(rows: DataFrame, content: list[str], place: list[str]) -> DataFrame:
     """Add `_later`: whether equal content stands at an earlier place. Only the least place of a content is gathered."""
     at = F.struct(*place)
@@ -70,35 +82,43 @@ def _split_first(rows: DataFrame, content: list[str], place: list[str]) -> DataF
     return rows.join(first, content, "left").withColumn("_later", F.coalesce(at > F.col("_first"), F.lit(False))).drop("_first")
 
 
-def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
+def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW,
+                   long_words: int | None = None) -> DataFrame:
     """(key, _hash, deleted): per text the ordinals, among its lines with a word, of all lines in later runs.
 
     A line goes if it lies in a window of `window` such lines that stands, line for
-    line, at an earlier place (order: key, then place in the text). Fingerprints are
+    line, at an earlier place (order: key, then place in the text). With `long_words`
+    a line of at least so many words also goes if it alone stands at an earlier
+    place, whatever its neighbours; its first copy always stays. Fingerprints are
     joined by block first, which settles copied passages as a whole whatever
     the number of copies; only one block of each content then has its windows
     compared, which extends a match to both sides up to the last equal window.
     No pairs are formed: each content keeps its least place.
     """
     keys = [key, "_hash"]
-    found = blocks(docs.withColumn("_hash", F.xxhash64(text)), text, keys, window)
+    docs = docs.withColumn("_hash", F.xxhash64(text))
+    found = blocks(docs, text, keys, window)
     place = [key, "_hash", "start"]
     judged = _split_first(found, ["mark", "inset", "bh", "bg"], place)
     whole = judged.where("_later").select(*keys, F.explode(F.sequence(F.col("start"), F.col("start") + F.col("lines") - 1)).alias("line"))
     single = judged.where("NOT _later").select(*keys, "mark", F.explode("windows").alias("w")).select(*keys, "mark", "w.*")
     later = _split_first(single, ["mark", "wh", "wg"], place).where("_later")
     parts = later.select(*keys, F.explode(F.sequence(F.col("start"), F.col("start") + window - 1)).alias("line"))
+    if long_words is not None:
+        alone = _split_first(long_lines(docs, text, keys, long_words), ["wh", "wg"], place).where("_later")
+        parts = parts.unionByName(alone.select(*keys, F.col("start").alias("line")))
     return whole.unionByName(parts).groupBy(*keys).agg(F.collect_set("line").alias("deleted"))
 
 
-def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
+def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW,
+                    long_words: int | None = None) -> DataFrame:
     """`docs` with the text shortened, and `_n_lines`, `_n_deleted`, `_n_runs`.
 
     Null texts stay null. Identical rows (same key, same text) share one fate: none
     is later than the other. A null key sorts first. Empty tables and texts without
     a repeated run come back as they are; other columns stay.
     """
-    gone = repeated_lines(docs.select(key, text), key, text, window)
+    gone = repeated_lines(docs.select(key, text), key, text, window, long_words)
     a, b = docs.withColumn("_hash", F.xxhash64(text)).alias("a"), gone.alias("b")
     both = a.join(b, F.col(f"a.{key}").eqNullSafe(F.col(f"b.{key}")) & (F.col("a._hash") == F.col("b._hash")), "left")
 
@@ -116,12 +136,13 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
                        F.when(F.col("b.deleted").isNull(), 0).otherwise(runs).cast("long").alias("_n_runs"))
 
 
-def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
+def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW,
+                long_words: int | None = None) -> DataFrame:
     """`docs` with later repeated runs deleted, in the same columns; `n_chars` follows the text.
 
     Texts that held words and lost all of them are copies of earlier lines and are left out.
     """
-    rows = without_repeats(docs, key, text, window).where("_n_deleted = 0 OR _n_deleted < _n_lines")
+    rows = without_repeats(docs, key, text, window, long_words).where("_n_deleted = 0 OR _n_deleted < _n_lines")
     out = rows.drop("_n_lines", "_n_deleted", "_n_runs")
     return out.withColumn("n_chars", F.length(text).cast("long")) if "n_chars" in docs.columns and text == "text" else out
 
