@@ -99,6 +99,16 @@ def test_token_files(docs, real):
     assert T.read_shards(T.write_shards(docs.limit(0), T.tokenizer_path())).count() == 0
 
 
+def test_special_tokens_in_texts():
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(T.tokenizer_path())
+    texts = ["end <|endoftext|> <|EndOfText|> x", "<|EndOfText|>", "A<|startoftext|>B c", "<|endoftext|>", "<|ENDOFTEXT|> word <|StartOfText|>.", "no such token here",
+             "<|endoftext|><|endoftext|>", "<| endoftext |>", "é<|endoftext|>\n\n É <|EndOfText|>", ""]
+    got = T.WordEncoder(T.tokenizer_path()).encode([t.encode() for t in texts], 1)
+    assert [x.tolist() for x in got] == [[*plain.encode(t, add_special_tokens=False).ids, 1] for t in texts]
+
+
 @pytest.fixture(scope="module")
 def vocabulary():
     return P.load_vocabulary(P.model_path())

@@ -174,12 +174,18 @@ class WordEncoder:
     The tokenizer folds case itself, so folding A-Z first changes nothing; a run of
     signs behind letters is split off before the merges; and words of letters alone can
     share a call, since the last id of each is one that ends a word.
+
+    The file's special tokens are matched in the text as it is, before folding. A text
+    that holds one literally is therefore encoded whole and unfolded; the words of
+    all others are taken as plain text, also where folding spells a special token.
     """
 
     def __init__(self, path: str, memo: int = MEMO):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        self.whole = Tokenizer.from_file(path)
+        self.special = [t.content.encode() for t in self.whole.get_added_tokens_decoder().values()]
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         vocabulary = self.tokenizer.get_vocab()
@@ -188,14 +194,16 @@ class WordEncoder:
         self.most, self.memo = memo, {}
 
     def encode(self, texts: list[bytes], end: int) -> list[np.ndarray]:
-        split = [t.lower().split() for t in texts]
+        apart = {i for i, t in enumerate(texts) if any(x in t for x in self.special)}
+        split = [[] if i in apart else t.lower().split() for i, t in enumerate(texts)]
         new = set().union(*split).difference(self.memo)
         if len(self.memo) + len(new) > self.most:
             self.memo.clear()
             new = set().union(*split)
         self._learn(new)
         tail, get = struct.pack("<I", end), self.memo.__getitem__
-        return [np.frombuffer(b"".join([*map(get, words), tail]), "<u4") for words in split]
+        return [np.array([*self.whole.encode(texts[i].decode(), add_special_tokens=False).ids, end], "<u4") if i in apart
+                else np.frombuffer(b"".join([*map(get, words), tail]), "<u4") for i, words in enumerate(split)]
 
     def _learn(self, new: set[bytes]) -> None:
         memo, ended = self.memo, []
