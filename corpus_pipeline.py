@@ -28,9 +28,13 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return dedup_lines(docs, long_words=LONG_WORDS)
 
 
+#: Documents of which 100 * shared >= SIMILAR * all shingles are near-duplicates.
+SIMILAR = 80
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays."""
-    return keep_one(docs)
+    return keep_one(docs, percent=SIMILAR)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -165,6 +165,30 @@ def test_near_dedup_edges(docs):
     assert N.near_duplicates(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("percent", [80, 60, 40])
+def test_pairs_right_at_a_lower_threshold(spark, percent):
+    import corpus_pipeline as pipe
+    n, k = 100 + percent, 2 * percent  # shingles of a text and common ones: k / (2 * n - k) = percent / 100
+    rows = []
+    for i in range(40):
+        words = [f"p{i}x{j}" for j in range(n + 4)]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join([*words[:k + 4], *[f"q{i}x{j}" for j in range(n - k)]]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in N.near_duplicates(docs, percent=percent).collect()}
+    assert got == {k: k - k % 2 for k, _ in rows}
+    if percent == 80:
+        assert sorted(r["doc_id"] for r in pipe.near_dedup(spark, docs, "").collect()) == [k for k, _ in rows if k % 2 == 0]
+
+
+def test_banding_follows_the_threshold():
+    assert N.banding(85)[:2] == (24, 4) and N.banding(100) == (1, 4, 1.0)
+    for percent in (1, 20, 40, 60, 80, 85, 99):
+        bands, rows, screen = N.banding(percent)
+        assert (1 - (percent / 100) ** rows) ** bands <= N.MISS and screen < percent / 100
+    with pytest.raises(ValueError):
+        N.banding(0)
+
+
 def test_intersections_agree():
     import numpy as np
     rng = np.random.default_rng(1)

@@ -8,6 +8,7 @@ turned by k. Both are bijections computed on the fly.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import ceil, log, log1p
 
 import numpy as np
 import pyarrow as pa
@@ -20,18 +21,33 @@ from ..session import cut_lineage, written
 from .common import FOLD, query, table
 
 SHINGLE = 5
-BANDS, ROWS = 24, 4  # a pair at 0.85 meets in no band with probability 2e-8
 #: Link where 100 * intersection >= PERCENT * union.
 PERCENT = 85
-#: Two texts of one bucket go to verification if this share of coordinates agrees: six standard
-#: deviations below 0.85, which a linked pair misses with probability below 1e-8.
-SCREEN = 0.85 - 6 * (0.85 * 0.15 / (BANDS * ROWS)) ** 0.5
+#: A pair right at the threshold meets in no band with at most this probability.
+MISS = 2.5e-8
 #: Rows of one side that a task compares at once.
 BLOCK = 512
 
 _U64, _U32 = np.uint64, np.uint32
 
 
+def banding(percent: float) -> tuple[int, int, float]:
+    """(bands, rows of a band, screen) for a threshold.
+
+    Four rows a band, fewer where that would take more than 64 bands. Two texts of one
+    bucket go to verification if the share `screen` of their coordinates agrees: six
+    standard deviations below the threshold.
+    """
+    if not 0 < percent <= 100:
+        raise ValueError(f"a threshold lies above 0 and up to 100, not at {percent}")
+    share = percent / 100
+    for rows in (4, 3, 2, 1):
+        bands = max(1, ceil(log(MISS) / log1p(-share ** rows))) if share < 1 else 1
+        if bands <= 64:
+            break
+    return bands, rows, share - 6 * (share * (1 - share) / (bands * rows)) ** 0.5
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
     x = x ^ (x >> _U64(31))
     x = x * _U64(0x7FB5D329728EA185)
@@ -53,7 +69,7 @@ def shingles(text: bytes, size: int = SHINGLE) -> np.ndarray:
     return np.unique(_mix(s))
 
 
-def signature(places: np.ndarray, count: int = BANDS * ROWS, step: int = 512) -> np.ndarray:
+def signature(places: np.ndarray, count: int, step: int = 512) -> np.ndarray:
     """Least pi value of every turn of the circle, over blocks of places that stay in the cache."""
     turns = np.arange(count, dtype=_U32)[:, None]
     best = np.full(count, 0xFFFFFFFF, _U32)
@@ -75,7 +91,7 @@ def _texts(batch: pa.RecordBatch) -> Iterator[bytes]:
     return (x.as_buffer().to_pybytes() if x.is_valid else b"" for x in batch.column("text"))
 
 
-def _sign(batches):
+def _sign(batches, count: int):
     for batch in batches:
         out = []
         for raw in _texts(batch):
@@ -83,7 +99,7 @@ def _sign(batches):
             # sigma: an odd multiplier turns the high half of the hash into a place on the circle.
             places = (s >> _U64(32)).astype(_U32) * _U32(0x9E3779B1)
             out.append((len(s), int(s.sum(dtype=_U64).astype(np.int64)), int(_mix(s + _U64(1)).sum(dtype=_U64).astype(np.int64)),
-                        signature(places).astype("<u4").tobytes() if len(s) else None))
+                        signature(places, count).astype("<u4").tobytes() if len(s) else None))
         n, a, b, sig = zip(*out) if out else ((), (), (), ())
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()),
                                           pa.array(sig, pa.binary())], names=["doc_id", "n", "fa", "fb", "sig"])
@@ -137,6 +153,7 @@ def _groups(batches, keys: list[str]):
 
 def _screen(group: pa.Table, percent: int) -> np.ndarray:
     """Pairs (i < j) of rows that may link and are not of one component yet, each in the first band that it shares."""
+    bands, rows, screen = banding(percent)
     n, comp, side = (group.column(c).to_numpy() for c in ("n", "comp", "side"))
     band = int(group.column("band")[0].as_py())
     sig = np.frombuffer(b"".join(x.as_buffer().to_pybytes() for x in group.column("sig")), "<u4").reshape(len(n), -1)
@@ -153,8 +170,8 @@ def _screen(group: pa.Table, percent: int) -> np.ndarray:
     for at in range(0, len(i), 65_536):
         x, y = left[i[at:at + 65_536]], right[j[at:at + 65_536]]
         same = sig[x] == sig[y]
-        whole = same.reshape(len(x), BANDS, ROWS).all(axis=2)
-        ok = (same.mean(axis=1) >= SCREEN) & (whole.argmax(axis=1) == band)
+        whole = same.reshape(len(x), bands, rows).all(axis=2)
+        ok = (same.mean(axis=1) >= screen) & (whole.argmax(axis=1) == band)
         out.append(np.stack((x[ok], y[ok]), axis=1))
     return np.concatenate(out) if out else np.zeros((0, 2), np.int64)
 
@@ -233,13 +250,14 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     a key are one node, linked when one of its texts is; repeated rows repeat
     their result; an empty table gives no rows; other columns are not passed on.
     """
+    bands, rows, _ = banding(percent)
     source = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    signed = written(source.mapInArrow(_sign, "doc_id long, n long, fa long, fb long, sig binary"), "signatures")
+    signed = written(source.mapInArrow(lambda b: _sign(b, bands * rows), "doc_id long, n long, fa long, fb long, sig binary"), "signatures")
     worded = signed.where("n > 0")
     classes = cut_lineage(worded.groupBy("n", "fa", "fb").agg(F.min("doc_id").alias("id"), F.first("sig").alias("sig")).where("id IS NOT NULL"))
     # A band's value with its number in front is one bucket.
     members = (classes.select("id", "n", F.posexplode(F.array(*[
-        F.xxhash64(F.lit(b), F.substring("sig", 1 + 4 * ROWS * b, 4 * ROWS)) for b in range(BANDS)])).alias("band", "bucket")))
+        F.xxhash64(F.lit(b), F.substring("sig", 1 + 4 * rows * b, 4 * rows)) for b in range(bands)])).alias("band", "bucket")))
     hubs = (members.groupBy("bucket").agg(F.min(F.struct("id", "n")).alias("hub"), F.count("*").alias("size")).where("size > 1"))
     full = cut_lineage(members.join(hubs, "bucket").select("bucket", "band", "id", "n", "hub", "size"))
     star = (full.where(F.col("id") != F.col("hub.id")).where(_sized(F.col("n"), F.col("hub.n"), percent))
