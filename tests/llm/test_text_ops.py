@@ -165,6 +165,17 @@ def test_near_dedup_edges(docs):
     assert N.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_different_texts_under_one_key_stay(spark):
+    def text(c, n=40):
+        return " ".join(f"{c}{i}" for i in range(n))
+    rows = [(None, text("a"), "1"), (None, text("b"), "2"), (None, text("c") + " end", "3"), (None, None, "4"), (None, "", "5"), (None, None, "6"),
+            (7, text("d"), "7"), (7, text("e"), "8"), (7, text("e"), "9"), (3, text("c"), "10"), (7, " ", "11"), (5, text("e") + " x", "12")]
+    kept = N.keep_one(spark.createDataFrame(rows, "doc_id long, text string, kept string")).collect()
+    got = {(r["doc_id"], r["text"]) for r in kept}
+    assert len(kept) == len(got) == 8
+    assert got == {(None, text("a")), (None, text("b")), (3, text("c")), (None, None), (None, ""), (7, text("d")), (7, " "), (5, text("e") + " x")}
+
+
 @pytest.mark.parametrize("percent", [80, 60, 40])
 def test_pairs_right_at_a_lower_threshold(spark, percent):
     import corpus_pipeline as pipe

@@ -302,14 +302,20 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
-    """`docs` with one row of each group of near-duplicates: the one with the least key; of rows with that key, one."""
-    kept = near_duplicates(docs, key, text, percent).where("kept").select(F.col("doc_id").alias("_key")).distinct()
-    from pyspark.sql import Window
-
-    first = Window.partitionBy("_key").orderBy(text)
-    rows = docs.withColumn("_key", F.col(key).cast("long"))
-    return (rows.alias("r").join(kept.alias("k"), F.col("r._key").eqNullSafe(F.col("k._key")), "left_semi")
-            .withColumn("_nth", F.row_number().over(first)).where("_nth = 1").drop("_nth", "_key"))
+    """`docs` with one row of each group of near-duplicates: the one with the least key, a null key last.
+
+    Rows stand for themselves, whatever their keys: different texts under one key, or
+    without one, are different documents. Texts without a word are in no group; of
+    those with equal key and text one row stays.
+    """
+    # Written once, so that the numbers hold wherever the rows are read again.
+    rows = written(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    found = near_duplicates(rows, "_row", text, percent).withColumnRenamed("doc_id", "_row")
+    named = rows.select("_row", F.col(key).alias("_key"), F.xxhash64(text).alias("_tie")).join(found, "_row")
+    bare = F.col("n_shingles") == 0
+    kept = (named.groupBy(F.when(~bare, F.col("component_id")).alias("c"), F.when(bare, F.col("_key")).alias("k"), F.when(bare, F.col("_tie")).alias("t"))
+            .agg(F.min(F.struct(F.col("_key").isNull(), "_key", "_tie", "_row"))["_row"].alias("_row")))
+    return rows.join(kept.select("_row"), "_row", "left_semi").select(*docs.columns)
 
 
 @query("op2_near_dedup", r"""
