@@ -148,6 +148,19 @@ def test_matching_equals_exhaustive_search():
     assert abs(cost(G.best_sequence(pts, layers, graph)) - best) < 1e-9
 
 
+def test_matching_goes_on_behind_a_fix_without_candidates(spark):
+    grid = spark.createDataFrame(grid_network())
+    big = 2 ** 53 + 1
+    grid = grid.withColumn("edge_id", grid.edge_id + big)
+    fixes = [(1, 0, 5.0, 4.0, 5.0), (1, 1, 55.0, -3.0, 5.0), (1, 2, 30.0, -5000.0, 5.0), (1, 3, 64.0, 40.0, 5.0), (1, 4, 66.0, 80.0, 5.0), (1, 5, -100.0, 0.0, 5.0)]
+    points = spark.createDataFrame(fixes, "journey_id long, seq long, x double, y double, accuracy_m double")
+    got = {r["seq"]: r for r in G.match_journeys(points, grid).collect()}
+    assert {k: r["status"] for k, r in got.items()} == {k: "no_candidates" if k == 2 else "matched" for k in range(6)}
+    assert got[2]["edge_id"] is None and got[2]["frac"] is None
+    ids = {r["edge_id"] for r in grid.collect()}
+    assert all(got[k]["edge_id"] in ids for k in got if k != 2)
+
+
 def test_queries_without_sql_give_rows(spark):
     for name in ("win12_clean_foot_trace", "win13_simplify_walking", "gra05_map_matching", "geo04_british_grid", "st02_trip_starts"):
         assert QUERIES[name](spark, SF).count() > 0, name

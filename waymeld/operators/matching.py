@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import heapq
 from dataclasses import dataclass
+from itertools import groupby
 from math import hypot, inf
 from statistics import median
 
@@ -44,10 +45,13 @@ def edge_candidates(points: DataFrame, edges: DataFrame, policy: MatchPolicy = M
 
 
 def match_journeys(points: DataFrame, edges: DataFrame, policy: MatchPolicy = MatchPolicy()) -> DataFrame:
-    """Snapped edge and offset per point; a request that cannot be matched says why.
+    """Snapped edge and offset per point; a point that cannot be matched says why.
 
     Points hold journey_id, seq (dense), x, y, accuracy_m. A request takes at most
     `request_points` points; neighbouring requests share their border point.
+    A point without an edge within the radius is `no_candidates` and parts its
+    request: the points before it and behind it are matched on their own. A
+    part that no route connects is `disconnected` as a whole.
     """
     # Points and clipped networks are each read several times: write them once.
     points = cut_lineage(points)
@@ -57,7 +61,7 @@ def match_journeys(points: DataFrame, edges: DataFrame, policy: MatchPolicy = Ma
     p = points.withColumn("request", F.explode(F.when(shared, F.array(home - 1, home)).otherwise(F.array(home))))
     cands = edge_candidates(points, edges, policy).select("journey_id", "seq", "edge_id", "frac", "gap")
     lattice = p.join(cands, ["journey_id", "seq"], "left").select(
-        "journey_id", "request", "seq", "x", "y", "accuracy_m", "edge_id", "frac", "gap")
+        "journey_id", "request", "seq", "x", "y", "accuracy_m", F.coalesce("edge_id", F.lit(0)).alias("edge_id"), "frac", "gap")  # no gap: no edge
     boxes = p.groupBy("journey_id", "request").agg(*[f(c).alias(n) for n, f, c in (
         ("w", F.min, "x"), ("s", F.min, "y"), ("e", F.max, "x"), ("n", F.max, "y"))])
     m = policy.margin_m
@@ -85,14 +89,16 @@ def _match_request(lattice: pd.DataFrame, network: pd.DataFrame) -> pd.DataFrame
     layers, points = [], []
     for seq, rows in lattice.sort_values(["seq", "gap", "edge_id"]).groupby("seq"):
         points.append((int(seq), rows.x.iloc[0], rows.y.iloc[0], rows.accuracy_m.iloc[0]))
-        layers.append([(int(r.edge_id), float(r.frac), float(r.gap)) for r in rows.itertuples() if r.edge_id == r.edge_id])
-    if len(points) < 2 or any(not layer for layer in layers):
-        return pd.DataFrame([(*head, None, None, None, "no_candidates")], columns=names)
-    chosen = best_sequence(points, layers, graph)
-    if chosen is None:
-        return pd.DataFrame([(*head, None, None, None, "disconnected")], columns=names)
-    rows = [(*head, p[0], c[0], c[1], "matched") for p, c in zip(points, chosen)]
-    return pd.DataFrame(rows, columns=names)
+        layers.append([(int(r.edge_id), float(r.frac), float(r.gap)) for r in rows.itertuples() if r.gap == r.gap])
+    rows = []
+    for near, part in groupby(zip(points, layers), key=lambda x: bool(x[1])):
+        fixes, nearby = zip(*part)
+        # A fix without an edge ends one part, and the next begins behind it.
+        chosen = best_sequence(fixes, nearby, graph) if near else None
+        status = "no_candidates" if not near else "matched" if chosen else "disconnected"
+        rows += [(*head, p[0], *(c[:2] if c else (None, None)), status) for p, c in zip(fixes, chosen or [None] * len(fixes))]
+    # Nullable integers: through floats large ids would lose digits.
+    return pd.DataFrame(rows, columns=names, dtype=object).astype({"seq": "Int64", "edge_id": "Int64", "frac": float})
 
 
 class Graph:

@@ -22,8 +22,8 @@ def thinned_obs(t):
 
 @query("gra05_map_matching")
 def _(t):
-    # Sequential minimum: tests/test_matching.py compares with an exhaustive search.
-    return G.match_journeys(thinned_obs(t), t.net, G.MatchPolicy(radius_m=60.0, candidates=8))
+    # Sequential minimum: tests/test_traces.py compares with an exhaustive search.
+    return G.match_journeys(thinned_obs(t), t.net)
 
 
 @query("gra05_edge_candidates", "obs net", f"WITH {planar_near_sql('nn', 'TRUE', 60)}, r AS (SELECT journey_id, seq, edge_id, round(d, 4) AS gap, row_number() OVER (PARTITION BY journey_id, seq ORDER BY round(d, 9), edge_id) AS rank FROM nn WHERE d <= 60) SELECT journey_id, seq, count(*) AS candidates, min(gap) AS nearest_m, max(gap) AS farthest_m FROM r WHERE rank <= 8 GROUP BY 1, 2")
