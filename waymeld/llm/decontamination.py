@@ -232,7 +232,7 @@ def _hitter(docs: DataFrame, benchmark: DataFrame, text: str, item: str, item_te
     automata = []
     for shard in range(shards):
         part = rows.where(F.pmod(F.xxhash64("item", "text"), F.lit(shards)) == shard)
-        items = [(r["item"], words_of_bytes((r["text"] or "").encode())) for r in part.collect()]  # bounded by shard_words
+        items = [(r["item"], words_of_bytes((r["text"] or "").encode())) for r in part.collect()]  # about shard_words; an item is never split
         automata.append(docs.sparkSession.sparkContext.broadcast({"key": hashlib.sha256(repr(items).encode()).hexdigest(), "items": items}))
     schema = T.StructType([*[f for f in docs.schema.fields if f.name != "_hits"], T.StructField("_hits", HITS)])
     arrow = to_arrow_schema(schema)
