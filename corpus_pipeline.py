@@ -50,7 +50,8 @@ def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 STAGES = [("quality rules", quality_rules), ("line dedup", line_dedup), ("near-dedup", near_dedup),
           ("decontamination", decontamination), ("sentencepiece", sentencepiece)]
 
-#: The signatures and the Viterbi search have no SQL form: tests/llm/test_files_tokens.py holds run() against a plain version.
+#: The signatures and the Viterbi search have no SQL form. tests/llm/test_files_tokens.py replays the stages of run(); the
+#: stages have plain versions in tests/llm, whole rows of run() have none.
 ORACLE_SQL = None
 
 

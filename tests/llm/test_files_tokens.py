@@ -149,6 +149,18 @@ def test_sentencepiece_rows(docs, real):
         assert all(r["decoded"] == (r["text"] or "") for r in got.collect())
 
 
+def test_op10_rows_match_a_plain_search(spark, real, vocabulary):
+    single = {int(i) for i in vocabulary.byte_ids if i >= 0}
+    got = {r["doc_id"]: tuple(r)[1:] for r in P.op10_sentencepiece(spark, "/root/testdata/sf0.001").collect()}
+    rows = real.collect()
+    assert got.keys() == {r["doc_id"] for r in rows} and len(got) == len(rows)
+    for r in rows:
+        text = r["text"] or ""
+        ids = plain_viterbi(vocabulary, text.replace("▁", " "))
+        assert got[r["doc_id"]] == (len(ids), sum(i in single for i in ids), zlib.crc32(np.array(ids, "<i4").tobytes()),
+                                    hashlib.sha256(text.replace("▁", " ").encode()).hexdigest(), "▁" not in text)
+
+
 def test_pipeline(spark):
     import corpus_pipeline as pipe
     from waymeld.llm import near_dedup as N
