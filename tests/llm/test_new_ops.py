@@ -2,6 +2,7 @@
 
 import hashlib
 from collections import Counter
+from functools import cache
 from math import isfinite
 
 import numpy as np
@@ -14,16 +15,21 @@ from waymeld.llm import token_alignment as A
 PATHS = A.path_of("byte_bpe_50k.json"), A.path_of("piece_bpe_32k.model")
 
 
-def plain_tokens(text):
-    """(ids, ends) of both sides from the decoded bytes alone, or nothing."""
+@cache
+def libraries():
     import sentencepiece
     from tokenizers import Tokenizer
 
-    if not text:
-        return None
     a = Tokenizer.from_file(PATHS[0])
     a.encode_special_tokens = True
-    b = sentencepiece.SentencePieceProcessor(model_file=PATHS[1])
+    return a, sentencepiece.SentencePieceProcessor(model_file=PATHS[1])
+
+
+def plain_tokens(text):
+    """(ids, ends) of both sides from the decoded bytes alone, or nothing."""
+    if not text:
+        return None
+    a, b = libraries()
     letters, raw = A.byte_letters(), (" " + text).encode()
     x = a.encode(" " + text, add_special_tokens=False)
     y = b.encode(text)
@@ -114,6 +120,21 @@ def test_alignment_of_real_rows(spark, real):
     assert len(got) == len(rows)
 
 
+def test_chunks_change_nothing():
+    """Chunk by chunk against whole texts, over texts rich in white space, marks and rare characters."""
+    rng = np.random.default_rng(8)
+    signs = ["a", "b", "the", " ", " ", "  ", "\n", "\t", "\u00a0", "\u3000", "\x1c", "\x85", "'s", "é", "漢", "😀", "9", ".", "\u0301", "<s>", "\r", "x" * 30]
+    texts = ["".join(rng.choice(signs, rng.integers(1, 40))) for _ in range(400)]
+    pair = A.Pair(*PATHS, memo=2_000)
+    assert pair.cuttable
+    for at in range(0, 400, 50):
+        for text, chunks in zip(texts[at:at + 50], pair.remembered(texts[at:at + 50])):
+            a, b = plain_tokens(text)
+            assert [i for c in chunks for i in c[0].tolist()] == [i for i, _ in a]
+            assert [i for c in chunks for i in c[2].tolist()] == [i for i, _ in b]
+    assert pair.remembered(["no mark ▁ here", "", None]) == [[], [], []]
+
+
 def test_alignment_spans_and_bound(docs):
     rows = A.align(docs, *PATHS).collect()
     assert len(rows) == docs.count()
