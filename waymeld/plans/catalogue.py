@@ -1,4 +1,4 @@
 """Imports every query module, so that the registry is complete."""
 
-from . import catalogues, coverage, extras, ledgers, live, matching, shapes, spatial, traces  # noqa: F401
+from . import boundaries, catalogues, coverage, extras, ledgers, live, matching, shapes, spatial, traces  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401

@@ -143,8 +143,14 @@ def geojson_features(docs: DataFrame) -> DataFrame:
     keep = [c for c in docs.columns if c != "value"]
     wrapped = docs.withColumn("value", F.when(F.get_json_object("value", "$.features").isNull(), F.concat(F.lit('{"features":['), "value", F.lit("]}"))).otherwise(F.col("value")))
     f = _parsed(wrapped, FEATURES).select(*keep, F.explode("d.features").alias("f"))
-    return f.select(*keep, F.col("f.properties").alias("properties"), F.col("f.geometry.type").alias("geometry_type"),
-                    F.from_json("f.geometry.coordinates", "array<array<double>>").alias("line"))
+    at, kind = F.col("f.geometry.coordinates"), F.col("f.geometry.type")
+    # Both polygon kinds become parts of rings of points; the other kinds have none.
+    parts = (F.when(kind == "Polygon", F.array(F.from_json(at, "array<array<array<double>>>")))
+             .when(kind == "MultiPolygon", F.from_json(at, "array<array<array<array<double>>>>")))
+    point = lambda p: F.struct(F.get(p, F.lit(0)).alias("x"), F.get(p, F.lit(1)).alias("y"))
+    return f.select(*keep, F.col("f.properties").alias("properties"), kind.alias("geometry_type"),
+                    F.when(kind == "LineString", F.from_json(at, "array<array<double>>")).alias("line"),
+                    F.transform(parts, lambda part: F.transform(part, lambda ring: F.transform(ring, point))).alias("polygons"))
 
 
 def road_references(docs: DataFrame) -> DataFrame:
