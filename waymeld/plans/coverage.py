@@ -1,11 +1,15 @@
 """Interval ledgers, alignment to a network, anchor coverage."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import coverage as cov
 from ..operators.intervals import interval_union, missing_intervals
 from ..operators.gridjoin import nearest_within
 from ..operators.ordered import dense_seq
+from ..session import shared_folder
+from ..streaming.ledger import LedgerUpkeep
 from .registry import query
 
 # Brute-force union over `rows(keys, lo, hi)`; used by several checks.
@@ -181,6 +185,21 @@ def _(t):
     return interval_union(now, ["edge_id"]).groupBy("edge_id").agg(F.sum(F.col("hi") - F.col("lo")).alias("unique_mm"))
 
 
+@query("st09_ledger_upkeep", "spans", """WITH
+now AS (SELECT edge_id, journey_id, start_mm AS lo, end_mm AS hi FROM spans WHERE journey_id % 17 > 1 UNION ALL
+  SELECT edge_id, journey_id, start_mm + 500 AS lo, end_mm + 900 AS hi FROM spans WHERE journey_id % 17 = 0), """
+       + union_sql("now", "edge_id") + " SELECT edge_id, coalesce(unique_mm, 0) AS unique_mm FROM (SELECT DISTINCT edge_id FROM spans) LEFT JOIN (SELECT edge_id, CAST(sum(hi - lo) AS BIGINT) AS unique_mm FROM united GROUP BY edge_id) USING (edge_id)")
+def _(t):
+    old = spans_of(t).drop("mode")
+    ledger = LedgerUpkeep(f"{shared_folder(t.spark)}/ledger-{uuid.uuid4().hex}")
+    fresh = old.where("journey_id % 17 = 0").select("edge_id", "journey_id", (F.col("lo") + 500).alias("lo"), (F.col("hi") + 900).alias("hi"))
+    gone = old.where("journey_id % 17 = 1").select(F.lit(None).cast("long").alias("edge_id"), "journey_id", "lo", "hi").distinct()
+    # Two halves of the history, a re-import, a removal, and the removal replayed.
+    for number, batch in enumerate([old.where("journey_id % 2 = 0"), old.where("journey_id % 2 = 1"), fresh, gone, gone]):
+        ledger(batch, min(number, 3))
+    return ledger.totals(t.spark)
+
+
 PAIRS = """pairs0 AS (SELECT journey_id, seq, x AS ax, y AS ay, t_ms, accuracy_m AS acc, lead(x) OVER w AS cx, lead(y) OVER w AS cy, lead(t_ms) OVER w AS t2, lead(accuracy_m) OVER w AS acc2
   FROM obs WINDOW w AS (PARTITION BY journey_id ORDER BY seq)),
 pairs AS (SELECT journey_id, seq, ax, ay, cx, cy, greatest(acc, acc2) AS u, sqrt((cx - ax) * (cx - ax) + (cy - ay) * (cy - ay)) AS step_m,

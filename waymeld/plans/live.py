@@ -1,11 +1,15 @@
 """Batch twins of the live jobs: same machines, same rows, over whole tables."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import machines as M
 from ..operators import traces as T
 from ..operators.scans import scan_sorted
+from ..session import shared_folder
 from ..streaming import jobs
+from ..streaming.ledger import ExactlyOnce
 from .registry import query
 
 
@@ -86,6 +90,16 @@ def _(t):
     return jobs.recognise_once(t.fixes.select(F.col("user_id").alias("id"), "ts")).select("id", F.unix_millis("ts").alias("first_ms"))
 
 
+@query("st11_exactly_once", "fixes", "SELECT user_id AS id, min(CAST(epoch_ms(ts) // 86400000 % 5 AS BIGINT)) AS batch FROM fixes GROUP BY 1")
+def _(t):
+    f = t.fixes.select(F.col("user_id").alias("id"), F.floor(F.unix_millis("ts") / 86_400_000 % 5).alias("part"))
+    once = ExactlyOnce(f"{shared_folder(t.spark)}/recognised-{uuid.uuid4().hex}")
+    # Every id comes back in later batches, and the third batch is replayed.
+    for number in (0, 1, 2, 2, 3, 4):
+        once(f.where(F.col("part") == number), number)
+    return once.recognised(t.spark)
+
+
 @query("st12_origin_recovery")
 def _(t):
     return scan(t, live_trace(t), [*jobs.FIX, "speed_mps", "started"], M.OriginRecovery, "journey_id long, t_ms long, start_ms long")
