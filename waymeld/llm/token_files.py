@@ -171,9 +171,10 @@ _SIGNS = b".,!?;:&%$#*|)"
 class WordEncoder:
     """Ids of texts from a tokenizer that never joins across white space: each distinct word is encoded once.
 
-    The tokenizer folds case itself, so folding A-Z first changes nothing; a run of
-    signs behind letters is split off before the merges; and words of letters alone can
-    share a call, since the last id of each is one that ends a word.
+    The tokenizer folds case itself, so folding A-Z first changes nothing. A run of
+    signs behind letters is split off before the merges if the letters are still letters
+    alone once normalised (a mark that folding leaves behind would join the signs); and words
+    of letters alone can share a call, since the last id of each is one that ends a word.
 
     The file's special tokens are matched in the text as it is, before folding. A text
     that holds one literally is therefore encoded whole and unfolded; the words of
@@ -205,12 +206,17 @@ class WordEncoder:
         return [np.array([*self.whole.encode(texts[i].decode(), add_special_tokens=False).ids, end], "<u4") if i in apart
                 else np.frombuffer(b"".join([*map(get, words), tail]), "<u4") for i, words in enumerate(split)]
 
+    def _letters(self, stem: bytes) -> bool:
+        """Letters before and after normalising."""
+        text, rule = stem.decode(), self.tokenizer.normalizer
+        return text.isalpha() and (rule is None or rule.normalize_str(text).isalpha())
+
     def _learn(self, new: set[bytes]) -> None:
         memo, ended = self.memo, []
         letters, rest = set(), set()
         for w in new:
             stem = w.rstrip(_SIGNS)
-            if not stem.decode().isalpha():
+            if not (stem.isalpha() or (not stem.isascii() and self._letters(stem))):
                 rest.add(w)
                 continue
             letters.add(stem)
