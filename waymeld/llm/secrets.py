@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import query, table
+from .common import let, query, table
 
 
 def _either_case(word: str) -> str:
@@ -27,29 +27,38 @@ KINDS = ("assign", "access", "hex", "ident", "key", "endpoint")
 BASE_KINDS, PATTERNS = 3, (ASSIGN, ACCESS, HEX, IDENT, KEY, ENDPOINT)
 #: Parts at most this many code points apart belong to one scope.
 SCOPE = 200
+#: Matches of one block of running sums.
+BLOCK = 256
 _SPANS = "array<struct<start:int,kind:int,end:int>>"
 
 
 def find(text: Column, kind: int) -> Column:
     """Spans of one kind: leftmost matches that do not overlap, without those whose group is too short.
 
-    Splitting at the pattern gives the gaps between the matches, so a running
-    length of gaps and matches gives every place in code points.
+    Splitting at the pattern gives the gaps between the matches, so running sums of
+    gaps and matches give every place in code points. They are taken block by block: no array
+    grows beyond a block, so the cost follows the number of matches.
     """
     pattern, group, least = PATTERNS[kind]
     gaps, matches, groups = (F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)),
                              F.regexp_extract_all(text, F.lit(pattern), F.lit(group)))
-    parts = F.slice(F.arrays_zip(gaps.alias("gap"), matches.alias("match"), groups.alias("group")), 1, F.size(matches))
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast(_SPANS).alias("spans"))
+    parts = F.transform(F.slice(F.arrays_zip(gaps.alias("gap"), matches.alias("match"), groups.alias("group")), 1, F.size(matches)),
+                        lambda p: F.struct(F.length(p["gap"]).alias("gap"), F.length(p["match"]).alias("match"), (F.length(p["group"]) >= least).alias("fits")))
 
     def step(state: Column, part: Column) -> Column:
-        start = state["at"] + F.length(part["gap"])
-        end = start + F.length(part["match"])
+        start = state["at"] + part["gap"]
+        end = start + part["match"]
         span = F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"))
-        return F.struct(end.alias("at"), F.when(F.length(part["group"]) >= least, F.concat(state["spans"], F.array(span)))
-                        .otherwise(state["spans"]).alias("spans"))
+        return F.struct(end.alias("at"), F.when(part["fits"], F.concat(state["spans"], F.array(span))).otherwise(state["spans"]).alias("spans"))
 
-    return F.when(text.rlike(pattern), F.aggregate(parts, begin, step)["spans"]).otherwise(F.array().cast(_SPANS))
+    def spans(blocks: Column) -> Column:
+        sizes = F.transform(blocks, lambda block: F.aggregate(block, F.lit(0), lambda n, p: n + p["gap"] + p["match"]))
+        begins = F.aggregate(sizes, F.array(F.lit(0)), lambda at, n: F.concat(at, F.array(F.element_at(at, -1) + n)))
+        return F.flatten(F.zip_with(blocks, F.slice(begins, 1, F.size(blocks)), lambda block, at: F.aggregate(
+            block, F.struct(at.alias("at"), F.array().cast(_SPANS).alias("spans")), step)["spans"]))
+
+    found = let(parts, lambda all_: let(F.transform(F.sequence(F.lit(0), F.floor((F.size(all_) - 1) / BLOCK).cast("int")), lambda i: F.slice(all_, i * BLOCK + 1, BLOCK)), spans))
+    return F.when(text.rlike(pattern), found).otherwise(F.array().cast(_SPANS))
 
 
 def _listed(spans: Column) -> Column:
@@ -83,28 +92,25 @@ def scan_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text", scope
 
     Null texts count as empty: no spans, empty lists. Repeated rows get the same
     spans; a null key is a key like any other; an empty table gives no rows;
-    columns with the names of the results are replaced. The text itself is not passed on.
+    columns with the names of the results are replaced, all others stay. The text itself is not passed on.
     """
     named = ("n_assign", "n_access", "n_hex", "base", "spans")
     body = F.coalesce(F.col(text), F.lit(""))
-    found = (docs.select(*[c for c in docs.columns if c not in (text, *named)],
-                         F.xxhash64(body).alias("_hash"), F.length(body).alias("_size"),
-                         *[find(body, k).alias(f"_k{k}") for k in range(len(KINDS))])
-             .withColumn("_strong", F.concat(*[F.col(f"_k{k}") for k in range(BASE_KINDS)]))
-             .withColumn("_weak", F.concat(*[F.col(f"_k{k}") for k in range(BASE_KINDS, len(KINDS))])))
-    rows = found.select(*[c for c in found.columns if not c.startswith("_k")],
-                        *[F.size(f"_k{k}").cast("long").alias(n) for k, n in enumerate(named[:3])])
-    keys = [key, "_hash", "_size"]
+    own = [c for c in docs.columns if c not in (text, *named)]
+    # The caller's columns travel in one struct, out of the way of the names used here.
+    rows = docs.select(F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(own)], F.lit(0).alias("last")).alias("caller"), F.col(key).alias("key"), F.xxhash64(body).alias("hash"), F.length(body).alias("size"),
+                       F.array(*[find(body, k) for k in range(len(KINDS))]).alias("found"))
+    found = rows.select("caller", "key", "hash", "size", *[F.size(F.col("found")[k]).cast("long").alias(n) for k, n in enumerate(named[:3])],
+                        F.flatten(F.slice("found", 1, BASE_KINDS)).alias("strong"), F.flatten(F.slice("found", BASE_KINDS + 1, len(KINDS) - BASE_KINDS)).alias("weak"))
+    keys = ["key", "hash", "size"]
     # One weak part alone is never reported, so only texts with a complement move on.
-    parts = (found.where((F.size("_weak") > 0) & (F.size("_weak") + F.size("_strong") > 1))
-             .select(*keys, F.explode(F.concat("_strong", "_weak")).alias("s")).select(*keys, "s.*").distinct())
-    added = linked(parts, keys, scope).groupBy(*keys).agg(F.collect_list(F.struct("start", "kind", "end")).alias("_added"))
-    a, b = rows.alias("a"), added.alias("b")
-    both = a.join(b, (F.col(f"a.{key}").eqNullSafe(F.col(f"b.{key}"))) & (F.col("a._hash") == F.col("b._hash"))
-                  & (F.col("a._size") == F.col("b._size")), "left")
-    own = [c for c in rows.columns if not c.startswith("_")]
-    return both.select(*[F.col(f"a.{c}") for c in own], _listed(F.col("a._strong")).alias("base"),
-                       _listed(F.concat("a._strong", F.coalesce("b._added", F.array().cast(_SPANS)))).alias("spans"))
+    parts = (found.where((F.size("weak") > 0) & (F.size("weak") + F.size("strong") > 1))
+             .select(*keys, F.explode(F.concat("strong", "weak")).alias("s")).select(*keys, "s.*").distinct())
+    added = linked(parts, keys, scope).groupBy(*keys).agg(F.collect_list(F.struct("start", "kind", "end")).alias("added"))
+    a, b = found.alias("a"), added.alias("b")
+    both = a.join(b, F.col("a.key").eqNullSafe(F.col("b.key")) & (F.col("a.hash") == F.col("b.hash")) & (F.col("a.size") == F.col("b.size")), "left")
+    return both.select(*[F.col(f"caller.c{i}").alias(c) for i, c in enumerate(own)], *[F.col(f"a.{n}") for n in named[:3]], _listed(F.col("strong")).alias("base"),
+                       _listed(F.concat("strong", F.coalesce("added", F.array().cast(_SPANS)))).alias("spans"))
 
 
 def _found_sql(kind: int) -> str:
