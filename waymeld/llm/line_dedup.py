@@ -110,30 +110,37 @@ def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", win
     return whole.unionByName(parts).groupBy(*keys).agg(F.collect_set("line").alias("deleted"))
 
 
-def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW,
-                    long_words: int | None = None) -> DataFrame:
-    """`docs` with the text shortened, and `_n_lines`, `_n_deleted`, `_n_runs`.
-
-    Null texts stay null. Identical rows (same key, same text) share one fate: none
-    is later than the other. A null key sorts first. Empty tables and texts without
-    a repeated run come back as they are; other columns stay.
-    """
-    gone = repeated_lines(docs.select(key, text), key, text, window, long_words)
-    a, b = docs.withColumn("_hash", F.xxhash64(text)).alias("a"), gone.alias("b")
-    both = a.join(b, F.col(f"a.{key}").eqNullSafe(F.col(f"b.{key}")) & (F.col("a._hash") == F.col("b._hash")), "left")
+def _shortened(docs: DataFrame, key: str, text: str, window: int, long_words: int | None) -> DataFrame:
+    """(caller, text, n_lines, n_deleted, n_runs): the caller's row as one struct, out of the way of the names used here."""
+    rows = docs.select(F.struct(*docs.columns).alias("caller"), F.col(key).alias("key"), F.col(text).alias("text"), F.xxhash64(text).alias("hash"))
+    gone = repeated_lines(rows.select("key", "text"), "key", "text", window, long_words)
+    both = rows.alias("a").join(gone.alias("b"), F.col("a.key").eqNullSafe(F.col("b.key")) & (F.col("a.hash") == F.col("b._hash")), "left")
 
     def kept(lines: Column) -> Column:
         spoken = let(_spoken(lines), lambda s: F.transform(F.col("b.deleted"), lambda i: s[i]))
         rest = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), spoken)
         return F.array_join(F.transform(rest, lambda i: lines[i]), "\n")
 
-    short = F.when(F.col("b.deleted").isNull(), F.col(f"a.{text}")).otherwise(let(_lines(F.col(f"a.{text}")), kept))
+    short = F.when(F.col("b.deleted").isNull(), F.col("a.text")).otherwise(let(_lines(F.col("a.text")), kept))
     runs = let(F.sort_array("b.deleted"), lambda d: F.size(F.filter(
         d, lambda x, i: (i == 0) | (d[F.greatest(i - 1, F.lit(0))] != x - 1))))
-    return both.select(*[short.alias(c) if c == text else F.col(f"a.{c}") for c in docs.columns],
-                       F.size(_spoken(_lines(F.col(f"a.{text}")))).cast("long").alias("_n_lines"),
-                       F.coalesce(F.size("b.deleted"), F.lit(0)).cast("long").alias("_n_deleted"),
-                       F.when(F.col("b.deleted").isNull(), 0).otherwise(runs).cast("long").alias("_n_runs"))
+    return both.select("caller", short.alias("text"), F.size(_spoken(_lines(F.col("a.text")))).cast("long").alias("n_lines"),
+                       F.coalesce(F.size("b.deleted"), F.lit(0)).cast("long").alias("n_deleted"),
+                       F.when(F.col("b.deleted").isNull(), 0).otherwise(runs).cast("long").alias("n_runs"))
+
+
+def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW,
+                    long_words: int | None = None) -> DataFrame:
+    """`docs` with the text shortened, and `_n_lines`, `_n_deleted`, `_n_runs`.
+
+    Null texts stay null. Identical rows (same key, same text) share one fate: none
+    is later than the other. A null key sorts first. Empty tables and texts without
+    a repeated run come back as they are; columns with the names of the three counts are replaced, others stay.
+    """
+    counts = ("n_lines", "n_deleted", "n_runs")
+    return _shortened(docs, key, text, window, long_words).select(
+        *[F.col("text").alias(c) if c == text else F.col("caller")[c].alias(c) for c in docs.columns if c.removeprefix("_") not in counts or c in counts],
+        *[F.col(c).alias(f"_{c}") for c in counts])
 
 
 def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW,
@@ -141,10 +148,11 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", window
     """`docs` with later repeated runs deleted, in the same columns; `n_chars` follows the text.
 
     Texts that held words and lost all of them are copies of earlier lines and are left out.
+    Nulls, ties, repeated rows and empty tables as in `without_repeats`; every other column stays, whatever its name.
     """
-    rows = without_repeats(docs, key, text, window, long_words).where("_n_deleted = 0 OR _n_deleted < _n_lines")
-    out = rows.drop("_n_lines", "_n_deleted", "_n_runs")
-    return out.withColumn("n_chars", F.length(text).cast("long")) if "n_chars" in docs.columns and text == "text" else out
+    rows = _shortened(docs, key, text, window, long_words).where("n_deleted = 0 OR n_deleted < n_lines")
+    own = {text: F.col("text")} | ({"n_chars": F.length("text").cast("long")} if text == "text" else {})
+    return rows.select(*[own.get(c, F.col("caller")[c]).alias(c) for c in docs.columns])
 
 
 @query("op9_line_dedup", rf"""

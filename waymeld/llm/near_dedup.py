@@ -308,14 +308,15 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", percent:
     without one, are different documents. Texts without a word are in no group; of
     those with equal key and text one row stays.
     """
-    # Written once, so that the numbers hold wherever the rows are read again.
-    rows = written(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
-    found = near_duplicates(rows, "_row", text, percent).withColumnRenamed("doc_id", "_row")
-    named = rows.select("_row", F.col(key).alias("_key"), F.xxhash64(text).alias("_tie")).join(found, "_row")
+    # Written once, so that the numbers hold wherever the rows are read again. The caller's
+    # columns travel in one struct, out of the way of the names used here.
+    rows = written(docs.select(F.struct(*docs.columns).alias("caller"), F.col(key).alias("key"), F.col(text).alias("text"), F.monotonically_increasing_id().alias("row")), "rows")
+    found = near_duplicates(rows, "row", "text", percent).withColumnRenamed("doc_id", "row")
+    named = rows.select("row", "key", F.xxhash64("text").alias("tie")).join(found, "row")
     bare = F.col("n_shingles") == 0
-    kept = (named.groupBy(F.when(~bare, F.col("component_id")).alias("c"), F.when(bare, F.col("_key")).alias("k"), F.when(bare, F.col("_tie")).alias("t"))
-            .agg(F.min(F.struct(F.col("_key").isNull(), "_key", "_tie", "_row"))["_row"].alias("_row")))
-    return rows.join(kept.select("_row"), "_row", "left_semi").select(*docs.columns)
+    kept = (named.groupBy(F.when(~bare, F.col("component_id")).alias("c"), F.when(bare, F.col("key")).alias("k"), F.when(bare, F.col("tie")).alias("t"))
+            .agg(F.min(F.struct(F.col("key").isNull(), "key", "tie", "row"))["row"].alias("row")))
+    return rows.join(kept.select("row"), "row", "left_semi").select("caller.*")
 
 
 @query("op2_near_dedup", r"""

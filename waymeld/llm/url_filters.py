@@ -97,10 +97,10 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: st
               .where(F.size("open") > 0)
               .select("host", "path", F.element_at("open", -1).alias("top")))
     best = active.groupBy("host", "path").agg(
-        F.max_by("top", F.struct(F.length("top.rule"), "top.host_length", "top.rule")).alias("_top"))
-    return (rows.join(best, ["host", "path"], "left")
-            .select(*rows.columns, F.col("_top.rule").alias("rule"),
-                    F.coalesce("_top.verdict", F.lit(default)).alias("verdict")))
+        F.max_by("top", F.struct(F.length("top.rule"), "top.host_length", "top.rule")).alias("top"))
+    # The caller's columns travel in one struct, out of the way of the names used here.
+    return (rows.select("host", "path", F.struct(*rows.columns).alias("caller")).join(best, ["host", "path"], "left")
+            .select("caller.*", F.col("top.rule").alias("rule"), F.coalesce("top.verdict", F.lit(default)).alias("verdict")))
 
 
 RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"),
