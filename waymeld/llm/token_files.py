@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import struct
+import unicodedata
 import zlib
 
 import numpy as np
@@ -44,10 +45,9 @@ class WaveletMatrix:
         now = ids.astype(np.uint16 if depth <= 16 else np.uint32)
         planes = []
         for level in range(depth - 1, -1, -1):
-            bit = (now >> level).astype(np.uint8) & 1
-            planes.append(np.packbits(bit, bitorder="little"))
-            ones = bit.view(bool)
-            now = np.concatenate((now[~ones], now[ones]))
+            ones = (now & now.dtype.type(1 << level)) != 0
+            planes.append(np.packbits(ones, bitorder="little"))
+            now = np.concatenate((np.compress(~ones, now), np.compress(ones, now)))
         return cls(len(ids), planes)
 
     def bits(self, level: int) -> np.ndarray:
@@ -123,14 +123,13 @@ class WaveletMatrix:
     def all(self) -> np.ndarray:
         """Every id in order: the planes undone from the lowest bit up."""
         ids = np.zeros(self.n, np.uint16 if self.depth <= 16 else np.uint32)
+        before = np.empty_like(ids)
         for shift, level in enumerate(range(self.depth - 1, -1, -1)):
             ones = self.bits(level)
-            zeros = self.n - int(np.count_nonzero(ones))
-            before = np.empty_like(ids)
-            before[~ones] = ids[:zeros]
-            before[ones] = ids[zeros:]
-            before |= ones.astype(ids.dtype) << ids.dtype.type(shift)
-            ids = before
+            first, second = np.flatnonzero(~ones), np.flatnonzero(ones)
+            before[first] = ids[:len(first)]
+            before[second] = ids[len(first):] | ids.dtype.type(1 << shift)
+            ids, before = before, ids
         return ids.astype(np.uint32)
 
 
@@ -166,6 +165,8 @@ def unpack_shard(content: bytes) -> tuple[list[int | None], np.ndarray, WaveletM
 
 #: Signs that, behind letters, are a piece of their own before the merges.
 _SIGNS = b".,!?;:&%$#*|)"
+#: Letters below are Latin, Greek or Cyrillic and the same in every version of Unicode.
+_SETTLED = "\u0530"
 
 
 class WordEncoder:
@@ -183,12 +184,17 @@ class WordEncoder:
 
     def __init__(self, path: str, memo: int = MEMO):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.whole = Tokenizer.from_file(path)
         self.special = [t.content.encode() for t in self.whole.get_added_tokens_decoder().values()]
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        # For lower-case letters the file's rules come down to this: nothing to normalise, words end at white space.
+        self.bare = Tokenizer.from_file(path)
+        self.bare.encode_special_tokens = True
+        self.bare.normalizer = normalizers.Sequence([])
+        self.bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for piece, i in vocabulary.items() if piece.endswith("</w>")]] = True
@@ -206,33 +212,39 @@ class WordEncoder:
         return [np.array([*self.whole.encode(texts[i].decode(), add_special_tokens=False).ids, end], "<u4") if i in apart
                 else np.frombuffer(b"".join([*map(get, words), tail]), "<u4") for i, words in enumerate(split)]
 
-    def _letters(self, stem: bytes) -> bool:
-        """Letters before and after normalising."""
-        text, rule = stem.decode(), self.tokenizer.normalizer
-        return text.isalpha() and (rule is None or rule.normalize_str(text).isalpha())
+    def _kind(self, stem: bytes) -> int:
+        """0: letters that normalising leaves as they are, 1: letters before and after normalising, 2: anything else."""
+        text = stem.decode()
+        if not text.isalpha():
+            return 2
+        if max(text) < _SETTLED and text == text.lower() and unicodedata.is_normalized("NFC", text):
+            return 0
+        return 1 if self.tokenizer.normalizer.normalize_str(text).isalpha() else 2
 
     def _learn(self, new: set[bytes]) -> None:
         memo, ended = self.memo, []
-        letters, rest = set(), set()
+        bare, letters, rest = set(), set(), set()
         for w in new:
             stem = w.rstrip(_SIGNS)
-            if not (stem.isalpha() or (not stem.isascii() and self._letters(stem))):
+            kind = 0 if stem.isalpha() else 2 if stem.isascii() else self._kind(stem)
+            if kind == 2:
                 rest.add(w)
                 continue
-            letters.add(stem)
+            (letters if kind else bare).add(stem)
             if len(stem) < len(w):
                 rest.add(w[len(stem):])
                 ended.append((w, stem))
-        plain = [w for w in letters if w not in memo]
-        for at in range(0, len(plain), 1_000):
-            part = plain[at:at + 1_000]
-            ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(part).decode()], add_special_tokens=False)[0].ids, "<u4")
-            cuts = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
-            if len(cuts) != len(part):  # a word that normalises to more than letters
-                rest.update(part)
-                continue
-            raw = ids.tobytes()
-            memo.update(zip(part, (raw[a:b] for a, b in zip([0, *cuts], cuts))))
+        for words, tokenizer in ((bare, self.bare), (letters, self.tokenizer)):
+            plain = [w for w in words if w not in memo]
+            for at in range(0, len(plain), 1_000):
+                part = plain[at:at + 1_000]
+                ids = np.array(tokenizer.encode_batch_fast([b" ".join(part).decode()], add_special_tokens=False)[0].ids, "<u4")
+                cuts = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+                if len(cuts) != len(part):  # a word that normalises to more than letters
+                    rest.update(part)
+                    continue
+                raw = ids.tobytes()
+                memo.update(zip(part, (raw[a:b] for a, b in zip([0, *cuts], cuts))))
         single = [w for w in rest if w not in memo]
         for w, e in zip(single, self.tokenizer.encode_batch_fast([w.decode() for w in single], add_special_tokens=False)):
             ids = e.ids
