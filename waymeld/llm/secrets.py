@@ -99,9 +99,9 @@ def scan_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text", scope
     own = [c for c in docs.columns if c not in (text, *named)]
     # The caller's columns travel in one struct, out of the way of the names used here.
     rows = docs.select(F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(own)], F.lit(0).alias("last")).alias("caller"), F.col(key).alias("key"), F.xxhash64(body).alias("hash"), F.length(body).alias("size"),
-                       F.array(*[find(body, k) for k in range(len(KINDS))]).alias("found"))
-    found = rows.select("caller", "key", "hash", "size", *[F.size(F.col("found")[k]).cast("long").alias(n) for k, n in enumerate(named[:3])],
-                        F.flatten(F.slice("found", 1, BASE_KINDS)).alias("strong"), F.flatten(F.slice("found", BASE_KINDS + 1, len(KINDS) - BASE_KINDS)).alias("weak"))
+                       *[find(body, k).alias(f"k{k}") for k in range(len(KINDS))])
+    found = (rows.withColumn("strong", F.concat(*[F.col(f"k{k}") for k in range(BASE_KINDS)])).withColumn("weak", F.concat(*[F.col(f"k{k}") for k in range(BASE_KINDS, len(KINDS))]))
+             .select("caller", "key", "hash", "size", "strong", "weak", *[F.size(f"k{k}").cast("long").alias(n) for k, n in enumerate(named[:3])]))
     keys = ["key", "hash", "size"]
     # One weak part alone is never reported, so only texts with a complement move on.
     parts = (found.where((F.size("weak") > 0) & (F.size("weak") + F.size("strong") > 1))
