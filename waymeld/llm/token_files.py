@@ -26,7 +26,7 @@ MAGIC = b"WMT1"
 #: Ids after which a shard is closed; a document is never split, so one longer than this makes a larger shard.
 SHARD_TOKENS = 1_000_000
 #: Words that a worker remembers; beyond it the memory starts anew, which changes no result.
-MEMO = 1_000_000
+MEMO = 700_000
 _BLOCK = 512
 
 
@@ -256,6 +256,13 @@ class WordEncoder:
 _encoders: dict[str, WordEncoder] = {}
 
 
+def _encoder(path: str) -> WordEncoder:
+    """The worker's encoder, kept from task to task. A function of the module, since what a task's own function names is copied into each task."""
+    if path not in _encoders:
+        _encoders[path] = WordEncoder(path)
+    return _encoders[path]
+
+
 def write_shards(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", end: int = 1,
                  shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """The files of all documents in ascending key order: (part, shard, n_docs, n_tokens, content).
@@ -270,9 +277,7 @@ def write_shards(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str
     rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
 
     def run(batches):
-        if tokenizer not in _encoders:
-            _encoders[tokenizer] = WordEncoder(tokenizer)
-        encoder, part, shard = _encoders[tokenizer], TaskContext.get().partitionId(), 0
+        encoder, part, shard = _encoder(tokenizer), TaskContext.get().partitionId(), 0
         names, arrays, held = [], [], 0
 
         def close():
