@@ -11,6 +11,7 @@ import os
 import struct
 import unicodedata
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,7 @@ MAGIC = b"WMT1"
 #: Ids after which a shard is closed; a document is never split, so one longer than this makes a larger shard.
 SHARD_TOKENS = 1_000_000
 #: Words that a worker remembers; beyond it the memory starts anew, which changes no result.
-MEMO = 700_000
+MEMO = 1_200_000
 _BLOCK = 512
 
 
@@ -203,7 +204,7 @@ class WordEncoder:
     def encode(self, texts: list[bytes], end: int) -> list[np.ndarray]:
         apart = {i for i, t in enumerate(texts) if any(x in t for x in self.special)}
         split = [[] if i in apart else t.lower().split() for i, t in enumerate(texts)]
-        new = set().union(*split).difference(self.memo)
+        new = set(chain.from_iterable(split)).difference(self.memo)
         if len(self.memo) + len(new) > self.most:
             self.memo.clear()
             new = set().union(*split)
