@@ -7,7 +7,7 @@ from math import hypot
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from waymeld.operators import ledgers, machines as M, matching as G, traces as T
+from waymeld.operators import machines as M, matching as G, traces as T
 from waymeld.operators.ordered import dense_seq, islands, neighbours, running
 from waymeld.plans.catalogue import QUERIES
 
@@ -68,12 +68,6 @@ def test_clean_foot_path_drops_the_spike():
     assert M.clean_foot_path([(0, 51.0, -1.0, 5.0, 0.0)] * 3) == [0, 1, 2]  # untimed: untouched
 
 
-def test_simplify_keeps_ends_and_splits_long_lines():
-    line = [(51.0, -1.0 + i * 1e-4) for i in range(60)]
-    kept = M.simplify_line(line, 5.0, 100.0)
-    assert kept[0] == 0 and kept[-1] == 59 and all(M._plane(line[a], line[b], 111_320.0) <= 101 or b - a == 1 for a, b in zip(kept, kept[1:]))
-
-
 def test_stop_needs_four_fixes_and_three_minutes():
     def run(times):
         m = M.Stops(None)
@@ -84,28 +78,11 @@ def test_stop_needs_four_fixes_and_three_minutes():
     assert run([1_000, 61_000, 152_000, 183_000]) == []  # a 91 s gap starts again
 
 
-def test_session_compares_with_the_retained_start():
-    m = M.Sessions(None)
-    out = [x for s in (0, 30, 50, 90) for x in m.row("v", s, s + 5, 1)] + m.end()
-    assert [(o[1], o[4]) for o in out] == [(0, 2), (50, 2)]
-
-
 def test_size_guard_lists_what_it_sets_aside(spark):
     df = spark.createDataFrame([(1, i) for i in range(5)] + [(2, 0)], "journey_id long, seq long")
     assert rows_of(T.size_guard(df, ["journey_id"], 4), "journey_id", "decision") == [(1, "review"), (2, "process")]
 
 
-def test_greedy_anchor_dedupe_equals_loop(spark):
-    rng = random.Random(2)
-    pts = [(i % 2, i, rng.uniform(0, 900), rng.uniform(0, 900)) for i in range(240)]
-    kept = []
-    for k, i, x, y in pts:
-        if not any(q == k and hypot(x - a, y - b) <= 95 for q, _, a, b in kept):
-            kept.append((k, i, x, y))
-    df = spark.createDataFrame(pts, "r long, i long, x double, y double")
-    assert rows_of(ledgers.greedy_keep(df, ["r"], "i", "x", "y", 95.0), "r", "i") == sorted((k, i) for k, i, _, _ in kept)
-
-
 def grid_network():
     import pandas as pd
     rows, n = [], 0

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geo import haversine_m, interpolate
+from ..session import cut_lineage
+from .jumps import first_from, reached
 from .ordered import islands, keep_parallel, neighbours, running, seq_chunk
 
 REVIEW_POINTS = 20_000
@@ -150,26 +152,44 @@ def run_lengths(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     return spans.groupBy(*keys, "span", value).agg(F.min("seq").alias("from_seq"), F.max("seq").alias("to_seq"))
 
 
-def thin_trace(fixes: DataFrame, key: str = "journey_id", far_m: float = 25.0) -> DataFrame:
-    """(key, seq) of the fixes kept by the thinning rule.
+def thin_trace(fixes: DataFrame, key: str = "journey_id", far_m: float = 25.0, near_m: float = 8.0, bend: float = 0.35) -> DataFrame:
+    """(key, seq) of the fixes kept: `far_m` behind the last kept one along the path, or `near_m` at a turn, and both ends.
 
-    Steps and turns are Columns. A step of `far_m` or more always emits and
-    clears the running length, so journeys split there into independent scans.
+    A step of `far_m` or more always keeps its fix, so a journey parts there. Within
+    a part the fix that would follow is looked up for every fix, and the kept ones are those reached
+    from the first.
     """
-    from .machines import Thinning
-    from .scans import scan_sorted
     c = F.col
     p = neighbours(fixes, [key], "seq", {"blat": ("lat", -1), "blng": ("lng", -1), "alat": ("lat", 1), "alng": ("lng", 1)})
     k = F.cos(F.radians("lat"))
     ux, uy, vx, vy = (c("lng") - c("blng")) * k, c("lat") - c("blat"), (c("alng") - c("lng")) * k, c("alat") - c("lat")
     nu, nv = F.hypot(ux, uy), F.hypot(vx, vy)
-    bend = 1 - F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.try_divide(ux * vx + uy * vy, nu * nv)))
+    turn = 1 - F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.try_divide(ux * vx + uy * vy, nu * nv)))
     rows = p.select(key, "seq", F.coalesce(haversine_m("blat", "blng", "lat", "lng", 6_371_008.8), F.lit(0.0)).alias("step"),
-                    F.coalesce((nu > 2e-5) & (nv > 2e-5) & (bend > 0.35), F.lit(False)).alias("turns"),
-                    (c("blat").isNull() | c("alat").isNull()).alias("is_end"))
-    cut = islands(rows, [key], seq_chunk(), ["seq"], c("step") >= far_m, "part")
-    kind = dict(fixes.dtypes)[key]
-    return scan_sorted(cut, [key, "part"], ["seq"], [key, "seq", "step", "turns", "is_end"], lambda k: Thinning(k), f"{key} {kind}, seq long")
+                    F.coalesce((nu > 2e-5) & (nv > 2e-5) & (turn > bend), F.lit(False)).alias("turns"),
+                    c("blat").isNull().alias("opens"), c("alat").isNull().alias("closes"))
+    rows = rows.withColumn("head", c("opens") | (c("step") >= far_m))
+    cut = running(rows, [key], seq_chunk(), ["seq"], {"part": ("sum", c("head").cast("int"))})
+    inner = F.when(c("head"), 0.0).otherwise(c("step"))
+    run = cut_lineage(running(cut.withColumn("_step", inner), [key, "part"], seq_chunk(), ["seq"], {"_run": ("sum", "_step")}))
+    found = first_from(run, [key, "part"], "_run", "seq", 16 * 1024 * far_m,
+                       {"_far": (c("_run") + far_m, F.lit(True)), "_turn": (c("_run") + near_m, c("turns"))})
+    steps = found.withColumn("_next", F.least("_far", "_turn"))
+    return reached(steps, [key, "part"], "seq", "_next", "head").select(key, "seq").unionByName(rows.where("closes").select(key, "seq")).distinct()
+
+
+def visit_sessions(visits: DataFrame, key: str, start: str, window: int, chunk: int = 10_080) -> DataFrame:
+    """Add `session`, numbered from 1 per key: a visit within `window` of its session's first start belongs to it.
+
+    `start` is a whole number, unique within its key. A gap above the window is a sure break, so followers are sought between such gaps only.
+    """
+    at = F.floor(F.col(start) / chunk)
+    p = running(visits, [key], at, [start], {"_prev": ("last", start)}, exclusive=True)
+    head = F.col("_prev").isNull() | (F.col(start) - F.col("_prev") > window)
+    cut = cut_lineage(islands(p.withColumn("_head", head), [key], at, [start], F.col("_head"), "_island").drop("_prev"))
+    found = first_from(cut.withColumn("_at", F.col(start)), [key, "_island"], "_at", start, chunk, {"_next": (F.col(start) + window + 1, F.lit(True))})
+    opening = reached(found, [key, "_island"], start, "_next", "_head").select(key, start, F.lit(True).alias("_opens"))
+    return islands(cut.join(opening, [key, start], "left"), [key], at, [start], F.coalesce("_opens", F.lit(False)), "session").drop("_opens", "_head", "_island")
 
 
 def drop_redundant(fixes: DataFrame, key: str = "journey_id") -> DataFrame:

@@ -4,11 +4,11 @@ from pyspark.sql import functions as F
 
 from ..functions import geo
 from ..operators import coverage as cov
-from ..operators import machines as M
 from ..operators import traces as T
 from ..operators.components import connected_components
 from ..operators.gridjoin import box_cells, points_in_boxes, segment_cells
 from ..operators.intervals import interval_union
+from ..operators.ledgers import greedy_keep
 from ..sources import readers as R
 from .catalogues import CH, chained_net, chains
 from .coverage import ALIGN, PAIRS, hav, union_sql
@@ -118,11 +118,14 @@ def _(t):
     return cov.observation_pairs(t.obs, strict).groupBy(F.coalesce("reason", F.lit("open")).alias("reason")).agg(F.count("*").alias("pairs"))
 
 
-@query("udf03_grouped_map")
+@query("udf03_grouped_map", "anchors", """WITH RECURSIVE a AS (SELECT anchor_id % 4 AS part, anchor_id, radians(lng) * 6378137.0 AS x, ln(tan(pi() / 4 + radians(lat) / 2)) * 6378137.0 AS y, row_number() OVER (PARTITION BY anchor_id % 4 ORDER BY anchor_id) AS k FROM anchors),
+s AS (SELECT part, k, [{'i': anchor_id, 'x': x, 'y': y}] AS kept FROM a WHERE k = 1
+ UNION ALL SELECT a.part, a.k, CASE WHEN len(list_filter(s.kept, lambda p: sqrt(pow(p.x - a.x, 2) + pow(p.y - a.y, 2)) <= 5000)) > 0 THEN s.kept ELSE list_append(s.kept, {'i': a.anchor_id, 'x': a.x, 'y': a.y}) END FROM s JOIN a ON a.part = s.part AND a.k = s.k + 1)
+SELECT part, unnest(kept).i AS anchor_id FROM (SELECT part, arg_max(kept, k) AS kept FROM s GROUP BY 1)""")
 def _(t):
-    # The grouped hook over whole sections.
-    rows, _gaps = T.time_sections(t.trace, ["journey_id"], 120_000)
-    return T.grouped_keep(rows, ["journey_id", "section"], ["lat", "lng"], lambda p: M.simplify_line(p, 5.0, 200.0))
+    # The grouped hook over blocks of bounded size.
+    m = t.anchors.select(F.expr("anchor_id % 4").alias("part"), "anchor_id", geo.mercator_x("lng").alias("x"), geo.mercator_y("lat").alias("y"))
+    return greedy_keep(m, ["part"], "anchor_id", "x", "y", 5000.0, block=1024)
 
 
 @query("udaf01_union_per_journey_mode", "spans", "WITH " + union_sql("spans", "mode, journey_id", "start_mm", "end_mm") + " SELECT mode, count(*) AS pieces, CAST(sum(hi - lo) AS BIGINT) AS mm FROM united GROUP BY mode")

@@ -369,9 +369,11 @@ def _(t):
     return a.groupBy("road_ref").agg(F.bool_or(geo.haversine_m("lat", "lng", F.lit(51.2), F.lit(-0.7)) <= 8000).alias("reached"))
 
 
-@query("agg37_anchor_dedupe")
+@query("agg37_anchor_dedupe", "anchors", """WITH RECURSIVE a AS (SELECT road_ref, anchor_id, radians(lng) * 6378137.0 AS x, ln(tan(pi() / 4 + radians(lat) / 2)) * 6378137.0 AS y, row_number() OVER (PARTITION BY road_ref ORDER BY anchor_id) AS k FROM anchors),
+s AS (SELECT road_ref, k, [{'i': anchor_id, 'x': x, 'y': y}] AS kept FROM a WHERE k = 1
+ UNION ALL SELECT a.road_ref, a.k, CASE WHEN len(list_filter(s.kept, lambda p: sqrt(pow(p.x - a.x, 2) + pow(p.y - a.y, 2)) <= 3000)) > 0 THEN s.kept ELSE list_append(s.kept, {'i': a.anchor_id, 'x': a.x, 'y': a.y}) END FROM s JOIN a ON a.road_ref = s.road_ref AND a.k = s.k + 1)
+SELECT road_ref, unnest(kept).i AS anchor_id FROM (SELECT road_ref, arg_max(kept, k) AS kept FROM s GROUP BY 1)""")
 def _(t):
-    # Order-dependent: no short SQL form. tests/test_ledgers.py compares with a sequential scan.
     m = t.anchors.select("road_ref", "anchor_id", geo.mercator_x("lng").alias("x"), geo.mercator_y("lat").alias("y"))
     return L.greedy_keep(m, ["road_ref"], "anchor_id", "x", "y", 3000.0)
 

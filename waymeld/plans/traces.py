@@ -8,6 +8,7 @@ from ..operators import traces as T
 from ..operators.intervals import interval_union
 from ..operators.ledgers import first_rows
 from ..operators.ordered import islands, neighbours, overlapping_chunks, running, seq_chunk
+from ..operators.lines import simplify
 from ..operators.scans import scan_sorted
 from .coverage import hav, union_sql
 from .registry import query
@@ -76,16 +77,11 @@ s AS (SELECT venue_id, k, start_min AS s0, end_min AS e, d, n, 1 AS session FROM
  UNION ALL SELECT v.venue_id, v.k, CASE WHEN v.start_min - s0 <= 45 THEN s0 ELSE v.start_min END, v.end_min, CASE WHEN v.start_min - s0 <= 45 THEN least(s.d, v.d) ELSE v.d END, CASE WHEN v.start_min - s0 <= 45 THEN s.n + v.n ELSE v.n END, CASE WHEN v.start_min - s0 <= 45 THEN session ELSE session + 1 END FROM s JOIN v ON v.venue_id = s.venue_id AND v.k = s.k + 1)
 SELECT venue_id, s0 AS start_min, arg_max(e, k) AS end_min, arg_max(d, k) AS distance, CAST(arg_max(n, k) AS BIGINT) AS visits, session = 1 AS first_visit FROM s GROUP BY venue_id, session, s0""")
 def _(t):
-    # Equal starts collapse first; a gap above the window is a sure break, so the
-    # scan runs per (venue, island) and a busy venue spreads over many tasks.
+    # Equal starts collapse first.
     v = t.visits.groupBy("venue_id", "start_min").agg(F.max("end_min").alias("end_min"), F.min(F.expr("visit_id % 97")).alias("d"), F.count("*").alias("n"))
-    chunk = F.floor(F.col("start_min") / 10_080)
-    p = running(v, ["venue_id"], chunk, ["start_min"], {"prev": ("last", "start_min")}, exclusive=True)
-    cut = islands(p, ["venue_id"], chunk, ["start_min"], F.col("prev").isNull() | (F.col("start_min") - F.col("prev") > 45), "island")
-    s = scan_sorted(cut, ["venue_id", "island"], ["start_min"], ["venue_id", "start_min", "end_min", "d", "n"], lambda k: M.Sessions(k),
-                    "venue_id long, start_min long, end_min long, distance long, visits long, opens boolean")
-    first = s.groupBy("venue_id").agg(F.min("start_min").alias("f"))
-    return s.drop("opens").join(first, "venue_id").select("venue_id", "start_min", "end_min", "distance", "visits", (F.col("start_min") == F.col("f")).alias("first_visit"))
+    s = T.visit_sessions(v, "venue_id", "start_min", 45)
+    return s.groupBy("venue_id", "session").agg(F.min("start_min").alias("start_min"), F.max_by("end_min", "start_min").alias("end_min"), F.min("d").alias("distance"), F.sum("n").alias("visits")).select(
+        "venue_id", "start_min", "end_min", "distance", "visits", (F.col("session") == 1).alias("first_visit"))
 
 
 @query("win08_proof_sessions", "visits", "WITH pv AS (SELECT user_id, venue_id, start_min AS lo, end_min + 15 AS hi FROM visits), " + union_sql("pv", "user_id, venue_id") + " SELECT user_id, venue_id, lo AS start_min, hi - 15 AS end_min FROM united")
@@ -146,13 +142,13 @@ def _(t):
 @query("win13_simplify_cycling")
 def _(t):
     rows, _gaps = T.time_sections(t.trace.where(F.col("mode") == "cycling"), ["journey_id"], 900_000, least=1)
-    return T.grouped_keep(rows, ["journey_id", "section"], ["lat", "lng"], lambda p: M.simplify_line(p, 5.0, 100.0))
+    return simplify(rows, ["journey_id", "section"], 5.0, 100.0)
 
 
 @query("win13_simplify_walking")
 def _(t):
     rows, _gaps = T.time_sections(t.trace.where(F.col("mode") == "walking"), ["journey_id"], 900_000, least=1)
-    return T.grouped_keep(rows, ["journey_id", "section"], ["lat", "lng"], lambda p: M.simplify_line(p, 3.0, 60.0, 8, 111_195.0))
+    return simplify(rows, ["journey_id", "section"], 3.0, 60.0, 8, 111_195.0)
 
 
 @query("win14_supported_sections", "trace", f"""WITH {LINE_SQL}, l AS (SELECT journey_id, seq, {hav('ay', 'ax', 'cy', 'cx', '6371008.8')} AS obs, {hav('ay', 'ax', 'cy', 'cx', '6371008.8')} * (1 + seq % 4) + CASE WHEN seq % 9 = 4 THEN 400 ELSE 0 END AS d FROM legs WHERE t2 IS NOT NULL),
