@@ -175,3 +175,22 @@ def test_pipeline(spark):
             assert N.near_duplicates(docs).where("NOT kept").count() == 0
     out = pipe.run(spark, folder)
     assert sorted(r["doc_id"] for r in out.collect()) == sorted(r["doc_id"] for r in docs.collect())
+
+
+def test_op7_query_equals_a_plain_loop(spark):
+    import base64
+    folder = "/root/testdata/sf0.001"
+    pages = [(r["page_id"], (r["html"] or "").encode()) for r in spark.read.parquet(f"{folder}/pages.parquet").select("page_id", "html").collect()]
+    largest = {}
+    for page, body in pages:
+        largest[body] = max(page, largest.get(body, page))
+    want = [(page, len(body), base64.b32encode(hashlib.sha1(body).digest()).decode(), *(("response", None) if largest[body] == page else ("revisit", largest[body]))) for page, body in pages]
+    key = lambda r: tuple(map(str, r))
+    assert sorted(map(tuple, W.op7_warc(spark, folder).collect()), key=key) == sorted(want, key=key)
+
+
+def test_revisits_of_one_payload_on_half_the_pages(spark):
+    df = spark.createDataFrame([(i, None if i % 3 == 0 else f"u{i}", "same" if i % 2 else f"own {i}") for i in range(200)] + [(199, "again", "same"), (None, "x", "same")], "page_id long, url string, html string")
+    rows = W.with_revisits(df, 0).collect()
+    assert len(rows) == 202
+    assert all((r["_kind"], r["_refers"]) == (("revisit", 199) if r["html"] == "same" and r["page_id"] != 199 else ("response", None)) for r in rows)

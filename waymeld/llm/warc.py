@@ -18,6 +18,8 @@ from .common import query, table
 
 #: Compressed bytes after which an archive is closed.
 ARCHIVE_BYTES = 8_000_000
+#: Tasks over which the pages of one digest are dealt.
+SLOTS = 32
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _DATE = "2024-01-01T00:00:00Z"  # fixed, so that a repeated task writes the same bytes
 
@@ -99,15 +101,15 @@ def read_record(member: bytes) -> dict:
 def with_revisits(pages: DataFrame, least: int) -> DataFrame:
     """Add `_payload`, `_kind` and `_refers`: equal payloads of `least` bytes or more point to the row with the largest id.
 
-    Copies are counted by digest with partial sums, so a payload that a third of all
-    pages share is one row for each task; pages then look their digest up.
+    Copies are counted by digest with partial sums. Pages look their digest up by (digest, slot): a payload that
+    a third of all pages share is dealt to `SLOTS` tasks, and each repeated digest is copied to all slots.
     """
     rows = pages.withColumn("_payload", F.coalesce(F.encode("html", "UTF-8"), F.lit(b"")))
     rows = rows.withColumn("_sha", F.sha1("_payload"))
     large = rows.where(F.octet_length("_payload") >= least)
     copies = (large.groupBy("_sha").agg(F.count("*").alias("_n"), F.max("page_id").alias("_refers"))
-              .where("_n > 1").drop("_n"))
-    joined = rows.join(copies, "_sha", "left")
+              .where("_n > 1").drop("_n").withColumn("_slot", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SLOTS - 1).cast("long")))))
+    joined = rows.withColumn("_slot", F.pmod(F.xxhash64("page_id", "url"), F.lit(SLOTS).cast("long"))).join(copies, ["_sha", "_slot"], "left")
     revisit = F.coalesce((F.octet_length("_payload") >= least) & F.col("_refers").isNotNull()
                          & ~F.col("page_id").eqNullSafe(F.col("_refers")), F.lit(False))
     return joined.select(*rows.columns, F.when(revisit, "revisit").otherwise("response").alias("_kind"),
