@@ -89,3 +89,13 @@ def test_reference_spellings(spark):
 def test_every_sql_twin_names_a_query():
     from __spark_entry__ import oracle_sql, queries
     assert set(oracle_sql()) <= set(queries())
+
+
+def test_journey_ids_are_text(spark):
+    from waymeld.operators.matching import match_journeys
+    from waymeld.sources import readers
+    docs = spark.createDataFrame([('{"journey_id":"ride-7f3","mode":"cycling","distance_meters":12.5}',), ('{"journey_id":41}',)], "value string")
+    assert sorted(r["journey_id"] for r in readers.journey_summaries(docs).collect()) == ["41", "ride-7f3"]
+    edges = spark.createDataFrame([(1, 1, 2, 0.0, 0.0, 100.0, 0.0)], "edge_id long, a_node long, b_node long, ax double, ay double, bx double, by double")
+    points = spark.createDataFrame([("ride-7f3", 0, 5.0, 1.0, 5.0), ("ride-7f3", 1, 60.0, 1.0, 5.0)], "journey_id string, seq long, x double, y double, accuracy_m double")
+    assert [(r["journey_id"], r["edge_id"]) for r in match_journeys(points, edges).collect()] == [("ride-7f3", 1)] * 2

@@ -449,7 +449,7 @@ def geodesic_to_segment_m(lng, lat, a_lng, a_lat, b_lng, b_lat) -> Column:
     """Ellipsoidal metres to the nearest point of a short segment (up to about 10 km).
 
     The plane is tangent at the position and scaled with WGS84 metres per degree;
-    tests/test_geo.py measures the error (millimetres within 100 m).
+    tests/test_spatial.py measures the error (millimetres within 100 m).
     """
     lng, lat, a_lng, a_lat, b_lng, b_lat = map(_c, (lng, lat, a_lng, a_lat, b_lng, b_lat))
     ky, kx = metres_per_degree(lat)

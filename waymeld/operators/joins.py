@@ -46,6 +46,19 @@ def segments_near(segments: DataFrame, places: DataFrame, ids: list[str], place_
             .dropDuplicates([*ids, place_id]))
 
 
+def dated_markers_near(segments: DataFrame, markers: DataFrame, ids: list[str], marker: str, at: str, reach_m: float = 100.0) -> DataFrame:
+    """(ids, marker, distance_m): segments within `reach_m` ground metres of a marker that is valid at their time.
+
+    Segments (ax, ay, cx, cy in degrees, `at`) are unique by `ids`; markers hold p_lat, p_lng, valid_from and valid_until, either of which may be
+    null for no bound. The spherical grid join takes a margin for the ellipsoid, whose metres then decide.
+    """
+    c = F.col
+    wide = segments_near(segments, markers.withColumn("radius_m", F.lit(reach_m * 1.02)), ids, marker, reach_m * 1.02)
+    valid = F.coalesce(c(at) >= c("valid_from"), c("valid_from").isNull()) & F.coalesce(c(at) <= c("valid_until"), c("valid_until").isNull())
+    d = F.round(geo.geodesic_to_segment_m("p_lng", "p_lat", "ax", "ay", "cx", "cy"), 6)
+    return wide.where(valid).select(*ids, marker, d.alias("distance_m")).where(c("distance_m") <= reach_m)
+
+
 def nearest_own_radius(points: DataFrame, places: DataFrame, most_m: float, point_id: str, place_id: str) -> DataFrame:
     """Nearest place among those whose own radius holds the point."""
     pairs = within_radius(points, places, most_m).where("distance_m <= radius_m")

@@ -72,7 +72,7 @@ def match_journeys(points: DataFrame, edges: DataFrame, policy: MatchPolicy = Ma
         & (F.greatest("ay", "by") >= F.col("s") - m) & (F.least("ay", "by") <= F.col("n") + m))
     clipped = cut_lineage(hit.select("journey_id", "request", "edge_id", "a_node", "b_node", "ax", "ay", "bx", "by").distinct())
     keys = ["journey_id", "request"]
-    schema = "journey_id long, request long, seq long, edge_id long, frac double, status string"
+    schema = f"journey_id {dict(points.dtypes)['journey_id']}, request long, seq long, edge_id long, frac double, status string"
     # Both sides descend from the same points: fresh column ids keep them apart.
     anew = lambda df: df.select(*[F.col(c).alias(c) for c in df.columns])
     left, right = keep_parallel(anew(lattice), keys), keep_parallel(anew(clipped), keys)
@@ -84,7 +84,7 @@ def _match_request(lattice: pd.DataFrame, network: pd.DataFrame) -> pd.DataFrame
     names = ["journey_id", "request", "seq", "edge_id", "frac", "status"]
     if lattice.empty:
         return pd.DataFrame(columns=names)
-    head = (int(lattice.journey_id.iloc[0]), int(lattice.request.iloc[0]))
+    head = (lattice.journey_id.tolist()[0], int(lattice.request.iloc[0]))
     graph = Graph(network)
     layers, points = [], []
     for seq, rows in lattice.sort_values(["seq", "gap", "edge_id"]).groupby("seq"):

@@ -19,7 +19,7 @@ from .shapes import LINE_SQL, POLY, legs, polylines
 @query("src03_journey_summaries", "journeys", "SELECT journey_id, mode, start_ms, CAST(distance_m AS DOUBLE) AS distance_meters, status FROM journeys")
 def _(t):
     docs = t.journeys.selectExpr("""concat('{"journey_id":', journey_id, ',"mode":"', mode, '","started_at":"', date_format(timestamp_millis(start_ms), "yyyy-MM-dd'T'HH:mm:ss'Z'"), '","distance_meters":', distance_m, ',"route_geometry":{"coordinates":[[', lng0, ',', lat0, ']]},"processing":{"status":"', status, '"}}') AS value""")
-    return R.journey_summaries(docs).select("journey_id", "mode", "start_ms", "distance_meters", "status")
+    return R.journey_summaries(docs).select(F.col("journey_id").cast("long").alias("journey_id"), "mode", "start_ms", "distance_meters", "status")
 
 
 @query("src07_usable_ways", "", f"WITH {POLY} SELECT journey_id AS way_id, feature_idx FROM lines WHERE feature_idx % 5 <> 0 AND list_min(xs) < list_max(xs)")

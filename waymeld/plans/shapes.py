@@ -69,7 +69,7 @@ def _(t):
 
 @query("geo04_british_grid")
 def _(t):
-    # Inverse grid has no short SQL form; tests/test_geo.py checks published points.
+    # Inverse grid has no short SQL form; tests/test_spatial.py checks known points.
     g = t.anchors.select("anchor_id", F.expr("400000 + anchor_id % 2000 * 100D").alias("e"), F.expr("200000 + anchor_id % 3000 * 100D").alias("n"))
     return g.select("anchor_id", geo.british_grid_to_wgs84("e", "n").alias("p")).select(
         "anchor_id", F.round("p.lat", 6).alias("lat"), F.round("p.lng", 6).alias("lng"))

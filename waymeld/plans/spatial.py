@@ -6,6 +6,7 @@ from ..functions import geo, text
 from ..operators import joins as J
 from ..operators.gridjoin import near_any, nearest_within, points_in_boxes, segment_cells, planar_cell, within_radius
 from ..operators.intervals import points_in_intervals
+from ..operators.ordered import neighbours
 from .coverage import hav
 from .registry import query
 from .shapes import CUT_SQL, LINE_SQL, RING_SQL, _long_lines, legs, ring
@@ -182,6 +183,25 @@ def _(t):
     return near.groupBy("event_id").agg(F.min(F.struct(F.round("distance_m", 6).alias("d"), "marker_id")).alias("b")).select("event_id", "b.marker_id")
 
 
+STEP_SQL = """steps AS (SELECT * FROM (SELECT journey_id, seq, t_ms, lng AS ax, lat AS ay, lead(lng) OVER w AS cx, lead(lat) OVER w AS cy FROM trace WINDOW w AS (PARTITION BY journey_id ORDER BY seq)) WHERE cx IS NOT NULL)"""
+POST_SQL = """posts AS (SELECT edge_id AS marker_id, 51.0 + ay / 111195.08 + 0.0005 AS lat, -1.0 + ax / 69978.0 + edge_id % 7 * 0.0002 AS lng, 1704067200000 + edge_id % 5 * 2000000 AS valid_from, CASE WHEN edge_id % 3 > 0 THEN 1704067200000 + edge_id % 5 * 2000000 + 9000000 END AS valid_until FROM net)"""
+WGS_SQL = "LATERAL (SELECT 1 - 0.0066943799901413165::DOUBLE * pow(sin(radians(lat)), 2) AS w) w, LATERAL (SELECT 6378137.0::DOUBLE * (1 - 0.0066943799901413165::DOUBLE) * pi() / 180 / pow(w, 1.5) AS ky, 6378137.0::DOUBLE * pi() / 180 * cos(radians(lat)) / sqrt(w) AS kx) k"
+
+
+@query("jn19_edges_near_markers", "trace net", f"""WITH {STEP_SQL}, {POST_SQL},
+n AS (SELECT journey_id, seq, marker_id, (ax - lng) * kx AS x0, (ay - lat) * ky AS y0, (cx - lng) * kx AS x1, (cy - lat) * ky AS y1 FROM (SELECT * FROM steps s JOIN posts p ON lat BETWEEN least(ay, cy) - 0.002 AND greatest(ay, cy) + 0.002
+  AND lng BETWEEN least(ax, cx) - 0.003 AND greatest(ax, cx) + 0.003 AND t_ms >= valid_from AND (valid_until IS NULL OR t_ms <= valid_until)) j, {WGS_SQL}),
+d AS (SELECT *, CASE WHEN x0 = x1 AND y0 = y1 THEN 0 ELSE greatest(0, least(1, (-x0 * (x1 - x0) - y0 * (y1 - y0)) / (pow(x1 - x0, 2) + pow(y1 - y0, 2)))) END AS f FROM n),
+m AS (SELECT journey_id, seq, marker_id, round(sqrt(pow(x0 + f * (x1 - x0), 2) + pow(y0 + f * (y1 - y0), 2)), 6) AS metres FROM d)
+SELECT journey_id, marker_id, count(*) AS edges, min(seq) AS first_seq, min(metres) AS nearest_m FROM m WHERE metres <= 100 GROUP BY 1, 2""")
+def _(t):
+    s = neighbours(t.trace, ["journey_id"], "seq", {"cx": ("lng", 1), "cy": ("lat", 1)}).where("cx IS NOT NULL").select("journey_id", "seq", "t_ms", F.col("lng").alias("ax"), F.col("lat").alias("ay"), "cx", "cy")
+    m = t.net.selectExpr("edge_id AS marker_id", "51.0D + ay / 111195.08D + 0.0005D AS p_lat", "-1.0D + ax / 69978.0D + edge_id % 7 * 0.0002D AS p_lng", "1704067200000 + edge_id % 5 * 2000000 AS valid_from",
+                         "CASE WHEN edge_id % 3 > 0 THEN 1704067200000 + edge_id % 5 * 2000000 + 9000000 END AS valid_until")
+    near = J.dated_markers_near(s, m, ["journey_id", "seq"], "marker_id", "t_ms")
+    return near.groupBy("journey_id", "marker_id").agg(F.count("*").alias("edges"), F.min("seq").alias("first_seq"), F.min("distance_m").alias("nearest_m"))
+
+
 def planar_near_sql(name: str, cond: str, reach: float) -> str:
     return f"""{name} AS (SELECT o.journey_id, o.seq, e.edge_id, sqrt(pow(o.x - e.ax - f.f * (e.bx - e.ax), 2) + pow(o.y - e.ay - f.f * (e.by - e.ay), 2)) AS d FROM obs o JOIN net e ON abs(o.x - (e.ax + e.bx) / 2) <= {reach} + 30 AND abs(o.y - (e.ay + e.by) / 2) <= {reach} + 30 AND {cond},
  LATERAL (SELECT greatest(0, least(1, ((o.x - e.ax) * (e.bx - e.ax) + (o.y - e.ay) * (e.by - e.ay)) / (pow(e.bx - e.ax, 2) + pow(e.by - e.ay, 2)))) AS f) f)"""

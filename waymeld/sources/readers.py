@@ -192,11 +192,11 @@ def page_gaps(pages: DataFrame, expected: DataFrame) -> DataFrame:
     return faults.unionByName(cut)
 
 
-SUMMARY = "struct<journey_id:long,mode:string,started_at:string,ended_at:string,distance_meters:double,processing:struct<status:string>>"
+SUMMARY = "struct<journey_id:string,mode:string,started_at:string,ended_at:string,distance_meters:double,processing:struct<status:string>>"
 
 
 def journey_summaries(docs: DataFrame) -> DataFrame:
-    """Summary fields of archived journeys; route geometry is never materialised."""
+    """Summary fields of archived journeys; route geometry is never materialised. Journey ids are text, also where the archive holds numbers."""
     d = _parsed(docs, SUMMARY).select("d.*")
     return d.select("journey_id", "mode", _time("started_at").alias("start_ms"), _time("ended_at").alias("end_ms"), "distance_meters", F.col("processing.status").alias("status"))
 

@@ -14,44 +14,49 @@ from .state import run_machine
 FIX = ["journey_id", "t_ms", "lat", "lng", "accuracy_m"]
 
 
+def _key(fixes: DataFrame) -> str:
+    """Journey ids keep the type they come with: whole numbers or text."""
+    return f"journey_id {dict(fixes.dtypes)['journey_id']}, "
+
+
 def accept_fixes(fixes: DataFrame, late: str = "10 minutes") -> DataFrame:
     """Watermark, drop repeats of an event, then keep fresh plausible fixes (needs `ts`)."""
     once = fixes.withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"])
     return run_machine(once, ["journey_id"], ["t_ms"], [*FIX, "speed_mps", "mode", "received_ms"], M.Accept,
-                       "journey_id long, t_ms long, lat double, lng double, accuracy_m double")
+                       _key(fixes) + "t_ms long, lat double, lng double, accuracy_m double")
 
 
 def trip_starts(fixes: DataFrame) -> DataFrame:
     return run_machine(fixes, ["journey_id"], ["t_ms"], [*FIX, "mode"], M.StartGate,
-                       "journey_id long, since_ms long, confirmed_ms long, moved_m double")
+                       _key(fixes) + "since_ms long, confirmed_ms long, moved_m double")
 
 
 def trip_ends(fixes: DataFrame) -> DataFrame:
-    return run_machine(fixes, ["journey_id"], ["t_ms"], [*FIX, "speed_mps"], M.Stillness, "journey_id long, since_ms long, confirmed_ms long")
+    return run_machine(fixes, ["journey_id"], ["t_ms"], [*FIX, "speed_mps"], M.Stillness, _key(fixes) + "since_ms long, confirmed_ms long")
 
 
 def venue_stops(fixes: DataFrame, idle_ms: int | None = None) -> DataFrame:
     """Stops as they end. Give the stream a watermark and `idle_ms` to close the last one."""
     return run_machine(fixes, ["journey_id"], ["t_ms"], [*FIX, "speed_mps", "venue"], M.Stops,
-                       "journey_id long, venue_id long, from_ms long, to_ms long, accuracy_m double", idle_ms)
+                       _key(fixes) + "venue_id long, from_ms long, to_ms long, accuracy_m double", idle_ms)
 
 
 def station_events(fixes: DataFrame) -> DataFrame:
     return run_machine(fixes, ["journey_id"], ["t_ms"], [*FIX, "speed_mps", "station", "on_rail"], M.StationDwell,
-                       "journey_id long, t_ms long, event string, station_id long")
+                       _key(fixes) + "t_ms long, event string, station_id long")
 
 
 def context_events(fixes: DataFrame) -> DataFrame:
     return run_machine(fixes, ["journey_id"], ["t_ms"], [*FIX, "speed_mps", "mode", "destination", "site", "road", "rail"], M.ContextPause,
-                       "journey_id long, t_ms long, event string, mode string")
+                       _key(fixes) + "t_ms long, event string, mode string")
 
 
 def place_departures(fixes: DataFrame) -> DataFrame:
-    return run_machine(fixes, ["journey_id"], ["t_ms"], [*FIX, "speed_mps"], M.PlaceDeparture, "journey_id long, inside_ms long, outside_ms long")
+    return run_machine(fixes, ["journey_id"], ["t_ms"], [*FIX, "speed_mps"], M.PlaceDeparture, _key(fixes) + "inside_ms long, outside_ms long")
 
 
 def origins(fixes: DataFrame) -> DataFrame:
-    return run_machine(fixes, ["journey_id"], ["t_ms"], [*FIX, "speed_mps", "started"], M.OriginRecovery, "journey_id long, t_ms long, start_ms long")
+    return run_machine(fixes, ["journey_id"], ["t_ms"], [*FIX, "speed_mps", "started"], M.OriginRecovery, _key(fixes) + "t_ms long, start_ms long")
 
 
 def sessions(fixes: DataFrame, gap: str = "2 minutes", late: str = "10 minutes") -> DataFrame:
