@@ -40,9 +40,7 @@ def on_carriers(segments: DataFrame, a: tuple[str, str] = ("ax", "ay"), b: tuple
              .withColumns({"_ax": mercator_x(a[0]), "_ay": mercator_y(a[1]), "_bx": mercator_x(b[0]), "_by": mercator_y(b[1])})
              .where(F.hypot(F.col("_bx") - F.col("_ax"), F.col("_by") - F.col("_ay")) >= LEAST_M))
     turn = F.atan2(F.col("_by") - F.col("_ay"), F.col("_bx") - F.col("_ax"))
-    half = F.when(turn < 0, turn + math.pi).otherwise(turn)
-    half = F.when(half >= math.pi, half - math.pi).otherwise(half)
-    aimed = plane.withColumn("bearing", _nearest(half * BEARINGS)).withColumns(
+    aimed = plane.withColumn("bearing", _nearest(F.pmod(turn, F.lit(math.pi)) * BEARINGS)).withColumns(
         {"_ux": F.cos(F.col("bearing") / BEARINGS), "_uy": F.sin(F.col("bearing") / BEARINGS)})
     along = lambda x, y: _nearest((F.col(x) * F.col("_ux") + F.col(y) * F.col("_uy")) * 1000)
     return aimed.select(*segments.columns, "bearing", _nearest(F.col("_ay") * F.col("_ux") - F.col("_ax") * F.col("_uy")).alias("offset"),
