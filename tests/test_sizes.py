@@ -2,6 +2,7 @@
 
 from waymeld.operators.matching import MatchPolicy, edge_candidates
 from waymeld.plans.views import Tables
+from waymeld.session import cut_lineage
 
 
 def test_cell_copies_are_not_broadcast_by_file_size(spark, tmp_path):
@@ -16,3 +17,12 @@ def test_cell_copies_are_not_broadcast_by_file_size(spark, tmp_path):
     assert "BroadcastHashJoin" not in near._jdf.queryExecution().executedPlan().toString()
     assert session.conf.get("spark.sql.adaptive.autoBroadcastJoinThreshold") == "10m"
     assert near.where("journey_id = 6").selectExpr("min(edge_id)", "min(gap)").first() == (6, 5.0)
+
+
+def test_size_estimates_stay_true_over_rounds(spark):
+    steps = spark.range(1000).selectExpr("id", "id + 1 AS next")
+    for _ in range(6):
+        ahead = steps.selectExpr("id AS next", "next AS far")
+        steps = cut_lineage(steps.join(ahead, "next", "left").selectExpr("id", "coalesce(far, next) AS next"))
+    assert int(steps._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) < 10_000_000
+    assert steps.where("id = 3").first()["next"] == 67
