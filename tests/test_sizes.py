@@ -1,10 +1,15 @@
 """Sizes that the planner must not guess."""
 
+import re
+
 from waymeld.operators.ledgers import similar_shapes, trip_shapes
 from waymeld.operators.matching import MatchPolicy, edge_candidates
+from waymeld.plans.catalogue import QUERIES
 from waymeld.plans.views import Tables
 from waymeld.session import cut_lineage
 
+SF = "/root/testdata/sf0.001"
+
 
 def test_cell_copies_are_not_broadcast_by_file_size(spark, tmp_path):
     session = spark.newSession()
@@ -47,3 +52,14 @@ def test_similar_shapes_by_the_cap_of_the_smaller_id(spark):
     trips = spark.createDataFrame(rows, "trip_id long, mode string, length_m double, cap_m double, stations array<struct<x:double,y:double>>")
     pairs = similar_shapes(trip_shapes(trips)[0], trips)
     assert sorted(map(tuple, pairs.collect())) == [(1, 2), (1, 6)]
+
+
+def test_correction_targets_measure_a_position_once(spark, tables):
+    found = QUERIES["dq11_correction_targets"](spark, SF)
+    assert re.search(r"Aggregate \[x#\w+, y#\w+\]", found._jdf.queryExecution().analyzed().toString())
+    seen = {(r["journey_id"], r["seq"]): (r["remove_edge"], r["within_reach"]) for r in found.collect()}
+    by_place = {}
+    for o in tables.obs.collect():
+        if (o["journey_id"], o["seq"]) in seen:
+            by_place.setdefault((o["x"], o["y"]), set()).add(seen[o["journey_id"], o["seq"]])
+    assert seen and all(len(v) == 1 for v in by_place.values())

@@ -431,8 +431,10 @@ def _(t):
 
 @query("dq11_correction_targets", "obs net", f"WITH {planar_near_sql('nn', 'TRUE', 45)} SELECT journey_id, seq, arg_min(edge_id, (round(d, 6), edge_id)) AS remove_edge, count(DISTINCT edge_id) AS within_reach FROM nn WHERE d <= 45 GROUP BY 1, 2")
 def _(t):
-    near = planar_near(t.obs.select("journey_id", "seq", "x", "y"), t.net.select("edge_id", "ax", "ay", "bx", "by"), 45.0).select("journey_id", "seq", "edge_id", "d").distinct()
-    return near.groupBy("journey_id", "seq").agg(F.min(F.struct(F.round("d", 6).alias("r"), "edge_id"))["edge_id"].alias("remove_edge"), F.count("*").alias("within_reach"))
+    # Every position is measured once, however many fixes stand there.
+    near = planar_near(t.obs.select("x", "y").distinct(), t.net.select("edge_id", "ax", "ay", "bx", "by"), 45.0)
+    target = near.groupBy("x", "y").agg(F.min(F.struct(F.round("d", 6).alias("r"), "edge_id"))["edge_id"].alias("remove_edge"), F.countDistinct("edge_id").alias("within_reach"))
+    return t.obs.select("journey_id", "seq", "x", "y").join(target, ["x", "y"]).select("journey_id", "seq", "remove_edge", "within_reach")
 
 
 @query("dq12_seam_audit", "bindings", "SELECT way_id, piece, 'only_stored' AS side FROM bindings WHERE way_id % 11 = 3 AND piece = 2 UNION ALL SELECT way_id, piece, 'only_derived' FROM bindings WHERE way_id % 13 = 5 AND piece = 0")
