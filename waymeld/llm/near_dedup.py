@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
+from ..operators.sieve import among, without
 from ..session import cut_lineage, written
 from .common import FOLD, query, table
 
@@ -265,9 +266,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     star = cut_lineage(star)
 
     def sets_of(ids: DataFrame) -> DataFrame:
-        return source.join(ids, source.doc_id == ids.id, "left_semi").mapInArrow(_sets, "id long, set binary")
+        asked = cut_lineage(ids.select(F.col("id").alias("doc_id")).distinct())
+        return among(source, "doc_id", asked).mapInArrow(_sets, "id long, set binary")
 
-    asked = star.select(F.col("a").alias("id")).unionByName(star.select(F.col("b").alias("id"))).distinct()
+    asked = star.select(F.col("a").alias("id")).unionByName(star.select(F.col("b").alias("id")))
     # The sets of all texts in some star, computed once for both sides of the join.
     sets = written(sets_of(asked), "sets")
     paired = (star.join(sets.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a")
@@ -289,7 +291,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     cells = cells.select(*[F.col(c.split()[0]).cast(c.split()[1]) for c in shape.split(", ")])
     wanted = cut_lineage(cells.repartition(*_CELL).sortWithinPartitions(*_CELL).mapInArrow(lambda b: _wanted(b, percent), shape))
     # Rows here may never have been in a star, so their sets are taken anew.
-    late_sets = sets_of(wanted.select("id").distinct())
+    late_sets = sets_of(wanted.select("id"))
     more = wanted.join(late_sets, "id").select(*[c.split()[0] for c in shape.split(", ")], "set")
     late = more.repartition(*_CELL).sortWithinPartitions(*_CELL).mapInArrow(lambda b: _verify(b, percent), "a long, b long")
     every = connected_components(cut_lineage(links.unionByName(late)))
