@@ -3,8 +3,8 @@
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators.components import connected_components
-from ..operators.gridjoin import points_in_boxes, within_radius, near_any
+from ..operators.components import connected_components, near_components
+from ..operators.gridjoin import points_in_boxes, near_any
 from ..operators.ordered import quantiles
 from ..sources import readers as R
 from ..sources import sinks as S
@@ -193,8 +193,7 @@ def services(t):
 
 def service_components(t):
     sv = services(t)
-    pairs = within_radius(sv, as_places(sv, F.col("id").alias("b"), "nm"), 2500.0, ["nm"]).where("id < b").select(F.col("id").alias("a"), "b")
-    return sv, connected_components(pairs, sv.select("id"))
+    return sv, near_components(sv, "id", 2500.0, ["nm"])
 
 
 @query("gra01_components", "", f"WITH RECURSIVE {SVC} SELECT * FROM comp")
