@@ -312,13 +312,16 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", percent:
     """
     # Written once, so that the numbers hold wherever the rows are read again. The caller's
     # columns travel in one struct, out of the way of the names used here.
-    rows = written(docs.select(F.struct(*docs.columns).alias("caller"), F.col(key).alias("key"), F.col(text).alias("text"), F.monotonically_increasing_id().alias("row")), "rows")
-    found = near_duplicates(rows, "row", "text", percent).withColumnRenamed("doc_id", "row")
-    named = rows.select("row", "key", F.xxhash64("text").alias("tie")).join(found, "row")
+    rows = written(docs.select(F.struct(*docs.columns).alias("caller"), F.monotonically_increasing_id().alias("row")), "rows")
+    texts = rows.select("row", F.col(f"caller.{key}").alias("key"), F.col(f"caller.{text}").alias("text"))
+    found = near_duplicates(texts, "row", "text", percent).withColumnRenamed("doc_id", "row")
+    named = texts.select("row", "key", F.xxhash64("text").alias("tie")).join(found, "row")
     bare = F.col("n_shingles") == 0
     kept = (named.groupBy(F.when(~bare, F.col("component_id")).alias("c"), F.when(bare, F.col("key")).alias("k"), F.when(bare, F.col("tie")).alias("t"))
             .agg(F.min(F.struct(F.col("key").isNull(), "key", "tie", "row"))["row"].alias("row")))
-    return rows.join(kept.select("row"), "row", "left_semi").select("caller.*")
+    kept = cut_lineage(kept.select("row"))
+    gone = cut_lineage(rows.select("row").join(kept, "row", "left_anti"))
+    return without(rows, "row", gone).select("caller.*")
 
 
 @query("op2_near_dedup", r"""
