@@ -86,3 +86,26 @@ def test_overlap_and_point_joins_equal_brute_force(spark):
     p = spark.createDataFrame([(1, t) for t in range(0, 1000, 13)], "k long, t long")
     want = sorted((t, i) for t in range(0, 1000, 13) for i, lo, hi in a if lo <= t <= hi)
     assert rows_of(points_in_intervals(p, x, ["k"], "t", "lo", "hi", 50), "t", "i") == want
+
+
+def test_union_reads_its_source_once(spark):
+    # Unions that follow each other must not multiply the plan, which the driver holds.
+    df = spark.createDataFrame([("e", 0, 1000), ("e", 150, 160), ("e", 2000, 2100)], "k string, lo long, hi long")
+    once = interval_union(interval_union(df, ["k"], width=100), ["k"], width=70)
+    plan = once._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 0 and plan.count("LogicalRDD") + plan.count("LocalRelation") == 1
+    assert rows_of(once, "lo", "hi") == [(0, 1000), (2000, 2100)]
+
+
+def test_union_of_float_ends_with_a_gap_allowed(spark):
+    rng = random.Random(5)
+    rows = [(round(a, 2), round(a + rng.random() * 9, 2)) for a in (rng.random() * 3000 for _ in range(400))]
+    want = []
+    for a, b in sorted(rows):
+        if want and a <= want[-1][1] + 0.75:
+            want[-1] = (want[-1][0], max(want[-1][1], b))
+        else:
+            want.append((a, b))
+    df = spark.createDataFrame([(1, a, b) for a, b in rows], "k long, lo double, hi double")
+    for width in (0.3, 7.1, 1024.0):
+        assert rows_of(interval_union(df, ["k"], eps=0.75, width=width), "lo", "hi") == want

@@ -12,38 +12,40 @@ def interval_union(df: DataFrame, keys: list[str], lo: str = "lo", hi: str = "hi
                    eps: float = 0, width: float = WIDTH) -> DataFrame:
     """Merge touching or overlapping [lo, hi] per key; empty intervals are dropped.
 
-    1. Equal starts collapse before the shuffle (map-side max), so a repeated
-       commute costs one row per map task.
-    2. A local union runs inside (key, lo div width): at most `width` distinct
-       integer starts in one task, whatever the key holds.
-    3. Only the last local interval of a chunk can reach later chunks, so one
-       row per chunk is enough to find the root each carried interval joins.
+    1. An interval is cut where it crosses into the next chunk of `width`. Equal starts
+       collapse before the shuffle (map-side max), so a repeated commute costs one row per map task.
+    2. A local union runs inside (key, chunk): at most `width` distinct integer starts in one
+       task, whatever the key holds.
+    3. Only the pieces at a chunk's borders can touch those of other chunks, two at most, so
+       they alone meet under the whole key. Nothing is read twice or joined, so plans stay
+       small where unions follow each other.
+
+    `width` should not be far below the usual length, since an interval has a row for each chunk it crosses.
     """
     present = F.col(lo).isNotNull() & F.col(hi).isNotNull()
     for k in keys:
         present = present & F.col(k).isNotNull()
-    # The explicit null and chunk filters keep the two uses of `pieces` identical,
-    # so the second one reuses the shuffle of the first.
-    starts = (df.where(present & (F.col(hi) > F.col(lo))).groupBy(*keys, lo).agg(F.max(hi).alias(hi))
-              .withColumn("_chunk", F.floor(F.col(lo) / F.lit(width))).where(F.col("_chunk").isNotNull())
-              .repartition(*keys, "_chunk"))
-    local = Window.partitionBy(*keys, "_chunk").orderBy(lo)
-    reach = F.max(hi).over(local.rowsBetween(Window.unboundedPreceding, -1))
-    opened = (starts.withColumn("_reach", reach)
+    size, home = F.lit(width), F.floor(F.col(lo) / F.lit(width))
+    last = F.greatest(home, F.ceil(F.col(hi) / size) - 1)
+    cut = (df.where(present & (F.col(hi) > F.col(lo))).select(*keys, lo, hi, F.explode(F.sequence(home, last)).alias("_chunk"))
+           .withColumn(lo, F.when(F.col("_chunk") > home, (F.col("_chunk") * size).cast(df.schema[lo].dataType)).otherwise(F.col(lo))))
+    starts = cut.groupBy(*keys, "_chunk", lo).agg(F.max(hi).alias(hi))
+    pieces = _merged(starts, [*keys, "_chunk"], lo, hi, eps)
+    # A little slack, for widths and ends that are no whole numbers: a piece too many does no harm.
+    slack = F.lit(eps + width * 1e-9)
+    border = (F.col(lo) <= F.col("_chunk") * size + slack) | (F.col(hi) + slack >= (F.col("_chunk") + 1) * size)
+    met = pieces.withColumn("_chunk", F.when(~border, F.col("_chunk")))
+    return _merged(met, [*keys, "_chunk"], lo, hi, eps).select(*keys, lo, hi)
+
+
+def _merged(df: DataFrame, keys: list[str], lo: str, hi: str, eps: float) -> DataFrame:
+    """The union inside each key, by one sort of its rows."""
+    w = Window.partitionBy(*keys).orderBy(lo)
+    reach = F.max(hi).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    opened = (df.withColumn("_reach", reach)
               .withColumn("_open", F.when(F.col("_reach").isNull() | (F.col(lo) > F.col("_reach") + F.lit(eps)), F.col(lo)))
-              .withColumn("_root", F.last("_open", True).over(local.rowsBetween(Window.unboundedPreceding, 0))))
-    pieces = opened.groupBy(*keys, "_chunk", "_root").agg(F.max(hi).alias(hi)).withColumnRenamed("_root", lo)
-    tails = pieces.groupBy(*keys, "_chunk").agg(F.max(lo).alias("_tail_lo"), F.max(hi).alias("_tail_hi"))
-    prior = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    carry = (tails.withColumn("_carry", F.max("_tail_hi").over(prior))
-             .withColumn("_fresh", F.when(F.col("_carry").isNull()
-                                          | (F.col("_tail_lo") > F.col("_carry") + F.lit(eps)), F.col("_tail_lo")))
-             .withColumn("_carry_root", F.last("_fresh", True).over(prior))
-             .select(*keys, "_chunk", "_carry", "_carry_root"))
-    rooted = pieces.join(carry, [*keys, "_chunk"]).withColumn(
-        "_root", F.when(F.col(lo) <= F.col("_carry") + F.lit(eps), F.col("_carry_root")).otherwise(F.col(lo)))
-    return (rooted.groupBy(*keys, "_root").agg(F.max(hi).alias(hi))
-            .select(*keys, F.col("_root").alias(lo), hi))
+              .withColumn("_root", F.last("_open", True).over(w.rowsBetween(Window.unboundedPreceding, 0))))
+    return opened.groupBy(*keys, "_root").agg(F.max(hi).alias(hi)).withColumnRenamed("_root", lo)
 
 
 def covered_length(df: DataFrame, keys: list[str], by: list[str] | None = None,
