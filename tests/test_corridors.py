@@ -67,3 +67,9 @@ def test_pieces_cover_every_source_once(spark):
         assert mine[0][1] == 0 and mine[-1][2] == pytest.approx(hypot(bx - ax, by - ay), abs=1e-3)
         assert all(a[2] == b[1] for a, b in zip(mine, mine[1:]))
     assert edge_correspondence(spark.createDataFrame([], SEG), spark.createDataFrame([], SEG.replace("id", "other")), "id", "other").count() == 0
+
+
+def test_travel_is_ordered_once_for_both_ways(tables):
+    from waymeld.plans.corridors import both_ways
+    for side in both_ways(tables):
+        assert "Window" not in side._jdf.queryExecution().optimizedPlan().toString()

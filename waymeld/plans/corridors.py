@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators.corridors import corridor_shares, edge_correspondence
 from ..operators.ordered import neighbours
+from ..session import written
 from .registry import query
 
 
@@ -41,7 +42,8 @@ BOTH_SQL = f"WITH {TRAVEL_SQL}, {shares_sql('there', 'travel', 'journey_id', 'ne
 
 
 def both_ways(t):
-    trips, net = travel(t), t.net.select("edge_id", "ax", "ay", "bx", "by")
+    # Travel serves both ways three times; written once, its ordering is not planned and run for each.
+    trips, net = written(travel(t), "travel"), t.net.select("edge_id", "ax", "ay", "bx", "by")
     return corridor_shares(trips, net, ["journey_id"], spacing=10.0), corridor_shares(net, trips, ["edge_id"], spacing=10.0)
 
 
