@@ -72,3 +72,38 @@ def test_polygon_with_hole_and_touching_segment(spark):
     share = one(spark, geo.inside_share(F.lit(-5.0), F.lit(5.0), F.lit(15.0), F.lit(5.0), rings))
     assert abs(share - 0.4) < 1e-9
     assert one(spark, geo.inside_share(F.lit(-5.0), F.lit(10.5), F.lit(15.0), F.lit(10.5), rings)) == 0.0
+
+
+def paired(monkeypatch, module):
+    """Rows of both sides of every radius join from now on."""
+    sides, real = [], module.within_radius
+
+    def watched(points, places, *rest, **kw):
+        sides.append((points.count(), places.count()))
+        return real(points, places, *rest, **kw)
+    monkeypatch.setattr(module, "within_radius", watched)
+    return sides
+
+
+def test_equal_positions_are_paired_once(spark, monkeypatch):
+    from waymeld.operators import joins
+    sides = paired(monkeypatch, joins)
+    points = spark.range(300).selectExpr("id AS event_id", "51.0D AS lat", "-1.0D AS lng")
+    places = spark.range(200).selectExpr("id + 7 AS station_id", "51.001D AS p_lat", "-1.0D AS p_lng", "100 + (id % 2) * 100 AS radius_m")
+    got = joins.nearest_own_radius(points, places, 300.0, "event_id", "station_id")
+    assert sides == [(1, 2)]
+    assert got.count() == 300 and got.select("station_id", "distance_m").distinct().collect() == [(8, 111.194927)]
+
+
+def test_venues_at_one_position_are_crossed_once(spark, monkeypatch, tmp_path):
+    from waymeld.operators import gridjoin
+    from waymeld.plans.catalogue import QUERIES
+    SF = "/root/testdata/sf0.01"
+    sides = paired(monkeypatch, gridjoin)
+    spark.read.parquet(f"{SF}/events.parquet").write.parquet(f"{tmp_path}/events.parquet")
+    s = spark.read.parquet(f"{SF}/supplier.parquet")
+    s.unionByName(s.withColumn("s_suppkey", s.s_suppkey + 410 * 610)).write.parquet(f"{tmp_path}/supplier.parquet")
+    got = {r.venue_id: (r.journeys, r.completed_ms) for r in QUERIES["agg33_crossings_with_dates"](spark, str(tmp_path)).collect()}
+    assert sides[0][1] == s.count()
+    want = {r.venue_id: (r.journeys, r.completed_ms) for r in QUERIES["agg33_crossings_with_dates"](spark, SF).collect()}
+    assert got == want | {v + 410 * 610: r for v, r in want.items()}

@@ -60,9 +60,15 @@ def dated_markers_near(segments: DataFrame, markers: DataFrame, ids: list[str],
 
 
 def nearest_own_radius(points: DataFrame, places: DataFrame, most_m: float, point_id: str, place_id: str) -> DataFrame:
-    """Nearest place among those whose own radius holds the point."""
-    pairs = within_radius(points, places, most_m).where("distance_m <= radius_m")
-    return (pairs.groupBy(point_id).agg(F.min(F.struct(F.round("distance_m", 6).alias("d"), F.col(place_id).alias("id"))).alias("b"))
+    """Nearest place among those whose own radius holds the point.
+
+    Equal positions, and equal places of one radius (the lowest id, as in a tie), collapse before pairs form.
+    """
+    spots = points.select("lat", "lng").distinct()
+    sites = places.groupBy("p_lat", "p_lng", "radius_m").agg(F.min(place_id).alias(place_id))
+    pairs = within_radius(spots, sites, most_m).where("distance_m <= radius_m")
+    best = pairs.groupBy("lat", "lng").agg(F.min(F.struct(F.round("distance_m", 6).alias("d"), F.col(place_id).alias("id"))).alias("b"))
+    return (points.select(point_id, "lat", "lng").join(best, ["lat", "lng"]).groupBy(point_id).agg(F.min("b").alias("b"))
             .select(point_id, F.col("b.id").alias(place_id), F.col("b.d").alias("distance_m")))
 
 
