@@ -62,3 +62,16 @@ def test_chain_of_empty_tables(spark):
     route, evidence = spark.createDataFrame([(1, 0, "a")], "k long, s long, p string"), spark.createDataFrame([], "k long, p string, t long")
     assert [r["picked_at"] for r in asof_chain(route, evidence, ["k"], "p", "s", "t").collect()] == [None]
     assert asof_chain(route.limit(0), evidence, ["k"], "p", "s", "t").count() == 0
+
+
+def test_short_keys_of_a_chain_take_no_rounds(spark, monkeypatch):
+    from waymeld.operators import chained
+    rng = random.Random(3)
+    route = [(k, i, rng.choice("abc")) for k in (1, 2) for i in range(30 * k)]
+    evidence = [(k, rng.choice("abc"), i * 60_000 + rng.randrange(5) * 45_000) for k in (1, 2) for i in range(30 * k)]
+    sides, want = (spark.createDataFrame(route, "k long, s long, p string"), spark.createDataFrame(evidence, "k long, p string, t long")), plain_chain(route, evidence)
+    picks = lambda **kw: {(r["k"], r["s"]): r["picked_at"] for r in asof_chain(*sides, ["k"], "p", "s", "t", **kw).collect()}
+    # Key 2 is too long for one task, key 1 is not.
+    assert picks(most=80) == want
+    monkeypatch.setattr(chained, "_by_rounds", None)
+    assert picks() == want
