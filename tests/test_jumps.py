@@ -121,3 +121,19 @@ def test_simplified_lines_equal_recursion(spark, rule):
     df = spark.createDataFrame(rows + [(2, 11, None, -1.0), (5, 11, float("nan"), -1.0)], "k long, seq long, lat double, lng double")
     want = [(k, 10 + 3 * i) for k, line in lines.items() for i in split_line(line, *rule, 111_320.0)]
     assert rows_of(simplify(df, ["k"], *rule), "k", "seq") == sorted(want)
+
+
+@pytest.mark.parametrize("rule", [(5.0, 100.0, None), (3.0, 60.0, 8)])
+def test_only_long_spans_take_rounds(spark, monkeypatch, rule):
+    from waymeld.operators import lines as module
+    rng = random.Random(7)
+    lines = {1: [(51.0 + rng.uniform(-9e-5, 9e-5), -1.0 + i * 6e-5) for i in range(150)], 2: [(51.0 + rng.uniform(-9e-5, 9e-5), -1.0 + i * 6e-5) for i in range(25)], 3: [(51.0, -1.0)] * 40}
+    df = spark.createDataFrame([(k, i, *p) for k, line in lines.items() for i, p in enumerate(line)], "k long, seq long, lat double, lng double")
+    want = sorted((k, i) for k, line in lines.items() for i in split_line(line, *rule, 111_320.0))
+    rounds, real = [], module.cut_lineage
+    monkeypatch.setattr(module, "cut_lineage", lambda rows: rounds.append(1) or real(rows))
+    assert rows_of(simplify(df, ["k"], *rule, most=30), "k", "seq") == want
+    assert len(rounds) > 2
+    rounds.clear()
+    assert rows_of(simplify(df, ["k"], *rule), "k", "seq") == want
+    assert len(rounds) == 1
