@@ -107,3 +107,33 @@ def test_venues_at_one_position_are_crossed_once(spark, monkeypatch, tmp_path):
     assert sides[0][1] == s.count()
     want = {r.venue_id: (r.journeys, r.completed_ms) for r in QUERIES["agg33_crossings_with_dates"](spark, SF).collect()}
     assert got == want | {v + 410 * 610: r for v, r in want.items()}
+
+
+def test_dated_markers_of_shared_positions(spark, monkeypatch):
+    from waymeld.operators import joins as J
+    rng = random.Random(11)
+    spots, places = [(51.0 + i * 0.004, -1.0 + (i % 3) * 0.005) for i in range(9)], [(51.0 + rng.random() * 0.04, -1.0 + rng.random() * 0.02) for _ in range(12)]
+    points = [(i, i % 60, rng.randrange(100), *rng.choice(spots)) for i in range(200)]
+    # Several markers at a place, of the same and of other dates.
+    markers = [(j, j % 4, f, f + rng.choice([3, 20]), *rng.choice(places)) for j in range(60) for f in [rng.choice([0, 30, 60])]]
+    df = spark.createDataFrame(points, "event_id long, user_id long, t_ms long, lat double, lng double")
+    m = spark.createDataFrame(markers, "marker_id long, designer long, valid_from long, valid_until long, p_lat double, p_lng double")
+    facts = {}
+    for _, user, at, lat, lng in points:
+        for j, kind, f, u, a, o in markers:
+            if f <= at <= u and hav(lat, lng, a, o) <= 1000:
+                facts[user, j] = min(at, facts.get((user, j), at))
+    want_kinds, want_seven = {}, {}
+    for (user, j), at in facts.items():
+        want_kinds[user, j % 4] = min(at, want_kinds.get((user, j % 4), at))
+    for user in {u for u, _ in facts}:
+        times = sorted(at for (u, _), at in facts.items() if u == user)
+        if len(times) >= 7:
+            want_seven[user] = times[6]
+    sides, real = [], J.within_radius
+    monkeypatch.setattr(J, "within_radius", lambda left, *a, **kw: sides.append(left) or real(left, *a, **kw))
+    kinds, seven = J.first_markers(df, m, 1000.0, "user_id", "t_ms", "marker_id", "designer", 7)
+    assert {(r["user_id"], r["designer"]): r["t_ms"] for r in kinds.collect()} == want_kinds
+    assert {r["user_id"]: r["t_ms"] for r in seven.collect()} == want_seven and 0 < len(want_seven) < len({u for u, _ in want_kinds})
+    # Pairs form once a position, not once a point.
+    assert sides[0].count() == len(spots)

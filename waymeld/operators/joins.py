@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
+from ..session import cut_lineage
 from .gridjoin import box_cells, planar_cell, segment_cells, within_radius
 
 
@@ -59,6 +60,49 @@ def dated_markers_near(segments: DataFrame, markers: DataFrame, ids: list[str],
     return wide.where(valid).select(*ids, marker, d.alias("distance_m")).where(c("distance_m") <= reach_m)
 
 
+BOUNDS = ["valid_from", "valid_until"]
+
+
+def dated_reach(points: DataFrame, markers: DataFrame, radius_m: float, *found: Column, by: tuple[str, ...] = ()) -> DataFrame:
+    """(lat, lng, valid_from, valid_until, by, found): aggregates over the markers within `radius_m` of each distinct position, by their dates.
+
+    Pairs follow the distinct positions, not the points: a marker's dates are no part of the distance, so points of all
+    times share them, and what is `found` combines map-side. Join points back by `at_their_time`.
+    """
+    pairs = within_radius(points.select("lat", "lng").distinct(), markers, radius_m)
+    groups = ["lat", "lng", *BOUNDS, *by]
+    return pairs.groupBy(*groups).agg(*found) if found else pairs.select(*groups).distinct()
+
+
+def at_their_time(points: DataFrame, reach: DataFrame, at: str) -> DataFrame:
+    """Points with the rows of `dated_reach` that are valid at their time (both bounds count)."""
+    return points.join(reach, ["lat", "lng"]).where(F.col(at).between(F.col(BOUNDS[0]), F.col(BOUNDS[1])))
+
+
+def first_markers(points: DataFrame, markers: DataFrame, radius_m: float, owner: str, at: str, marker: str, kind: str, wanted: int) -> tuple[DataFrame, DataFrame]:
+    """(owner, kind, at) of the first point within reach of a valid marker of each kind, and (owner, at) when the owner had reached `wanted` different markers.
+
+    A point with `wanted` markers of one pair of dates settles its owner, so markers are only told apart for points before the first such one,
+    each of which has fewer of them. `marker` is unique.
+    """
+    sites = markers.groupBy("p_lat", "p_lng", *BOUNDS, kind).agg(F.count("*").alias("_n"))
+    kinds = dated_reach(points, sites, radius_m, F.sum("_n").alias("_n"), by=(kind,))
+    # Kinds are few; a row for each pair of dates, not for each kind, meets the points.
+    reach = cut_lineage(kinds.groupBy("lat", "lng", *BOUNDS).agg(F.sum("_n").alias("_n"), F.collect_set(kind).alias("_kinds")))
+    hits = at_their_time(points.select(owner, at, "lat", "lng"), reach, at)
+    first = hits.select(owner, at, F.explode("_kinds").alias(kind)).groupBy(owner, kind).agg(F.min(at).alias(at))
+    full = hits.where(F.col("_n") >= wanted).groupBy(owner).agg(F.min(at).alias("_full"))
+    early = (hits.where(F.col("_n") < wanted).join(full, owner, "left").where(F.col("_full").isNull() | (F.col(at) < F.col("_full")))
+             .select(owner, at, "lat", "lng", *BOUNDS).distinct())
+    early = cut_lineage(early)  # read twice
+    named = within_radius(early.select("lat", "lng", *BOUNDS).distinct(), markers, radius_m, BOUNDS).select("lat", "lng", *BOUNDS, marker)
+    facts = early.join(named, ["lat", "lng", *BOUNDS]).groupBy(owner, marker).agg(F.min(at).alias(at))
+    w = Window.partitionBy(owner).orderBy(at, marker)
+    late = facts.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= wanted).groupBy(owner).agg(F.count("*").alias("_k"), F.max(at).alias("_late"))
+    reached = full.join(late.where(F.col("_k") == wanted), owner, "full_outer")
+    return first, reached.select(owner, F.least("_full", "_late").alias(at))
+
+
 def nearest_own_radius(points: DataFrame, places: DataFrame, most_m: float, point_id: str, place_id: str) -> DataFrame:
     """Nearest place among those whose own radius holds the point.
 
