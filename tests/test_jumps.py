@@ -137,3 +137,19 @@ def test_only_long_spans_take_rounds(spark, monkeypatch, rule):
     rounds.clear()
     assert rows_of(simplify(df, ["k"], *rule), "k", "seq") == want
     assert len(rounds) == 1
+
+
+def test_short_keys_are_followed_in_order(spark, monkeypatch):
+    from waymeld.operators import jumps as module
+    rng = random.Random(8)
+    big = 2 ** 53 + 1
+    rows = [(k, big + i, big + i + rng.randrange(1, 5) if i < n - 5 else None, i == 0 or rng.random() < 0.03) for k, n in ((1, 40), (2, 90)) for i in range(n)]
+    df = spark.createDataFrame(rows, "k long, s long, f long, h boolean")
+    want, due = [], set()
+    for k, s, f, h in rows:
+        if h or (k, s) in due:
+            want.append((k, s))
+            due.add((k, f))
+    assert rows_of(module.reached(df, ["k"], "s", "f", "h", most=60), "k", "s") == want
+    monkeypatch.setattr(module, "_by_rounds", None)
+    assert rows_of(module.reached(df, ["k"], "s", "f", "h"), "k", "s") == want

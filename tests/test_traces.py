@@ -171,3 +171,17 @@ def test_station_dwell_then_rail_departure():
     for k, t in enumerate(range(100_000, 180_000, 20_000)):
         events += m.row("j", 1_000 + t, 51.0 + (k + 1) * 2e-3, -1.0, 5.0, 12.0, None, True)
     assert [e[2] for e in events] == ["arrival", "dwell", "rail_departure"]
+
+
+def test_few_candidates_search_the_network(monkeypatch):
+    graph = G.Graph(grid_network())
+    pts = [(k, 5.0 + 30 * k, 3.0 - k % 2, 5.0) for k in range(5)]
+    near = lambda p: sorted(((e, max(0, min(1, ((p[1] - graph.at[a][0]) * (graph.at[b][0] - graph.at[a][0]) + (p[2] - graph.at[a][1]) * (graph.at[b][1] - graph.at[a][1])) / n ** 2))) for e, (a, b, n) in graph.edges.items()),
+                            key=lambda c: (hypot(p[1] - graph.place(c)[0], p[2] - graph.place(c)[1]), c[0]))
+    layers = [[(*c, hypot(p[1] - graph.place(c)[0], p[2] - graph.place(c)[1])) for c in near(p)] for p in pts]
+    searches, real = [], G.Graph.reach
+    monkeypatch.setattr(G.Graph, "reach", lambda self, *a: searches.append(a) or real(self, *a))
+    chosen = G.best_sequence(pts, layers, graph)
+    assert all(c[2] < 8.0 for c in chosen)
+    # Not one search for each candidate of each fix.
+    assert len(searches) < sum(map(len, layers[:-1])) / 2

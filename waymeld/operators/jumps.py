@@ -2,7 +2,8 @@
 
 A rule such as "the next row 25 m behind the last kept one" depends on all kept rows, but
 the row that would follow a given row does not. Followers are looked up for every row at once
-(`first_from`); the rows that the scan really visits are those reached from a head. Followers
+(`first_from`); the rows that the scan really visits are those reached from a head. Keys of bounded
+length are followed in order by one task. In longer ones followers
 are doubled, so the rounds grow with the logarithm of the longest run, and the
 doubled tables are walked back from the longest jump to the shortest.
 """
@@ -14,6 +15,10 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 from .ordered import running
+from .scans import scan_sorted
+
+# Rows of a key that one task follows in order; a longer key goes by rounds.
+KEY_ROWS = 1 << 18
 
 
 def first_from(rows: DataFrame, keys: list[str], at: str, seq: str, width: float, probes: dict[str, tuple[Column, Column]]) -> DataFrame:
@@ -35,19 +40,47 @@ def first_from(rows: DataFrame, keys: list[str], at: str, seq: str, width: float
     return rows.join(found.groupBy(*keys, seq).agg(*mine), [*keys, seq], "left")
 
 
-def reached(steps: DataFrame, keys: list[str], seq: str, follower: str, head: str) -> DataFrame:
+def reached(steps: DataFrame, keys: list[str], seq: str, follower: str, head: str, most: int = KEY_ROWS) -> DataFrame:
     """(keys, seq) of the rows reached from the rows flagged `head` by following `follower`.
 
-    Followers have a greater `seq` of the same key, or are null. (keys, seq) is unique.
+    Followers have a greater `seq` of the same key, or are null. (keys, seq) is unique and holds no null.
     """
-    jumps = [cut_lineage(steps.where(F.col(follower).isNotNull()).select(*keys, seq, F.col(follower).alias("_to")))]
+    # A row without a follower points to itself, so that whole numbers stay whole in a task.
+    steps = cut_lineage(steps.dropna(subset=[*keys, seq]).select(*keys, seq, F.coalesce(F.col(follower), F.col(seq)).alias("_to"), F.coalesce(F.col(head), F.lit(False)).alias("_head")))
+    long = cut_lineage(steps.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > most).select(*keys))
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in steps.select(*keys, seq).schema)
+    if long.isEmpty():
+        return scan_sorted(steps, keys, [seq], [seq, "_to", "_head"], _Followed, schema)
+    short = scan_sorted(steps.join(long, keys, "left_anti"), keys, [seq], [seq, "_to", "_head"], _Followed, schema)
+    return short.unionByName(_by_rounds(steps.join(long, keys, "left_semi"), keys, seq))
+
+
+class _Followed:
+    """The rows of one key that are reached, in order."""
+
+    def __init__(self, key):
+        self.key, self.next = key, set()
+
+    def row(self, seq, to, head):
+        if head or seq in self.next:
+            self.next.discard(seq)
+            if to != seq:
+                self.next.add(to)
+            yield (*self.key, seq)
+
+    def end(self):
+        return ()
+
+
+def _by_rounds(steps: DataFrame, keys: list[str], seq: str) -> DataFrame:
+    jumps = [cut_lineage(steps.where(F.col("_to") != F.col(seq)).select(*keys, seq, "_to"))]
     while True:
         ahead = jumps[-1].select(*keys, F.col(seq).alias("_to"), F.col("_to").alias("_next"))
         longer = cut_lineage(jumps[-1].join(ahead, [*keys, "_to"]).select(*keys, seq, F.col("_next").alias("_to")))
         if longer.isEmpty():
             break
         jumps.append(longer)
-    seen = steps.where(F.col(head)).select(*keys, seq)
+    seen = steps.where("_head").select(*keys, seq)
     for jump in reversed(jumps):
         # One jump from different rows can lead to one row; each row is kept once.
         seen = cut_lineage(seen.unionByName(seen.join(jump, [*keys, seq]).select(*keys, F.col("_to").alias(seq))).distinct())

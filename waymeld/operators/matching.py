@@ -13,7 +13,8 @@ from itertools import groupby
 from math import hypot, inf
 from statistics import median
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,15 +33,15 @@ class MatchPolicy:
     cell_m: float = 120.0
 
 
-def edge_candidates(points: DataFrame, edges: DataFrame, policy: MatchPolicy = MatchPolicy()) -> DataFrame:
-    """Nearest edges of each point: up to `candidates` within `radius_m`, with offset fraction and gap."""
+def edge_candidates(points: DataFrame, edges: DataFrame, policy: MatchPolicy = MatchPolicy(), keys: tuple[str, ...] = ("journey_id", "seq")) -> DataFrame:
+    """Nearest edges of each point: up to `candidates` within `radius_m`, with offset fraction and gap. Points are unique by `keys`."""
     e = edges.select("edge_id", "ax", "ay", "bx", "by")
     right = segment_cells(e, "ax", "ay", "bx", "by", policy.cell_m, policy.radius_m)
     near = planar_cell(points, "x", "y", policy.cell_m).join(right, ["_cx", "_cy"])
     near = near.withColumn("gap", point_segment("x", "y", "ax", "ay", "bx", "by")).where(F.col("gap") <= policy.radius_m)
     near = near.withColumn("frac", segment_fraction("x", "y", "ax", "ay", "bx", "by")).drop("_cx", "_cy", "ax", "ay", "bx", "by")
     # One point's rivals only; WindowGroupLimit trims before the sort finishes.
-    w = Window.partitionBy("journey_id", "seq").orderBy("gap", "edge_id")
+    w = Window.partitionBy(*keys).orderBy("gap", "edge_id")
     return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= policy.candidates)
 
 
@@ -53,15 +54,16 @@ def match_journeys(points: DataFrame, edges: DataFrame, policy: MatchPolicy = Ma
     request: the points before it and behind it are matched on their own. A
     part that no route connects is `disconnected` as a whole.
     """
-    # Points and clipped networks are each read several times: write them once.
+    # Read by the candidates, the lattice and the boxes: written once.
     points = cut_lineage(points)
     step = policy.request_points - 1
     home = F.floor(F.col("seq") / step)
     shared = (F.col("seq") % step == 0) & (F.col("seq") > 0)
     p = points.withColumn("request", F.explode(F.when(shared, F.array(home - 1, home)).otherwise(F.array(home))))
-    cands = edge_candidates(points, edges, policy).select("journey_id", "seq", "edge_id", "frac", "gap")
-    lattice = p.join(cands, ["journey_id", "seq"], "left").select(
-        "journey_id", "request", "seq", "x", "y", "accuracy_m", F.coalesce("edge_id", F.lit(0)).alias("edge_id"), "frac", "gap")  # no gap: no edge
+    # Candidates are found once a position and travel as one short array a point.
+    cands = edge_candidates(points.select("x", "y").distinct(), edges, policy, ("x", "y"))
+    nearby = cands.groupBy("x", "y").agg(F.sort_array(F.collect_list(F.struct("gap", "edge_id", "frac"))).alias("nearby"))
+    lattice = p.select("journey_id", "request", "seq", "x", "y", "accuracy_m").join(nearby, ["x", "y"], "left")
     boxes = p.groupBy("journey_id", "request").agg(*[f(c).alias(n) for n, f, c in (
         ("w", F.min, "x"), ("s", F.min, "y"), ("e", F.max, "x"), ("n", F.max, "y"))])
     m = policy.margin_m
@@ -70,48 +72,54 @@ def match_journeys(points: DataFrame, edges: DataFrame, policy: MatchPolicy = Ma
     hit = reach.join(cells, ["_cx", "_cy"]).where(
         (F.greatest("ax", "bx") >= F.col("w") - m) & (F.least("ax", "bx") <= F.col("e") + m)
         & (F.greatest("ay", "by") >= F.col("s") - m) & (F.least("ay", "by") <= F.col("n") + m))
-    clipped = cut_lineage(hit.select("journey_id", "request", "edge_id", "a_node", "b_node", "ax", "ay", "bx", "by").distinct())
+    # An edge that meets a request in two cells comes twice; the graph takes it once.
+    clipped = hit.select("journey_id", "request", "edge_id", "a_node", "b_node", "ax", "ay", "bx", "by")
     keys = ["journey_id", "request"]
     schema = f"journey_id {dict(points.dtypes)['journey_id']}, request long, seq long, edge_id long, frac double, status string"
     # Both sides descend from the same points: fresh column ids keep them apart.
     anew = lambda df: df.select(*[F.col(c).alias(c) for c in df.columns])
     left, right = keep_parallel(anew(lattice), keys), keep_parallel(anew(clipped), keys)
-    done = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(_match_request, schema)
-    return done
-
-
-def _match_request(lattice: pd.DataFrame, network: pd.DataFrame) -> pd.DataFrame:
-    names = ["journey_id", "request", "seq", "edge_id", "frac", "status"]
-    if lattice.empty:
-        return pd.DataFrame(columns=names)
-    head = (lattice.journey_id.tolist()[0], int(lattice.request.iloc[0]))
-    graph = Graph(network)
-    layers, points = [], []
-    for seq, rows in lattice.sort_values(["seq", "gap", "edge_id"]).groupby("seq"):
-        points.append((int(seq), rows.x.iloc[0], rows.y.iloc[0], rows.accuracy_m.iloc[0]))
-        layers.append([(int(r.edge_id), float(r.frac), float(r.gap)) for r in rows.itertuples() if r.gap == r.gap])
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_match_request, schema)
+
+
+def _match_request(lattice: pa.Table, network: pa.Table) -> pa.Table:
+    head = (lattice if lattice.num_rows else network).select(["journey_id", "request"]).slice(0, 1)
     rows = []
-    for near, part in groupby(zip(points, layers), key=lambda x: bool(x[1])):
-        fixes, nearby = zip(*part)
-        # A fix without an edge ends one part, and the next begins behind it.
-        chosen = best_sequence(fixes, nearby, graph) if near else None
-        status = "no_candidates" if not near else "matched" if chosen else "disconnected"
-        rows += [(*head, p[0], *(c[:2] if c else (None, None)), status) for p, c in zip(fixes, chosen or [None] * len(fixes))]
-    # Nullable integers: through floats large ids would lose digits.
-    return pd.DataFrame(rows, columns=names, dtype=object).astype({"seq": "Int64", "edge_id": "Int64", "frac": float})
+    if lattice.num_rows:
+        lattice, graph = lattice.sort_by("seq"), Graph(network.to_pydict())
+        points = list(zip(*(lattice[c].to_pylist() for c in ("seq", "x", "y", "accuracy_m"))))
+        nearby = lattice["nearby"].combine_chunks()
+        flat = nearby.flatten()
+        found = list(zip(*(flat.field(c).to_pylist() for c in ("edge_id", "frac", "gap"))))
+        ends = np.cumsum([n or 0 for n in nearby.value_lengths().to_pylist()]).tolist()
+        layers = [found[a:b] for a, b in zip([0, *ends], ends)]
+        for near, part in groupby(zip(points, layers), key=lambda x: bool(x[1])):
+            fixes, layer = zip(*part)
+            # A fix without an edge ends one part, and the next begins behind it.
+            chosen = best_sequence(fixes, layer, graph) if near else None
+            status = "no_candidates" if not near else "matched" if chosen else "disconnected"
+            rows += [(p[0], *(c[:2] if c else (None, None)), status) for p, c in zip(fixes, chosen or [None] * len(fixes))]
+    columns = list(zip(*rows)) or [()] * 4
+    kinds = {"seq": pa.int64(), "edge_id": pa.int64(), "frac": pa.float64(), "status": pa.string()}
+    named = {n: pa.array(c, kind) for (n, kind), c in zip(kinds.items(), columns)}
+    same = [pa.array([head[n][0].as_py()] * len(rows), head.schema.field(n).type) for n in head.column_names]
+    return pa.table({**dict(zip(head.column_names, same)), **named})
 
 
 class Graph:
     """Adjacency of one clipped network, with bounded searches from a snapped point."""
 
-    def __init__(self, network: pd.DataFrame):
+    def __init__(self, network):
         self.edges, self.at, self.next = {}, {}, {}
-        for r in network.itertuples():
-            length = hypot(r.bx - r.ax, r.by - r.ay)
-            self.edges[int(r.edge_id)] = (int(r.a_node), int(r.b_node), length)
-            self.at[int(r.a_node)], self.at[int(r.b_node)] = (r.ax, r.ay), (r.bx, r.by)
-            self.next.setdefault(int(r.a_node), []).append((int(r.b_node), length))
-            self.next.setdefault(int(r.b_node), []).append((int(r.a_node), length))
+        names = ("edge_id", "a_node", "b_node", "ax", "ay", "bx", "by")
+        for edge, a, b, ax, ay, bx, by in zip(*(network[n] for n in names)):
+            if edge in self.edges:
+                continue
+            length = hypot(bx - ax, by - ay)
+            self.edges[edge] = (a, b, length)
+            self.at[a], self.at[b] = (ax, ay), (bx, by)
+            self.next.setdefault(a, []).append((b, length))
+            self.next.setdefault(b, []).append((a, length))
 
     def place(self, cand):
         a, b, _ = self.edges[cand[0]]
@@ -156,12 +164,15 @@ class Graph:
 def transition_cost(start, end, route, travelled, uncertainty, continuity):
     """Length misfit, shape misfit and a travel prior of one route between two fixes."""
     observed = hypot(end[0] - start[0], end[1] - start[1])
+    return _cost(observed, [_off(p, start, end) for p in route], travelled, uncertainty, continuity)
+
+
+def _cost(observed, off, travelled, uncertainty, continuity):
     misfit = max(0.0, abs(travelled - observed) - 2 * uncertainty) / max(20.0, observed * 0.4, uncertainty * 2)
     if continuity:
         prior = travelled / continuity
     else:
         prior = travelled / max(20.0, 2 * uncertainty) if uncertainty else 0.0
-    off = [_off(p, start, end) for p in route]
     mean = max(0.0, sum(off) / len(off) - uncertainty)
     worst = max(0.0, max(off) - 2 * uncertainty)
     return misfit + prior + 2 * (mean / max(12.0, uncertainty)) ** 2 + 1.5 * (worst / max(25.0, uncertainty * 2)) ** 2
@@ -191,8 +202,20 @@ def best_sequence(points, layers, graph):
     """Cheapest connected choice of one candidate per point, or None.
 
     With a known accuracy all arrivals at a candidate merge. Without it the edge
-    of arrival stays part of the state, because turning back costs extra.
+    of arrival stays part of the state, because turning back costs extra. No cost is negative: what the
+    few nearest candidates alone come to is a limit, and nothing above it is searched.
     """
+    known = {}
+    few = [layer[:3] for layer in layers]
+    first = _search(points, few, graph, inf, known)
+    if few == layers:
+        return first and first[1]
+    found = _search(points, layers, graph, first[0] if first else inf, known)
+    return found and found[1]
+
+
+def _search(points, layers, graph, most, known_routes):
+    """(cost, choice) of the cheapest sequence, which costs `most` at most, or None. Searches of the network are kept in `known_routes`."""
     unc = [_known(p[3]) for p in points]
     known = [u for u in unc if u > 0]
     continuity = max(20.0, median(known)) if known else None
@@ -200,33 +223,53 @@ def best_sequence(points, layers, graph):
     def emission(gap, i):
         return (max(0.0, gap - unc[i]) / (unc[i] or 15.0)) ** 2
 
+    # What the later points cost at least; a little is left for rounding.
+    behind, rest = [0.0], most * (1 + 1e-9) + 1e-9
+    for k in range(len(points) - 1, 0, -1):
+        behind.append(behind[-1] + min(emission(c[2], k) for c in layers[k]))
+    behind.reverse()
     # state: (candidate, edge of arrival, index the arrival started from) -> (cost, trail)
     states = {(i, None, None): (emission(c[2], 0), None) for i, c in enumerate(layers[0])}
-    trails = []
+    trails, spots = [], [graph.place(c) for c in layers[0]]
     for k in range(1, len(points)):
         start, end = points[k - 1][1:3], points[k][1:3]
-        limit = max(120.0, hypot(end[0] - start[0], end[1] - start[1]) * 4 + 60)
+        observed = hypot(end[0] - start[0], end[1] - start[1])
+        limit = max(120.0, observed * 4 + 60)
         u, both = max(unc[k - 1], unc[k]), unc[k - 1] > 0 and unc[k] > 0
         emit = [emission(c[2], k) for c in layers[k]]
-        spots = [graph.place(c) for c in layers[k]]
-        best, fresh = [inf] * len(layers[k]), {}
-        routes = {}
+        before, spots = spots, [graph.place(c) for c in layers[k]]
+        # The cost above which an arrival at a candidate is no use; a connected arrival lowers it.
+        best, fresh = [rest - behind[k]] * len(layers[k]), {}
+        wanted = [j for j, e in enumerate(emit) if e <= best[j]]
+        off_before, off_spots = [_off(p, start, end) for p in before], [_off(p, start, end) for p in spots]
+        least = _least_costs(before, spots, off_before, off_spots, observed, u, continuity) if both and continuity else None
+        off_nodes = {}
         for prior in sorted(states, key=lambda s: (states[s][0], s[0])):
             cost, i = states[prior][0], prior[0]
             source = layers[k - 1][i]
-            here = graph.place(source)
-            if i not in routes:
-                routes[i] = (graph.reach(source, limit), {})
-            reached, scored = routes[i]
-            for j, target in enumerate(layers[k]):
-                if both and continuity and cost + emit[j] + hypot(spots[j][0] - here[0], spots[j][1] - here[1]) / continuity > best[j]:
-                    continue  # a lower bound already loses to a connected arrival
-                if j not in scored:
+            bounds = least[i] if least else None
+            for j in wanted:
+                if cost + emit[j] + (bounds[j] if bounds else 0.0) > best[j]:
+                    continue  # a lower bound already loses
+                target = layers[k][j]
+                # Only candidates that may still win search the network.
+                if (k, source) not in known_routes:
+                    known_routes[k, source] = (graph.reach(source, limit), {})
+                reached, scored = known_routes[k, source]
+                if target not in scored:
                     found = graph.path(source, target, reached, limit)
-                    scored[j] = found and (transition_cost(start, end, [here, *(graph.at[n] for n in found[1]), spots[j]], found[0], u, continuity) + emit[j], found)
-                if not scored[j]:
+                    if found:
+                        off = [off_before[i]]
+                        for n in found[1]:
+                            if n not in off_nodes:
+                                off_nodes[n] = _off(graph.at[n], start, end)
+                            off.append(off_nodes[n])
+                        off.append(off_spots[j])
+                        found = _cost(observed, off, found[0], u, continuity) + emit[j], found
+                    scored[target] = found
+                if not scored[target]:
                     continue
-                total, (travelled, nodes) = cost + scored[j][0], scored[j][1]
+                total, (travelled, nodes) = cost + scored[target][0], scored[target][1]
                 state = (j, None, None)
                 if not both:
                     moved = travelled > 0
@@ -235,17 +278,28 @@ def best_sequence(points, layers, graph):
                     state = (j, target[0], k - 1, nodes[-1] if nodes else None) if moved else (j, *prior[1:])
                 if total < fresh.get(state, (inf, None))[0]:
                     fresh[state] = (total, prior)
-                    best[j] = min(best[j], total)
+                    if both:
+                        best[j] = min(best[j], total)
         if not fresh:
             return None
         trails.append(fresh)
         states = fresh
     state = min(states, key=lambda s: (states[s][0], s[0]))
-    picked = [state[0]]
+    cost, picked = states[state][0], [state[0]]
     for trail in reversed(trails):
         state = trail[state][1]
         picked.append(state[0])
-    return [layers[k][i] for k, i in enumerate(reversed(picked))]
+    return cost, [layers[k][i] for k, i in enumerate(reversed(picked))]
+
+
+def _least_costs(before, spots, off_before, off_spots, observed, uncertainty, continuity):
+    """A lower bound of the cost of every transition: no route is shorter than the straight line, and both its ends count."""
+    a, b = np.array(before), np.array(spots)
+    straight = np.hypot(a[:, None, 0] - b[None, :, 0], a[:, None, 1] - b[None, :, 1])
+    misfit = np.maximum(0.0, straight - observed - 2 * uncertainty) / max(20.0, observed * 0.4, uncertainty * 2)
+    worst = np.maximum(0.0, np.maximum(np.array(off_before)[:, None], np.array(off_spots)[None, :]) - 2 * uncertainty)
+    # A little less, so that rounding never puts a bound above its cost.
+    return ((misfit + straight / continuity + 1.5 * (worst / max(25.0, uncertainty * 2)) ** 2) * (1 - 1e-9) - 1e-9).tolist()
 
 
 def observed_intervals(fixes: DataFrame, edges: DataFrame, snap_m: float = 8.0, accuracy_m: float = 10.0,
