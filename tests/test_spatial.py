@@ -137,3 +137,15 @@ def test_dated_markers_of_shared_positions(spark, monkeypatch):
     assert {r["user_id"]: r["t_ms"] for r in seven.collect()} == want_seven and 0 < len(want_seven) < len({u for u, _ in want_kinds})
     # Pairs form once a position, not once a point.
     assert sides[0].count() == len(spots)
+
+
+def test_owners_near_places_that_repeat(spark, monkeypatch):
+    from waymeld.operators import joins as J
+    segments = spark.createDataFrame([(j, s, -1.0 + s * 0.01, 51.0, -1.0 + s * 0.01 + 0.01, 51.0) for j in range(4) for s in range(j + 1)], "journey_id long, seq long, ax double, ay double, cx double, cy double")
+    # Two places of three ids each, the second near the later legs only; one place twice with other radii.
+    places = spark.createDataFrame([(i, -1.0 + (i % 2) * 0.035, 51.003, 500.0) for i in range(6)] + [(6, -1.0, 51.003, 100.0), (7, -1.0, 51.003, 600.0)], "venue_id long, p_lng double, p_lat double, radius_m double")
+    sides, real = [], J.segments_near
+    monkeypatch.setattr(J, "segments_near", lambda a, p, *x, **kw: sides.append(p) or real(a, p, *x, **kw))
+    got = {r["venue_id"]: r["n"] for r in J.owners_near(segments, places, ["journey_id", "seq"], "journey_id", "venue_id", 700.0).collect()}
+    assert got == {0: 4, 2: 4, 4: 4, 7: 4, 1: 2, 3: 2, 5: 2}
+    assert sides[0].count() == 4

@@ -35,16 +35,31 @@ def lines_in_sites(lines: DataFrame, sites: DataFrame, ids: list[str], site: str
     return share.where("share > 0").drop("rings")
 
 
-def segments_near(segments: DataFrame, places: DataFrame, ids: list[str], place_id: str, reach_m: float) -> DataFrame:
-    """(segment, place) pairs whose distance is within the place's own radius (<= reach_m)."""
+def segments_near(segments: DataFrame, places: DataFrame, ids: list[str], place_id: str, reach_m: float, distinct: bool = True) -> DataFrame:
+    """(segment, place) pairs whose distance is within the place's own radius (<= reach_m).
+
+    A pair that meets in several cells comes once, or without `distinct` once a cell.
+    """
     cell = reach_m / 60_000.0
-    left = segment_cells(segments, "ax", "ay", "cx", "cy", cell).dropDuplicates([*ids, "_cx", "_cy"])
+    left = segment_cells(segments, "ax", "ay", "cx", "cy", cell)
+    left = left.dropDuplicates([*ids, "_cx", "_cy"]) if distinct else left
     k = reach_m / 111_195.0 * 1.01
     wide = k / F.cos(F.radians(F.least(F.lit(89.0), F.abs("p_lat") + k)))
     right = box_cells(places, F.col("p_lng") - wide, F.col("p_lat") - k, F.col("p_lng") + wide, F.col("p_lat") + k, cell)
     d = geo.point_segment_m("p_lng", "p_lat", "ax", "ay", "cx", "cy")
-    return (left.join(right, ["_cx", "_cy"]).drop("_cx", "_cy").where(d <= F.col("radius_m"))
-            .dropDuplicates([*ids, place_id]))
+    near = left.join(right, ["_cx", "_cy"]).drop("_cx", "_cy").where(d <= F.col("radius_m"))
+    return near.dropDuplicates([*ids, place_id]) if distinct else near
+
+
+def owners_near(segments: DataFrame, places: DataFrame, ids: list[str], owner: str, place_id: str, reach_m: float) -> DataFrame:
+    """(place, n): different owners of the segments within each place's own radius; places without one are left out.
+
+    Equal places of one radius are met once, and owners are counted once a place.
+    """
+    site = ["p_lat", "p_lng", "radius_m"]
+    met = segments_near(segments, places.select(*site).distinct().withColumn("_site", F.struct(*site)), ids, "_site", reach_m, distinct=False)
+    n = met.select(owner, *site).distinct().groupBy(*site).agg(F.count(owner).alias("n"))
+    return places.join(n, site).select(place_id, "n")
 
 
 def dated_markers_near(segments: DataFrame, markers: DataFrame, ids: list[str], marker: str, at: str, reach_m: float = 100.0) -> DataFrame:
